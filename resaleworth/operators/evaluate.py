@@ -37,10 +37,10 @@ class MapeEvaluator(Evaluator, HasLabelCol, HasPredictionCol, DefaultParamsReada
     """MAPE for cross validation; smaller is better."""
 
     @keyword_only
-    def __init__(self, *, labelCol=config.LABEL, predictionCol="prediction"):
+    def __init__(self, *, labelCol=None, predictionCol=None):
         super().__init__()
+        self._setDefault(labelCol=config.LABEL)
         self._set(**self._input_kwargs)
-        self._set(labelCol=labelCol)
 
     def _evaluate(self, dataset: DataFrame) -> float:
         actual, prediction = F.col(self.getLabelCol()), F.col(self.getPredictionCol())

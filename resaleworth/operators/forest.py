@@ -79,15 +79,15 @@ class QuantileForest(
     def __init__(
         self,
         *,
-        featuresCol="features",
-        labelCol=config.LABEL,
-        predictionCol="prediction",
-        numTrees=100,
-        maxDepth=MAX_DEPTH,
-        minInfoGain=0.0,
-        keyCols=("id",),
-        quantiles=config.SCORING_QUANTILES,
-        seed=42,
+        featuresCol=None,
+        labelCol=None,
+        predictionCol=None,
+        numTrees=None,
+        maxDepth=None,
+        minInfoGain=None,
+        keyCols=None,
+        quantiles=None,
+        seed=None,
     ):
         super().__init__()
         self._setDefault(
@@ -181,16 +181,19 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         table = per_tree.agg(
             F.transform(F.array_sort(F.collect_list(F.struct("tree", "ys"))), lambda e: e["ys"]).alias("table")
         ).scalar()
+        # A lambda takes no subquery, only a column; the optimizer folds the column into the lookup.
         drawn = F.transform(
-            vector_to_array(LEAVES), lambda leaf, tree: F.get(F.get(table, tree), leaf.cast("int"))
+            vector_to_array(LEAVES), lambda leaf, tree: F.get(F.get("_table", tree), leaf.cast("int"))
         )
         ordered = F.col("_drawn")
         wanted = [_quantile(ordered, self.trees, q) for q in self.getOrDefault(self.quantiles)]
         return (
             self.forest.transform(dataset)
-            .withColumn("_drawn", F.array_sort(drawn))
+            .withColumn("_table", table)
+            .withColumn("_drawn", F.sort_array(drawn))
+            .drop("_table", LEAVES, MEAN)
             .withColumn("quantile_values", F.array(*wanted))
-            .drop(LEAVES, MEAN, "_drawn")
+            .drop("_drawn")
         )
 
     def predict_by_join(self, dataset: DataFrame, salts: int = SALTS) -> DataFrame:

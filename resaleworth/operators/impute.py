@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,11 +24,11 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth.operators.encode import category_dictionaries, code_name, decode_label, encode_labels
 from resaleworth.operators.fill import column_means, column_modes
-from resaleworth.session import materialise
+from resaleworth.session import materialise, scratch_dir
 
 INPUT, GUESS = "_inputs", "_guess"
 
@@ -49,12 +51,20 @@ def _assembled(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 def _guessed(df: DataFrame, columns: Sequence[str], target: str, model: Any, classes: int | None) -> DataFrame:
     """Replace the gaps of ``target`` by the prediction; observed cells stay as they are."""
-    guess: Column = F.col(GUESS)
-    if classes is not None:
-        guess = F.least(F.greatest(F.bround(guess), F.lit(0.0)), F.lit(float(classes - 1)))
-    predicted = model.transform(_assembled(df, columns, target))
-    kept = predicted.withColumn(target, F.when(F.col(gap_name(target)), guess).otherwise(F.col(target)))
-    return kept.select(*df.columns)
+    guess = GUESS if classes is None else f"least(greatest(bround({GUESS}), 0D), double({classes - 1}))"
+    return model.transform(_assembled(df, columns, target)).selectExpr(
+        f"* EXCEPT ({target}, {INPUT}, {GUESS})",
+        f"CASE WHEN {gap_name(target)} THEN {guess} ELSE {target} END AS {target}",
+    )
+
+
+def in_threads(tasks: Sequence[Callable[[], Any]], threads: int = 8) -> list[Any]:
+    """Submit independent Spark jobs side by side; results in task order."""
+    if not tasks:
+        return []
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPool(min(threads, len(tasks))) as pool:
+        return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 
 
 class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -79,15 +89,17 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         *,
         numericalCols=None,
         categoricalCols=None,
-        rounds=10,
-        numTrees=100,
-        maxDepth=5,
-        tolerance=1e-3,
-        seed=0,
+        rounds=None,
+        numTrees=None,
+        maxDepth=None,
+        tolerance=None,
+        seed=None,
     ):
         super().__init__()
-        self._setDefault(numericalCols=[], categoricalCols=[])
-        self._set(**{name: value for name, value in self._input_kwargs.items() if value is not None})
+        self._setDefault(
+            numericalCols=[], categoricalCols=[], rounds=10, numTrees=100, maxDepth=5, tolerance=1e-3, seed=0
+        )
+        self._set(**self._input_kwargs)
 
     def _learner(self, target: str, classes: int | None) -> Any:
         settings = {
@@ -128,24 +140,23 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         forests: dict[str, Any] = {}
         for _ in range(self.getOrDefault(self.rounds) if gappy else 0):
             work = work.withColumns({f"_{name}_before": F.col(name) for name in gappy})
-            cached = None
+            cached: list[DataFrame] = []
             for target in gappy:
                 forests[target] = self._fit_column(work, columns, target, classes.get(target))
                 work = _guessed(work, columns, target, forests[target], classes.get(target)).persist()
-                work.count()
-                if cached is not None:
-                    cached.unpersist()
-                cached = work
-            finished = materialise(work, "impute")
-            cached.unpersist()
+                cached.append(work)
+            # The round's chain of forests ends here; a lost executor repeats at most one round.
+            work = work.checkpoint()
+            for frame in cached:
+                frame.unpersist()
             moves = [F.max(F.abs(F.col(name) - F.col(f"_{name}_before"))) for name in gappy]
-            moved = max(value or 0.0 for value in finished.agg(*moves).first())
-            work = finished.drop(*[f"_{name}_before" for name in gappy])
+            moved = max(value or 0.0 for value in work.agg(*moves).first())
+            work = work.drop(*[f"_{name}_before" for name in gappy])
             if moved < self.getOrDefault(self.tolerance) * reach:
                 break
-        for target in order:
-            if target not in forests:
-                forests[target] = self._fit_column(work, columns, target, classes.get(target))
+        rest = [target for target in order if target not in forests]
+        fits = [partial(self._fit_column, work, columns, target, classes.get(target)) for target in rest]
+        forests.update(zip(rest, in_threads(fits)))
         return [(target, forests[target]) for target in order]
 
     def _fit(self, dataset: DataFrame) -> "ChainedForestImputerModel":
@@ -160,10 +171,14 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         )
         modes = column_modes(base, codes)
         fill = {name: float(value or 0.0) for name, value in {**means, **modes}.items()}
-        chains = [
-            self._chain(base.select(*columns), columns, fill, kinds)
-            for columns, kinds in ((numerical, {}), (codes, classes))
-        ]
+        scratch_dir(dataset.sparkSession)
+        # Numbers and categories never look at each other, so both chains run at once.
+        chains = in_threads(
+            [
+                partial(self._chain, base.select(*columns), columns, fill, kinds)
+                for columns, kinds in ((numerical, {}), (codes, classes))
+            ]
+        )
         model = ChainedForestImputerModel()
         model.numerical, model.categorical = list(numerical), list(categorical)
         model.dictionaries, model.fill, model.chains = dictionaries, fill, chains
@@ -185,9 +200,8 @@ class _ImputerWriter(MLWriter):
             "targets": [[target for target, _ in chain] for chain in model.chains],
         }
         DefaultParamsWriter.saveMetadata(model, path, self.sc, extraMetadata=extra)
-        for chain in model.chains:
-            for target, forest in chain:
-                forest.write().save(f"{path}/forests/{target}")
+        forests = [pair for chain in model.chains for pair in chain]
+        in_threads([partial(forest.write().save, f"{path}/forests/{target}") for target, forest in forests])
 
 
 class _ImputerReader(MLReader):
@@ -199,7 +213,7 @@ class _ImputerReader(MLReader):
             setattr(model, name, metadata[name])
         kinds = (RandomForestRegressionModel, RandomForestClassificationModel)
         model.chains = [
-            [(target, kind.load(f"{path}/forests/{target}")) for target in targets]
+            list(zip(targets, in_threads([partial(kind.load, f"{path}/forests/{target}") for target in targets])))
             for kind, targets in zip(kinds, metadata["targets"])
         ]
         return model

@@ -20,9 +20,10 @@ class ColumnScalerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParam
     base = Param(Params._dummy(), "base", "value of the center after scaling", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, centers=None, factors=None, base=0.0):
+    def __init__(self, *, inputCols=None, centers=None, factors=None, base=None):
         super().__init__()
-        self._set(**{name: value for name, value in self._input_kwargs.items() if value is not None})
+        self._setDefault(base=0.0)
+        self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         base = self.getOrDefault(self.base)
@@ -41,11 +42,12 @@ class ColumnScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParams
     high = Param(Params._dummy(), "high", "upper end of the target range", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, method="minmax", low=0.0, high=1.0):
+    def __init__(self, *, inputCols=None, method=None, low=None, high=None):
         super().__init__()
-        if method not in ("minmax", "robust"):
+        if method not in (None, "minmax", "robust"):
             raise ValueError(f"unknown scaling method {method!r}")
-        self._set(**{name: value for name, value in self._input_kwargs.items() if value is not None})
+        self._setDefault(method="minmax", low=0.0, high=1.0)
+        self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ColumnScalerModel:
         columns = self.getInputCols()

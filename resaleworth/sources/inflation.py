@@ -10,7 +10,13 @@ from resaleworth import config
 
 
 def inflation_rates(spark: SparkSession, rates: Mapping[int, float] = config.INFLATION_RATES) -> DataFrame:
-    return spark.createDataFrame(list(rates.items()), "year int, inflation_rate double")
+    """(year, inflation_rate) as a literal table, so its size is known to the planner."""
+    return _literal_rows(spark, rates, "inflation_rate")
+
+
+def _literal_rows(spark: SparkSession, values: Mapping[int, float], name: str) -> DataFrame:
+    rows = ", ".join(f"({int(year)}, double({float(value)!r}))" for year, value in values.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(year, {name})")
 
 
 def cumulative_factors(rates: DataFrame, base_year: int = config.INFLATION_BASE_YEAR) -> DataFrame:
@@ -29,7 +35,7 @@ def cumulative_factors(rates: DataFrame, base_year: int = config.INFLATION_BASE_
         F.raise_error(F.concat(F.lit("no inflation rate for the year after "), F.col("year").cast("string")))
     )
     lifted = past.select("year", checked.cast("double").alias("inflation_factor"))
-    base = rates.sparkSession.createDataFrame([(base_year, 1.0)], "year int, inflation_factor double")
+    base = _literal_rows(rates.sparkSession, {base_year: 1.0}, "inflation_factor")
     return lifted.unionByName(base)
 
 
