@@ -14,7 +14,16 @@ INTERVAL_SHARE = 0.05
 
 def to_tens(value: Column) -> Column:
     """Round half-even to a multiple of ten; null for null and NaN."""
-    return F.bround(F.nanvl(value, F.lit(None).cast("double")) / 10, 0) * 10
+    return F.rint(F.nanvl(value, F.lit(None).cast("double")) / 10) * 10
+
+
+def to_cents(value: Column) -> Column:
+    """Round half-even to two digits by the exact binary value, not by its decimal text.
+
+    The part after the point times 100 is exact for values from 16 on, so no tie is decided wrongly.
+    """
+    whole = F.floor(value).cast("double")
+    return (whole * 100 + F.rint((value - whole) * 100)) / 100
 
 
 def adjusted_price(prediction: Column) -> Column:
@@ -34,15 +43,15 @@ def interval(low: Column, high: Column) -> Column:
 
 
 def point_price(prediction: Column) -> Column:
-    return F.bround(prediction, 2)
+    return to_cents(prediction)
 
 
 def point_low(price: Column, width: float = config.POINT_INTERVAL_RANGE) -> Column:
-    return F.bround(price - F.lit(width / 2) * price, 2)
+    return to_cents(price - F.lit(width / 2) * price)
 
 
 def point_high(price: Column, width: float = config.POINT_INTERVAL_RANGE) -> Column:
-    return F.bround(price + F.lit(width / 2) * price, 2)
+    return to_cents(price + F.lit(width / 2) * price)
 
 
 def rule_year(bike_year: Column, as_of: dt.date) -> Column:

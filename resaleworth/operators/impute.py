@@ -62,7 +62,7 @@ def in_threads(tasks: Sequence[Callable[[], Any]], threads: int = 8) -> list[Any
     """Submit independent Spark jobs side by side; results in task order."""
     if not tasks:
         return []
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(threads, len(tasks))) as pool:
         return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 

@@ -10,21 +10,11 @@ from resaleworth.operators import evaluate as ev, features as feat, sampling
 from resaleworth.operators.clean import lift_to_base_year
 from resaleworth.operators.ranking import with_row_number
 from resaleworth.queries import frames, oracle_base as sql
+from resaleworth.queries.registry import Registry
 from resaleworth.sources import requests as req
 from resaleworth.sources.inflation import inflation_factors
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(check: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if check is not None:
-            ORACLE[fn.__name__] = check
-        return fn
-
-    return register
+query = Registry()
 
 
 def _bikes(spark: SparkSession, sf_dir: str) -> DataFrame:

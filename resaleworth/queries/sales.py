@@ -8,21 +8,11 @@ from resaleworth import config
 from resaleworth.operators import clean
 from resaleworth.plans.extract import SALE_ORDER, aged_bookings_extract
 from resaleworth.queries import frames, oracle_base as sql
+from resaleworth.queries.registry import Registry
 from resaleworth.sources import tables as src
 from resaleworth.sources.inflation import inflation_factors
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(check: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if check is not None:
-            ORACLE[fn.__name__] = check
-        return fn
-
-    return register
+query = Registry()
 
 
 def _day(name: str):
