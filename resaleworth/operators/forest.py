@@ -72,6 +72,7 @@ class QuantileForest(
     numTrees = Param(Params._dummy(), "numTrees", "trees in the forest", TypeConverters.toInt)
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", TypeConverters.toInt)
     minInfoGain = Param(Params._dummy(), "minInfoGain", "smallest gain of a split", TypeConverters.toFloat)
+    maxBins = Param(Params._dummy(), "maxBins", "split points tried per column", TypeConverters.toInt)
     keyCols = Param(Params._dummy(), "keyCols", "columns that identify a row", TypeConverters.toListString)
     quantiles = Param(Params._dummy(), "quantiles", "predicted quantiles", TypeConverters.toListFloat)
 
@@ -85,6 +86,7 @@ class QuantileForest(
         numTrees=None,
         maxDepth=None,
         minInfoGain=None,
+        maxBins=None,
         keyCols=None,
         quantiles=None,
         seed=None,
@@ -95,6 +97,7 @@ class QuantileForest(
             numTrees=100,
             maxDepth=MAX_DEPTH,
             minInfoGain=0.0,
+            maxBins=64,
             keyCols=["id"],
             quantiles=list(config.SCORING_QUANTILES),
             seed=42,
@@ -112,6 +115,8 @@ class QuantileForest(
             numTrees=self.getOrDefault(self.numTrees),
             maxDepth=min(self.getOrDefault(self.maxDepth), MAX_DEPTH),
             minInfoGain=self.getOrDefault(self.minInfoGain),
+            maxBins=self.getOrDefault(self.maxBins),
+            featureSubsetStrategy="all",
             seed=self.getSeed(),
         ).fit(rows)
         leaves = materialise(sampled_leaf_table(forest.transform(rows), keys, label), "leaves")
@@ -124,6 +129,7 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     numTrees = QuantileForest.numTrees
     maxDepth = QuantileForest.maxDepth
     minInfoGain = QuantileForest.minInfoGain
+    maxBins = QuantileForest.maxBins
     keyCols = QuantileForest.keyCols
     quantiles = QuantileForest.quantiles
 

@@ -110,8 +110,9 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
             "maxDepth": self.getOrDefault(self.maxDepth),
             "seed": self.getSeed(),
         }
+        # A number is split on all other columns, a category on a random subset, as is usual for either.
         if classes is None:
-            return RandomForestRegressor(**settings)
+            return RandomForestRegressor(**settings, featureSubsetStrategy="all")
         return RandomForestClassifier(**settings, rawPredictionCol="", probabilityCol="")
 
     def _fit_column(self, df: DataFrame, columns: Sequence[str], target: str, classes: int | None) -> Any:
