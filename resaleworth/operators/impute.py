@@ -49,10 +49,10 @@ def _assembled(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return VectorAssembler(inputCols=others, outputCol=INPUT).transform(df)
 
 
-def _guessed(df: DataFrame, columns: Sequence[str], target: str, model: Any, classes: int | None) -> DataFrame:
+def _guessed(assembled: DataFrame, target: str, model: Any, classes: int | None) -> DataFrame:
     """Replace the gaps of ``target`` by the prediction; observed cells stay as they are."""
     guess = GUESS if classes is None else f"least(greatest(bround({GUESS}), 0D), double({classes - 1}))"
-    return model.transform(_assembled(df, columns, target)).selectExpr(
+    return model.transform(assembled).selectExpr(
         f"* EXCEPT ({target}, {INPUT}, {GUESS})",
         f"CASE WHEN {gap_name(target)} THEN {guess} ELSE {target} END AS {target}",
     )
@@ -115,9 +115,8 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
             return RandomForestRegressor(**settings, featureSubsetStrategy="all")
         return RandomForestClassifier(**settings, rawPredictionCol="", probabilityCol="")
 
-    def _fit_column(self, df: DataFrame, columns: Sequence[str], target: str, classes: int | None) -> Any:
-        observed = _assembled(df, columns, target).where(~F.col(gap_name(target)))
-        observed = observed.select(INPUT, target)
+    def _fit_column(self, assembled: DataFrame, target: str, classes: int | None) -> Any:
+        observed = assembled.where(~F.col(gap_name(target))).select(INPUT, target)
         if classes is not None:
             observed = observed.withMetadata(target, {"ml_attr": {"type": "nominal", "num_vals": classes}})
         return self._learner(target, classes).fit(observed)
@@ -143,8 +142,9 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
             work = work.withColumns({f"_{name}_before": F.col(name) for name in gappy})
             cached: list[DataFrame] = []
             for target in gappy:
-                forests[target] = self._fit_column(work, columns, target, classes.get(target))
-                work = _guessed(work, columns, target, forests[target], classes.get(target)).persist()
+                assembled = _assembled(work, columns, target)
+                forests[target] = self._fit_column(assembled, target, classes.get(target))
+                work = _guessed(assembled, target, forests[target], classes.get(target)).persist()
                 cached.append(work)
             # The round's chain of forests ends here; a lost executor repeats at most one round.
             work = work.checkpoint()
@@ -156,7 +156,9 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
             if moved < self.getOrDefault(self.tolerance) * reach:
                 break
         rest = [target for target in order if target not in forests]
-        fits = [partial(self._fit_column, work, columns, target, classes.get(target)) for target in rest]
+        fits = [
+            partial(self._fit_column, _assembled(work, columns, target), target, classes.get(target)) for target in rest
+        ]
         forests.update(zip(rest, in_threads(fits)))
         return [(target, forests[target]) for target in order]
 
@@ -236,7 +238,7 @@ class ChainedForestImputerModel(Model, MLReadable, MLWritable):
         for columns, chain in zip((self.numerical, codes), self.chains):
             work = _open(work, columns, self.fill)
             for target, forest in chain:
-                work = _guessed(work, columns, target, forest, classes.get(target))
+                work = _guessed(_assembled(work, columns, target), target, forest, classes.get(target))
         decoded = {
             name: decode_label(F.col(code_name(name)), self.dictionaries[name]) for name in self.categorical
         }

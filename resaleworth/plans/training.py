@@ -18,6 +18,7 @@ from resaleworth.operators.evaluate import MapeEvaluator
 from resaleworth.operators.impute import ChainedForestImputer
 from resaleworth.operators.scale import ColumnScaler
 from resaleworth.plans.extract import SALE_ORDER, sales_extract
+from resaleworth.session import materialise
 from resaleworth.sources import artefacts
 from resaleworth.sources.tables import ListingTables
 
@@ -82,9 +83,16 @@ def transform_pipeline(
 
 
 def fit_transforms(data: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the train rows only, apply to all."""
-    fitted = pipeline.fit(data.where(F.col("split") == "train"))
-    return fitted, fitted.transform(data)
+    """Fit on the train rows only, apply to all.
+
+    The imputed rows are written once: the later stages make several passes to fit, and none of
+    them should walk all the imputation forests again.
+    """
+    imputer, *others = pipeline.getStages()
+    fill = imputer.fit(data.where(F.col("split") == "train"))
+    imputed = materialise(fill.transform(data), "imputed")
+    rest = Pipeline(stages=others).fit(imputed.where(F.col("split") == "train"))
+    return PipelineModel([fill, *rest.stages]), rest.transform(imputed)
 
 
 def train_model(transformed: DataFrame, learner: Estimator, label: str = config.LABEL) -> tuple[Any, float]:

@@ -85,7 +85,7 @@ def error_and_coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM s JOIN e ON s.series = e.series GROUP BY ALL"
 )
 def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = ev.histogram(frames.stand_in_results(spark, sf_dir), ["sales_price", "prediction"])
+    bins = ev.histogram(frames.stored_results(spark, sf_dir), ["sales_price", "prediction"])
     return _rounded(bins, "bin_low", "bin_high", digits=4)
 
 
@@ -98,7 +98,7 @@ def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM g JOIN s ON s.series = g.series GROUP BY g.series, g.x, n, h"
 )
 def price_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = ev.density_curve(frames.stand_in_results(spark, sf_dir), ["sales_price", "prediction"], points=50)
+    curve = ev.density_curve(frames.stored_results(spark, sf_dir), ["sales_price", "prediction"], points=50)
     return curve.withColumns({"x": F.round("x", 4), "density": F.round("density", 10)})
 
 

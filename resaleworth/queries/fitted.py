@@ -61,7 +61,7 @@ def most_frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     " round(quantile_cont(msrp, 0.75), 6) AS q75 FROM train_rows"
 )
 def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = frames.train_rows(spark, sf_dir)
+    train, _ = frames.stored_rows(spark, sf_dir, "msrp")
     values = exact_percentiles(train, "msrp", (0.25, 0.5, 0.75))
     return spark.createDataFrame([tuple(round(v, 6) for v in values)], "q25 double, q50 double, q75 double")
 
@@ -76,7 +76,7 @@ _DENSE = " UNION ALL ".join(
 @query(f"WITH {sql.FEATURES} {_DENSE}")
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sorted dictionary of each text column with its codes."""
-    train = frames.train_rows(spark, sf_dir)
+    train, _ = frames.stored_rows(spark, sf_dir, *_TEXTS)
     sorted_values = [F.sort_array(F.collect_set(name)).alias(name) for name in _TEXTS]
     enc.category_dictionaries(train, _TEXTS)
     one_row = train.agg(*sorted_values)
@@ -105,8 +105,9 @@ def _codes_sql(name: str) -> str:
 def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes learned on the train rows, applied to all rows, and decoded again."""
     names = ("brake_type_code", "color", "bike_category_id")
-    dictionaries = enc.category_dictionaries(frames.train_rows(spark, sf_dir), names)
-    coded = enc.encode_labels(frames.split_rows(spark, sf_dir), dictionaries)
+    train, rows = frames.stored_rows(spark, sf_dir, *names)
+    dictionaries = enc.category_dictionaries(train, names)
+    coded = enc.encode_labels(rows, dictionaries)
     return coded.select(
         "id",
         "split",
@@ -123,9 +124,9 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     " AS brake_type_code FROM split_rows"
 )
 def first_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = frames.train_rows(spark, sf_dir)
+    train, rows = frames.stored_rows(spark, sf_dir, "condition_code", "bike_age", "brake_type_code")
     values = {**fill.column_means(train, ("condition_code", "bike_age")), **fill.column_modes(train, ("brake_type_code",))}
-    rows = frames.split_rows(spark, sf_dir).select("id", *values).withColumn("bike_age", F.col("bike_age").cast("double"))
+    rows = rows.select("id", *values).withColumn("bike_age", F.col("bike_age").cast("double"))
     filled = fill.fill_gaps(rows, values)
     return filled.withColumns({name: F.round(name, 6) for name in ("condition_code", "bike_age")})
 
@@ -140,9 +141,9 @@ _SHIFTING = ("electronic", "mechanical")
     " CAST(coalesce(shifting_code NOT IN ('electronic', 'mechanical'), true) AS INTEGER) AS \"shifting_code_-1\" FROM split_rows"
 )
 def category_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = frames.train_rows(spark, sf_dir)
+    train, rows = frames.stored_rows(spark, sf_dir, "shifting_code")
     labels = enc.category_dictionaries(train, ("shifting_code",))["shifting_code"]
-    return frames.split_rows(spark, sf_dir).select("id", *enc.indicator_columns("shifting_code", labels))
+    return rows.select("id", *enc.indicator_columns("shifting_code", labels))
 
 
 _SCALED = ("rider_height_min", "sales_duration", "bike_age", "is_mobile")
@@ -156,8 +157,8 @@ def _minmax_sql(name: str) -> str:
 @query(f"WITH {sql.FEATURES} SELECT id, {', '.join(_minmax_sql(name) for name in _SCALED)} FROM split_rows")
 def range_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges fitted on train, applied to all; a constant column maps to 0."""
-    scaler = ColumnScaler(inputCols=list(_SCALED)).fit(frames.train_rows(spark, sf_dir))
-    scaled = scaler.transform(frames.split_rows(spark, sf_dir)).select("id", *_SCALED)
+    train, rows = frames.stored_rows(spark, sf_dir, *_SCALED)
+    scaled = ColumnScaler(inputCols=list(_SCALED)).fit(train).transform(rows).select("id", *_SCALED)
     return scaled.withColumns({name: F.round(name, 6) + 0.0 for name in _SCALED})
 
 
@@ -169,8 +170,9 @@ _ROBUST = (
 
 @query(f"WITH {sql.FEATURES} SELECT id, round({_ROBUST}, 6) + 0.0 AS msrp FROM split_rows")
 def robust_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaler = ColumnScaler(inputCols=["msrp"], method="robust").fit(frames.train_rows(spark, sf_dir))
-    return scaler.transform(frames.split_rows(spark, sf_dir)).select("id", (F.round("msrp", 6) + 0.0).alias("msrp"))
+    train, rows = frames.stored_rows(spark, sf_dir, "msrp")
+    scaler = ColumnScaler(inputCols=["msrp"], method="robust").fit(train)
+    return scaler.transform(rows).select("id", (F.round("msrp", 6) + 0.0).alias("msrp"))
 
 
 @query(
@@ -179,8 +181,8 @@ def robust_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def msrp_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust scaling followed by the range 0 … 25000, as the pipeline does it."""
-    train = frames.train_rows(spark, sf_dir)
+    train, rows = frames.stored_rows(spark, sf_dir, "msrp")
     robust = ColumnScaler(inputCols=["msrp"], method="robust").fit(train)
     ranged = ColumnScaler(inputCols=["msrp"], high=config.BOUNDS.msrp_max).fit(robust.transform(train))
-    scaled = ranged.transform(robust.transform(frames.split_rows(spark, sf_dir)))
+    scaled = ranged.transform(robust.transform(rows))
     return scaled.select("id", (F.round("msrp", 4) + 0.0).alias("msrp"))

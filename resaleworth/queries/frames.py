@@ -14,7 +14,7 @@ from resaleworth.operators.forest import QuantileForest
 from resaleworth.operators.pricing import with_interval
 from resaleworth.plans.extract import SALE_ORDER, sales_extract
 from resaleworth.plans.training import ROW_KEYS, ImputationSettings, TrainingRun, labelled_features, run_training
-from resaleworth.session import configure, scratch_path
+from resaleworth.session import configure, materialise, scratch_path
 from resaleworth.sources.inflation import inflation_factors
 from resaleworth.sources.listing_views import listing_tables
 from resaleworth.sources.tables import ListingTables
@@ -47,6 +47,18 @@ def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.oversample_recent(train, AS_OF)
 
 
+def stored_rows(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Train rows with copies, and all rows once. Written once, since fitting takes several passes."""
+    repeated = (F.col("split") == "train") & sampling.is_recent(F.col("bike_created_at"), AS_OF)
+    rows = sampling.oversample(split_rows(spark, sf_dir), repeated).select("id", "split", "copy_no", *columns)
+    stored = materialise(rows, "prepared")
+    return stored.where(F.col("split") == "train"), stored.where(F.col("copy_no") == 0).drop("copy_no")
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(stand_in_results(spark, sf_dir), "results")
+
+
 def stand_in_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with a fixed prediction in place of a model: half the list price, adjusted."""
     sales = cleaned(spark, sf_dir)

@@ -22,7 +22,7 @@ from resaleworth.queries import frames, oracle_base as sql
 from resaleworth.queries.frames import trained
 from resaleworth.queries.registry import Registry
 from resaleworth.session import materialise, scratch_path
-from resaleworth.sources import artefacts, requests as req
+from resaleworth.sources import artefacts
 from resaleworth.sources.inflation import inflation_factors
 from resaleworth.streaming import scoring as stream
 
@@ -162,9 +162,8 @@ def model_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payloads = frames.request_payloads(frames.tables(spark, sf_dir).bikes)
-    return req.accepted(req.parse_requests(payloads))
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.request_payloads(frames.tables(spark, sf_dir).bikes)
 
 
 _RECORDS = (
@@ -181,7 +180,7 @@ def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scoring job with saved and reloaded artefacts: one price per accepted record."""
     root, _ = trained(spark, sf_dir)
     transforms, model = artefacts.load_artefacts(spark, root)
-    scored = scoring.score_requests(_requests(spark, sf_dir), transforms, model, inflation_factors(spark), frames.AS_OF)
+    scored = scoring.run_scoring(_payloads(spark, sf_dir), transforms, model, inflation_factors(spark), frames.AS_OF)
     priced = F.col("price").isNotNull() & F.col("price").between(F.col("low"), F.col("high"))
     return scored.select("payload_id", "request_pos", "route", priced.alias("priced"))
 
@@ -190,12 +189,10 @@ def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of scored requests, appended per day and read back."""
     _, run = trained(spark, sf_dir)
-    scored = scoring.score_requests(
-        _requests(spark, sf_dir), run.transforms, run.model, inflation_factors(spark), frames.AS_OF
-    )
     path = scratch_path(spark, "request-log")
-    req.append_request_log(scored, path, "2024-09-01")
-    logged = spark.read.parquet(path).where(F.col("score_date") == "2024-09-01")
+    logged = scoring.run_scoring(
+        _payloads(spark, sf_dir), run.transforms, run.model, inflation_factors(spark), frames.AS_OF, path
+    )
     return logged.groupBy("route").agg(F.count("*").alias("rows"))
 
 
@@ -250,7 +247,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     _, run = trained(spark, sf_dir)
     registry = scratch_path(spark, "registry")
     source, output = scratch_path(spark, "incoming"), scratch_path(spark, "scores")
-    payloads = frames.request_payloads(frames.tables(spark, sf_dir).bikes)
+    payloads = _payloads(spark, sf_dir)
     checkpoint, cache = scratch_path(spark, "stream"), stream.ArtefactCache(spark, registry)
     for version, half in (("v1", 0), ("v2", 1)):
         artefacts.publish_artefacts(registry, version, run.transforms, run.model, spark)
