@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from resaleworth import config
 
@@ -27,9 +27,14 @@ def plausible_sales(df: DataFrame, label: str = config.LABEL, bounds: config.Pri
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row per key. Spark keeps one row per key before the exchange too (window group limit)."""
-    latest = W.partitionBy(*keys).orderBy(*[F.desc(name) for name in order])
-    return df.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") == 1).drop("_rank")
+    """The last row per key.
+
+    An aggregate and no window: rows of a hot key merge where they lie, so that one row per key and
+    task moves at most. After a sort-merge join on the key it needs neither exchange nor sort.
+    """
+    row = F.struct(*[name for name in df.columns if name not in keys])
+    last = F.max_by(row, F.struct(*order)).alias("_last")
+    return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*df.columns)
 
 
 def lift_to_base_year(df: DataFrame, value: str, year: Column, factors: DataFrame) -> DataFrame:

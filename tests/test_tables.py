@@ -52,6 +52,30 @@ def test_last_row_per_key_with_a_hot_key(spark):
     assert got == expected
 
 
+def test_hot_listing_merges_before_it_moves(spark):
+    """A third of the bookings belong to one listing: the join splits it, and partial rows move afterwards."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100000",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        bikes = spark.range(20000).select("id", (F.rand(1) * 5000).alias("msrp"))
+        owner = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 20000)
+        bookings = spark.range(400000).select(owner.alias("bike_id"), F.col("id").alias("booking"), F.rand(2).alias("at"))
+        last = clean.last_per_key(bikes.join(bookings, F.col("id") == F.col("bike_id")), ["id"], ["at", "booking"])
+        assert len(last.collect()) == 20000
+        plan = last._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.index("Exchange") < plan.index("partial_max_by") < plan.index("SortMergeJoin(skew=true)")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_year_without_factor_gives_null(spark):
     df = spark.createDataFrame([(1, 100.0, 2011), (2, 100.0, 2023), (3, 100.0, None)], "id int, p double, y int")
     lifted = clean.lift_to_base_year(df, "p", F.col("y"), inflation_factors(spark))
