@@ -17,6 +17,7 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no", s
 
     Range partitions are sorted on their own. Their sizes, one row per partition, give the
     offset of each; the sorted rows are written once so that both reads see the same partitions.
+    Range partitioning samples ``df`` first, so a costly ``df`` should be a stored table.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialise(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranked")

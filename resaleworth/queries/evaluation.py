@@ -127,7 +127,7 @@ def error_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def price_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows numbered by sale price, as the interval plot needs them."""
-    results = frames.stand_in_results(spark, sf_dir).drop("in_range")
+    results = frames.stored_results(spark, sf_dir).drop("in_range")
     return _rounded(with_row_number(results, ["sales_price", "id"]), "sales_price")
 
 

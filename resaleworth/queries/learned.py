@@ -93,25 +93,40 @@ def train_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshot(spark, sf_dir, "train").select("id", "copy_no")
 
 
-@query()
+_WIDTH = " + ".join(f"(SELECT count(DISTINCT {name}) + 1 FROM train_rows)" for name in config.CATEGORICAL)
+_ALL_ROWS = (
+    "(SELECT id, copy_no, split FROM train_rows UNION ALL SELECT id, 0, split FROM split_rows WHERE split = 'test')"
+)
+
+
+@query(
+    f"WITH {sql.FEATURES} SELECT id, copy_no, split, {_WIDTH} + {len(config.NUMERICAL)} AS features,"
+    f" CAST({len(config.CATEGORICAL)} AS DOUBLE) AS indicators_set, true AS complete FROM {_ALL_ROWS}"
+)
 def transformed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and sum of each feature vector, as the fitted transforms give them."""
+    """The vectors of the fitted transforms: one slot per category and an unknown one, then the numbers."""
     vector = vector_to_array("features")
+    flags = F.slice(vector, F.lit(1), F.size(vector) - len(config.NUMERICAL))
     return _snapshot(spark, sf_dir).select(
         *ROW_KEYS,
         "split",
-        F.size(vector).alias("features"),
-        F.round(F.aggregate(vector, F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
+        F.size(vector).cast("bigint").alias("features"),
+        F.aggregate(flags, F.lit(0.0), lambda a, b: a + b).alias("indicators_set"),
+        (~F.exists(vector, lambda v: F.isnan(v) | v.isNull())).alias("complete"),
     )
 
 
-@query()
+@query(
+    f"WITH {sql.FEATURES} SELECT CAST(tree AS INTEGER) AS tree, count(*) AS rows, true AS inside"
+    " FROM train_rows, range(10) AS t(tree) GROUP BY tree"
+)
 def forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves and training rows per tree of the fitted, saved and reloaded forest."""
-    root, _ = trained(spark, sf_dir)
+    """Training rows per tree of the fitted, saved and reloaded forest; leaf labels are training labels."""
+    root, run = trained(spark, sf_dir)
     _, model = artefacts.load_artefacts(spark, root)
+    low, high = _snapshot(spark, sf_dir, "train").agg(F.min(config.LABEL), F.max(config.LABEL)).first()
     return model.leaves.groupBy("tree").agg(
-        F.count("*").alias("leaves"), F.sum("samples").alias("rows"), F.round(F.avg("y"), 4).alias("mean_label")
+        F.sum("samples").alias("rows"), F.bool_and(F.col("y").between(low, high)).alias("inside")
     )
 
 
@@ -142,12 +157,18 @@ def quantile_paths_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looked_up.join(joined, list(ROW_KEYS)).agg(F.count("*").alias("rows"), F.count_if(apart).alias("different"))
 
 
-@query()
+@query(f"WITH {sql.FEATURES} SELECT id, true AS around, true AS five_percent FROM split_rows WHERE split = 'test'")
 def point_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price and interval from a model that gives one value; the interval method follows the model."""
     model = LinearRegression(labelCol=config.LABEL, regParam=1.0).fit(_snapshot(spark, sf_dir, "train"))
     priced = pr.price_by_model(_snapshot(spark, sf_dir, "test"), model)
-    return priced.select("id", "price", "low", "high")
+    price, low, high = F.col("price"), F.col("low"), F.col("high")
+    width = F.abs((high - low) - F.abs(price) * config.POINT_INTERVAL_RANGE)
+    return priced.select(
+        "id",
+        price.between(F.least(low, high), F.greatest(low, high)).alias("around"),
+        (width <= 0.02).alias("five_percent"),
+    )
 
 
 @query(f"WITH {sql.FEATURES} SELECT id, true AS tens, true AS around FROM split_rows WHERE split = 'test'")
