@@ -7,7 +7,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from resaleworth import config
 from resaleworth.functions import prices as P
 from resaleworth.operators import clean, evaluate as ev, features as feat, sampling
 from resaleworth.operators.forest import QuantileForest

@@ -5,14 +5,17 @@ import random
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from resaleworth import config
 from resaleworth.operators.forest import QuantileForest, QuantileForestModel
 from resaleworth.operators.impute import ChainedForestImputer, ChainedForestImputerModel
+from resaleworth.operators.selection import Candidate
+from resaleworth.plans.model_choice import choose_and_train
 from resaleworth.plans.scoring import in_request_order, score_requests
 from resaleworth.plans.training import ROW_KEYS
-from resaleworth.queries.frames import trained
+from resaleworth.queries.frames import SMALL_IMPUTATION, tables, trained
 from resaleworth.sources import artefacts
 from resaleworth.sources.inflation import inflation_factors
 from resaleworth.sources.requests import accepted, parse_requests
@@ -184,3 +187,22 @@ def test_train_error_is_finite(spark):
     _, run = trained(spark, SF_DIR)
     assert 0 < run.train_error < 10
     assert config.LABEL == "sales_price"
+
+
+def test_winner_is_trained_and_published(spark, tmp_path):
+    """The retrained winner is a point model here; loading and scoring follow its kind."""
+    _, run = trained(spark, SF_DIR)
+    candidates = {
+        "linear": Candidate(LinearRegression(labelCol=config.LABEL), {"regParam": [1.0, 10.0]}),
+        "mean_forest": Candidate(RandomForestRegressor(labelCol=config.LABEL, seed=1, maxDepth=3), {"numTrees": [3]}),
+    }
+    factors = inflation_factors(spark)
+    winner, _, board = choose_and_train(
+        candidates, artefacts.read_snapshot(spark, run.snapshot), tables(spark, SF_DIR), factors, AS_OF,
+        str(tmp_path), "w1", SMALL_IMPUTATION,
+    )
+    assert winner in candidates and board.count() == 5
+    assert spark.read.parquet(f"{tmp_path}/leaderboard").count() == 5
+    transforms, model = artefacts.load_artefacts(spark, str(tmp_path))
+    scored = score_requests(accepted(parse_requests(payloads(spark, SEVEN))), transforms, model, factors, AS_OF).collect()
+    assert len(scored) == 7 and all(r["price"] is not None and r["q_mid"] is None for r in scored)
