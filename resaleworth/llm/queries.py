@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from resaleworth.llm import jaccard_join, language, line_dedup, mixing, packing
+from resaleworth.llm import jaccard_join, language, lattice_dedup, line_dedup, mixing, packing
 from resaleworth.queries.registry import Registry
 from resaleworth.session import configure
 
@@ -23,6 +23,32 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+@query(
+    """
+WITH RECURSIVE units AS (
+  SELECT vec_id, list_transform(e, lambda x: x / n) AS u
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+  WHERE n > 0
+),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM units a JOIN units b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.9
+),
+reach AS (
+  SELECT vec_id AS start, vec_id AS node FROM embeddings
+  UNION
+  SELECT r.start, l.y FROM reach r JOIN links l ON r.node = l.x
+),
+lowest AS (SELECT start, min(node) AS component_id FROM reach GROUP BY start)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id)::BIGINT AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN lowest ON start = e.vec_id
+"""
+)
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.split_documents(table(spark, sf_dir, "documents"), TOKENIZER)
