@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from resaleworth.llm.text import map_batches, tagged
-from resaleworth.llm.tokens import encode_texts
+from resaleworth.llm.tokens import encode_text
 from resaleworth.operators.ranking import with_row_number
 from resaleworth.session import materialise
 
-# Ids are four bytes; texts are encoded in groups of so many characters.
-WIDTH, GROUP = 4, 1 << 22
+# Bytes of an id.
+WIDTH = 4
 
 
 def piece_lengths(total: int, limit: int) -> Iterator[int]:
@@ -36,31 +37,22 @@ def split_documents(
 ) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens): the pieces of every row, ids packed as little-endian 32-bit values.
 
-    A row's ids are those of its whole text and then ``end_id``. Null or empty text: the end alone. Repeated rows
+    ``tokenizer`` is a file of the ``tokenizers`` library. A row's ids are those of its whole text and then ``end_id``. Null or empty text: the end alone. Repeated rows
     and null ids are cut like any other row. Other columns play no part.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("the longest sequence must be a power of two")
-    end = end_id.to_bytes(WIDTH, "little")
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids": [], "doc_tokens": []}
-        keys, texts = batch["doc_id"].to_pylist(), [text or "" for text in batch["text"].to_pylist()]
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP):
-                size += len(texts[to])
-                to += 1
-            for key, ids in zip(keys[at:to], encode_texts(texts[at:to], tokenizer), strict=True):
-                ids += end
-                start, total = 0, len(ids) // WIDTH
-                for length in piece_lengths(total, limit):
-                    row = (key, start, length, ids[start * WIDTH : (start + length) * WIDTH], total)
-                    for column, value in zip(out.values(), row, strict=True):
-                        column.append(value)
-                    start += length
-            at = to
+        for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            ids = np.array([*encode_text(text or "", tokenizer), end_id], dtype="<u4").tobytes()
+            start, total = 0, len(ids) // WIDTH
+            for length in piece_lengths(total, limit):
+                row = (key, start, length, ids[start * WIDTH : (start + length) * WIDTH], total)
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+                start += length
         return out
 
     rows = tagged(docs, {"doc_id": id_col, "text": text_col})

@@ -1,57 +1,81 @@
-"""Ids by a byte-level BPE tokenizer, with a memory of words."""
+"""Ids by byte-level BPE, read from a ``tokenizers`` file.
+
+Encoding runs on ``tiktoken`` with the merges of the same file, which gives the same ids several times faster;
+``tokenizers`` itself takes the texts whose runs of white space are too long for the other's pattern matching.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
 
-import numpy as np
+import tiktoken
+
+# Characters encoded at once; longer texts are cut at a space between two other characters, where ids never join.
+LONGEST = 1 << 20
+_LONG_RUN = re.compile(r"\s{2048}")
+
 
-# Words whose ids one worker remembers; beyond, the memory starts anew. Longer words are not remembered.
-REMEMBERED, LONG = 400_000, 64
-_SPACE_RUN = re.compile(r" (?:\s|\Z)")
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(path: str) -> tuple:
-    """The tokenizer and its memory of word -> packed ids."""
+def load_tokenizer(path: str) -> tiktoken.Encoding:
+    import public_tokenizers
+
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    added, bytes_of = {t["content"] for t in stored["added_tokens"]}, byte_characters()
+    ranks = {bytes(bytes_of[c] for c in token): rank for token, rank in stored["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def _slow_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
 
 
-def words_of(text: str) -> list[str] | None:
-    """Parts with their leading space that encode on their own, or None if spaces run together.
+def boundary(text: str, at: int) -> int:
+    """The first place from ``at`` on at a space between two other characters: ids never join over it.
 
-    Byte-level pre-tokens start at a space that another character follows, whatever is before it.
+    A pre-token has white space at its start or is nothing else, and only the last space of a run belongs to the
+    word behind it.
     """
-    if _SPACE_RUN.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[f" {word}" for word in rest]]
+    at = max(at, 1)
+    while 0 < (at := text.find(" ", at)) < len(text) - 1:
+        if not text[at - 1].isspace() and not text[at + 1].isspace():
+            return at
+        at += 1
+    return len(text)
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each whole text as little-endian unsigned 32-bit values, no special tokens added.
+def parts(text: str, longest: int) -> list[str]:
+    """``text`` in parts of about ``longest`` characters that encode on their own."""
+    out, at = [], 0
+    while len(text) - at > longest:
+        end = boundary(text, at + longest)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
 
-    A text is the sum of its words, and each new word of a batch is encoded once.
-    """
-    tokenizer, known = load_tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [words_of(text) for text in texts]
-    parts = [[text] if words is None else words for text, words in zip(texts, split, strict=True)]
-    new = list({word for words in parts for word in words if word not in known})
-    ids = {}
-    for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        packed = np.array(found.ids, dtype="<u4").tobytes()
-        (known if len(word) <= LONG else ids)[word] = packed
-    out = []
-    for words in parts:
-        try:
-            out.append(b"".join([known[word] for word in words]))
-        except KeyError:
-            out.append(b"".join([known[word] if word in known else ids[word] for word in words]))
+
+def encode_text(text: str, path: str) -> list[int]:
+    """The ids of the whole text. Strings that look like special tokens are ordinary text."""
+    out: list[int] = []
+    for part in parts(text, LONGEST):
+        if len(part) >= 2048 and _LONG_RUN.search(part):
+            out += _slow_tokenizer(path).encode(part, add_special_tokens=False).ids
+        else:
+            out += load_tokenizer(path).encode_ordinary(part)
     return out
