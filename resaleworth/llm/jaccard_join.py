@@ -4,8 +4,9 @@ Each text is the set of its k-word shingles, in an order that puts rare ones fir
 share a shingle among the first n - ceil(t n) + 1 of each, so only those meet in the join; lengths and positions
 rule out most of what meets, a suffix filter most of the rest, and what remains is intersected once per pair.
 
-Rarity is a count in ``CELLS`` hash cells of all shingles of the corpus. Any order that all texts share is right;
-cells only make it coarser, and the table that goes to the tasks keeps its size.
+Rarity is estimated from two tables of ``CELLS`` hash cells that count all words and all shingles of the corpus: a
+shingle of rare words is rare, unless its own cell shows that a passage is often copied. Any order that all texts
+share is right; cells only make it coarser, and the tables that go to the tasks keep their size.
 
 Copies are one node. A shingle that many texts hold is not turned into all pairs: its holders meet one of them,
 links merge into components, and only texts of different components that still share a shingle meet again, each
@@ -15,6 +16,7 @@ components is lost.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -26,54 +28,77 @@ from resaleworth.llm.components import connected_components
 from resaleworth.llm.text import encoded, fresh, map_batches, mixed, shingle_hashes, tagged, word_hashes
 from resaleworth.session import materialise
 
-CELLS, CHUNK = 1 << 18, 1 << 10
-# Star rounds before all remaining pairs are compared, and pairs per posting at which that happens earlier.
-ROUNDS, FEW = 6, 1
+CELLS, CHUNK = 1 << 20, 1 << 12
+# All remaining pairs are compared after so many star rounds, or earlier: when they are this many per posting, or when
+# fewer than one in ``IDLE`` pairs of the last round linked.
+ROUNDS, FEW, IDLE = 12, 1, 5
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
     texts = encoded(batch["text"].to_pylist())
-    return [shingle_hashes(hashes, words) for hashes in word_hashes(texts)]
+    return [shingle_hashes(hashes, words)[0] for hashes in word_hashes(texts)]
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
-    return (mixed(hashes) >> np.uint64(46)).astype(np.int64)
+    return (mixed(hashes) >> np.uint64(44)).astype(np.int64)
 
 
-def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
-    """How many (text, shingle) pairs of all ``rows`` fall into each cell; its size does not depend on the rows."""
+def corpus_counts(rows: DataFrame, words: int) -> np.ndarray:
+    """(2, CELLS): how many words, and how many (text, shingle) pairs, of all ``rows`` fall into each cell.
 
-    def counts(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
+    Tasks count on their own; reducers add up the chunks of cells that they own, one row at a time.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, CELLS), dtype=np.int64)
         for batch in batches:
-            for shingles in _sets(batch, words):
-                np.add.at(total, _cell(shingles), 1)
-        chunks = total.reshape(-1, CHUNK)
-        used = np.flatnonzero(chunks.any(axis=1))
-        if len(used):
-            arrays = [pa.array(used, pa.int32()), pa.array(list(chunks[used]), pa.list_(pa.int64()))]
-            yield pa.record_batch(arrays, ["chunk", "counts"])
-
-    parts = rows.select("text").mapInArrow(counts, "chunk int, counts array<long>")
-    cells = parts.select((F.col("chunk") * CHUNK).alias("first"), F.posexplode("counts").alias("i", "n")).where("n > 0")
-    summed = cells.groupBy((F.col("first") + F.col("i")).alias("cell")).agg(F.sum("n").alias("n"))
-    out = np.zeros(CELLS, dtype=np.int64)
-    for cell, n in summed.collect():  # CELLS rows at most
-        out[cell] = n
-    return out
+            for hashes in word_hashes(encoded(batch["text"].to_pylist())):
+                np.add.at(total[0], _cell(hashes), 1)
+                np.add.at(total[1], _cell(shingle_hashes(hashes, words)[0]), 1)
+        yield _chunk_rows(dict(enumerate(total.reshape(-1, CHUNK))))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, "<i8")
+        yield _chunk_rows(total)
+
+    schema = "chunk int, counts binary"
+    parts = rows.select("text").mapInArrow(counted, schema).repartition("chunk").mapInArrow(summed, schema)
+    out = np.zeros((2 * CELLS // CHUNK, CHUNK), dtype=np.int64)
+    for chunk, counts in parts.collect():  # 2 * CELLS / CHUNK rows at most
+        out[chunk] = np.frombuffer(counts, "<i8")
+    return out.reshape(2, CELLS)
+
+
+def _chunk_rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    used = {chunk: counts.tobytes() for chunk, counts in total.items() if counts.any()}
+    return pa.record_batch([pa.array(list(used), pa.int32()), pa.array(list(used.values()), pa.binary())], ["chunk", "counts"])
+
+
+def rarity_tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By cell: the logarithm of the words, and the shingles where they are too many for a mere sum of rare ones."""
+    usual = counts[1].sum() / CELLS
+    often = np.where(counts[1] > usual + 6 * np.sqrt(usual) + 1, counts[1], 0)
+    return np.log(counts[0] + 1).astype(np.float32), often.astype(np.int64)
 
 
 def _prefixed(rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """(doc, n, fp, prefix): set size, fingerprint of the set and its rarest shingles, rarest first."""
-    counts = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, words))
+    tables = rows.sparkSession.sparkContext.broadcast(rarity_tables(corpus_counts(rows, words)))
     num, den = threshold.numerator, threshold.denominator
 
     def prefixes(batch: pa.RecordBatch) -> dict[str, list]:
+        common, often = tables.value
         out: dict[str, list] = {"doc": batch["doc"], "n": [], "fp": [], "prefix": []}
-        for shingles in _sets(batch, words):
+        for hashes in word_hashes(encoded(batch["text"].to_pylist())):
+            shingles, at = shingle_hashes(hashes, words)
             n = len(shingles)
             size = n - -(-num * n // den) + 1 if n else 0
-            order = np.lexsort((shingles, counts.value[_cell(shingles)]))[:size]
+            logs = common[_cell(hashes)]
+            sums = sum((logs[at + i] for i in range(min(words, len(hashes)))), np.zeros(n, dtype=np.float32))
+            order = np.lexsort((shingles, sums, often[_cell(shingles)]))[:size]
             out["n"].append(n)
             out["fp"].append(xxhash.xxh3_128_digest(shingles.tobytes()) if n else None)
             out["prefix"].append(shingles[order].view(np.int64))
@@ -139,7 +164,7 @@ def _links(postings: DataFrame, texts: DataFrame, words: int, threshold: Fractio
 
     kind = texts.schema["doc"].dataType.simpleString()
     sets = materialise(map_batches(sets.select("doc", "text"), as_sets, f"node {kind}, shingles binary"), "sets")
-    labels, links, tried = None, None, None
+    labels, links, tried, idle = None, None, None, False
     for turn in range(ROUNDS + 1):
         live = _labelled(live.select("token", "node", "n", "pos"), labels)
         by_comp = live.groupBy("token", "comp").agg(F.count("*").alias("c"))
@@ -150,7 +175,7 @@ def _links(postings: DataFrame, texts: DataFrame, words: int, threshold: Fractio
         if not rows:
             break
         left = live.select("token", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-        last = left <= FEW * rows or turn == ROUNDS
+        last = idle or left <= FEW * rows or turn == ROUNDS
         one = live.select("token", "node", "n", "pos", "comp")
         if last:
             other = one
@@ -172,6 +197,7 @@ def _links(postings: DataFrame, texts: DataFrame, words: int, threshold: Fractio
         labels = connected_components(links)
         if last:
             break
+        idle = found.count() * IDLE < pairs.count()
     return labels
 
 

@@ -57,6 +57,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_endings(data: bytes) -> np.ndarray:
+    """The last four bytes of each word, the last one first, as one number; so like endings are near in order."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _WHITE[raw], [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), dtype=np.int64)
+    for back in range(1, 5):
+        at = ends - back
+        out = (out << 8) | np.where(at >= starts, raw[np.maximum(at, 0)], 0)
+    return out
+
+
 def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, dtype=np.uint8)
     if len(raw) > PIECE:  # one word, or words longer than a piece: rare, hashed by the same sum in steps
@@ -116,16 +128,19 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of k-word shingles; all words as one shingle if there are fewer, none without words."""
+def shingle_hashes(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of k-word shingles, and the word at which each starts first.
+
+    All words are one shingle if there are fewer than k; without words there is none.
+    """
     if not len(words):
-        return words
+        return words, np.zeros(0, dtype=np.int64)
     n = max(1, len(words) - k + 1)
     with np.errstate(over="ignore"):
         out = np.full(n, min(k, len(words)), dtype=np.uint64)
         for i in range(min(k, len(words))):
             out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n])
-    return np.unique(out)
+    return np.unique(out, return_index=True)
 
 
 def tagged(df: DataFrame, columns: dict[str, str]) -> DataFrame:
