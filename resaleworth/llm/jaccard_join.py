@@ -1,8 +1,10 @@
 """N-gram Jaccard join: prefix filtering with the rarest shingles first.
 
 Each text is the set of its k-word shingles, in an order that puts rare ones first. Sets of similarity t or more
-share a shingle among the first n - ceil(t n) + 1 of each, so only those meet in the join; lengths and positions
-rule out most of what meets, a suffix filter most of the rest, and what remains is intersected once per pair.
+share a shingle among the first n - ceil(t n) + 1 of each, so only those meet in the join. Lengths and positions rule
+out some of what meets. A suffix filter rules out most of the rest: how many shingles each set has in ``BINS`` parts
+of the hash range bounds what two sets can share. What remains is intersected, once per pair; only the texts in it
+are cut into shingles again.
 
 Rarity is estimated from two tables of ``CELLS`` hash cells that count all words and all shingles of the corpus: a
 shingle of rare words is rare, unless its own cell shows that a passage is often copied. Any order that all texts
@@ -29,6 +31,7 @@ from resaleworth.llm.text import encoded, fresh, map_batches, mixed, shingle_has
 from resaleworth.session import materialise
 
 CELLS, CHUNK = 1 << 20, 1 << 12
+BINS = 128
 # All remaining pairs are compared after so many star rounds, or earlier: when they are this many per posting, or when
 # fewer than one in ``IDLE`` pairs of the last round linked.
 ROUNDS, FEW, IDLE = 12, 1, 5
@@ -85,13 +88,13 @@ def rarity_tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixed(rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """(doc, n, fp, prefix): set size, fingerprint of the set and its rarest shingles, rarest first."""
+    """(doc, n, fp, prefix, bins): set size, fingerprint of the set, its rarest shingles, rarest first, and its bins."""
     tables = rows.sparkSession.sparkContext.broadcast(rarity_tables(corpus_counts(rows, words)))
     num, den = threshold.numerator, threshold.denominator
 
     def prefixes(batch: pa.RecordBatch) -> dict[str, list]:
         common, often = tables.value
-        out: dict[str, list] = {"doc": batch["doc"], "n": [], "fp": [], "prefix": []}
+        out: dict[str, list] = {"doc": batch["doc"], "n": [], "fp": [], "prefix": [], "bins": []}
         for hashes in word_hashes(encoded(batch["text"].to_pylist())):
             shingles, at = shingle_hashes(hashes, words)
             n = len(shingles)
@@ -102,10 +105,16 @@ def _prefixed(rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
             out["n"].append(n)
             out["fp"].append(xxhash.xxh3_128_digest(shingles.tobytes()) if n else None)
             out["prefix"].append(shingles[order].view(np.int64))
+            out["bins"].append(binned(shingles).tobytes() if n else None)
         return out
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return map_batches(rows, prefixes, f"doc {kind}, n long, fp binary, prefix array<long>")
+    return map_batches(rows, prefixes, f"doc {kind}, n long, fp binary, prefix array<long>, bins binary")
+
+
+def binned(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles are in each part of the hash range."""
+    return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4")
 
 
 def _reachable(na: Column, pa_: Column, nb: Column, pb: Column, threshold: Fraction) -> Column:
@@ -117,34 +126,57 @@ def _reachable(na: Column, pa_: Column, nb: Column, pb: Column, threshold: Fract
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
-    """Exact test of two sorted sets, after a suffix filter on the shingles between eight cuts."""
-    num, den = threshold.numerator, threshold.denominator
-    total = len(a) + len(b)
-    need = -(-num * total // (num + den))
-    if len(b) >= 16:
-        cuts = np.arange(1, 8) * len(b) // 8
-        mine = np.searchsorted(a, b[cuts])
-        apart = np.abs(np.diff(mine, prepend=0, append=len(a)) - np.diff(cuts, prepend=0, append=len(b))).sum()
-        if apart > total - 2 * need:
-            return False
+    """Exact test of two sorted sets."""
     at = np.searchsorted(a, b)
     shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-    return den * shared >= num * (total - shared)
+    return threshold.denominator * shared >= threshold.numerator * (len(a) + len(b) - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The rows of (a, b) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+def _paired(pairs: DataFrame, values: DataFrame, value: str, fn) -> DataFrame:
+    """The rows of (a, b) for whose values (of a node each) ``fn`` says true; it gets two lists of bytes."""
+    both = pairs.join(values.select(F.col("node").alias("a"), F.col(value).alias("va")), "a")
+    both = both.join(values.select(F.col("node").alias("b"), F.col(value).alias("vb")), "b")
 
     def check(batch: pa.RecordBatch) -> dict[str, list]:
-        left, right = batch["sa"].to_pylist(), batch["sb"].to_pylist()
-        keep = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold) for x, y in zip(left, right, strict=True)]
-        linked = batch.filter(pa.array(keep, pa.bool_()))
-        return {"a": linked["a"], "b": linked["b"]}
+        kept = batch.filter(pa.array(fn(batch["va"].to_pylist(), batch["vb"].to_pylist()), pa.bool_()))
+        return {"a": kept["a"], "b": kept["b"]}
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_batches(both.select("a", "b", "sa", "sb"), check, f"a {kind}, b {kind}")
+    # A repeated id has several texts: one of each pair suffices.
+    return map_batches(both.select("a", "b", "va", "vb"), check, f"a {kind}, b {kind}").distinct()
+
+
+def _screened(pairs: DataFrame, bins: DataFrame, threshold: Fraction) -> DataFrame:
+    num, den = threshold.numerator, threshold.denominator
+
+    def near(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(v), "<u4").reshape(-1, BINS).astype(np.int64) for v in (left, right))
+        return np.minimum(a, b).sum(axis=1) * (num + den) >= (a.sum(axis=1) + b.sum(axis=1)) * num
+
+    return _paired(pairs, bins, "bins", near)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    def linked(left: list[bytes], right: list[bytes]) -> list[bool]:
+        return [similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), threshold) for a, b in zip(left, right, strict=True)]
+
+    return _paired(pairs, sets, "shingles", linked)
+
+
+def _new_sets(pairs: DataFrame, sets: DataFrame | None, texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of all texts in ``pairs``, added to those that are there already."""
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select(F.col("node").alias("doc")), "doc", "left_anti")
+    wanted = materialise(wanted, "nodes")
+
+    def as_sets(batch: pa.RecordBatch) -> dict[str, list]:
+        return {"node": batch["doc"], "shingles": [s.astype("<u8").tobytes() for s in _sets(batch, words)]}
+
+    kind = texts.schema["doc"].dataType.simpleString()
+    found = map_batches(texts.join(wanted, "doc").select("doc", "text"), as_sets, f"node {kind}, shingles binary")
+    found = materialise(found.where(F.length("shingles") > 0), "sets")
+    return found if sets is None else sets.unionByName(found)
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -153,18 +185,13 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
-def _links(postings: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame | None:
+def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame | None:
     """(node, component) of all nodes with a link, or None without any."""
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     live = materialise(postings.join(tokens.select("token"), "token"), "postings")
-    sets = texts.join(live.select(F.col("node").alias("doc")).distinct(), "doc")
-
-    def as_sets(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"node": batch["doc"], "shingles": [s.astype("<u8").tobytes() for s in _sets(batch, words)]}
-
-    kind = texts.schema["doc"].dataType.simpleString()
-    sets = materialise(map_batches(sets.select("doc", "text"), as_sets, f"node {kind}, shingles binary"), "sets")
-    labels, links, tried, idle = None, None, None, False
+    bins = materialise(nodes.select("node", "bins").join(live.select("node").distinct(), "node"), "bins")
+    labels, links, tried, sets, idle = None, None, None, None, False
     for turn in range(ROUNDS + 1):
         live = _labelled(live.select("token", "node", "n", "pos"), labels)
         by_comp = live.groupBy("token", "comp").agg(F.count("*").alias("c"))
@@ -192,7 +219,9 @@ def _links(postings: DataFrame, texts: DataFrame, words: int, threshold: Fractio
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(_verified(pairs, sets, threshold), "links")
+        close = materialise(_screened(pairs, bins, threshold), "pairs")
+        sets = _new_sets(close, sets, texts, words)
+        found = materialise(_verified(close, sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
         if last:
@@ -221,8 +250,8 @@ def similar_groups(
     classes = materialise(full.groupBy("fp").agg(F.min("doc").alias("rep")), "classes")
     # Both keys: the copies of one text don't meet in one task.
     nodes = full.join(classes, (full["fp"] == classes["fp"]) & (full["doc"] == classes["rep"]))
-    postings = nodes.select(F.col("rep").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    labels = _links(postings, rows.where("doc is not null"), words, t)
+    nodes = nodes.select(F.col("rep").alias("node"), "n", "prefix", "bins")
+    labels = _links(nodes, rows.where("doc is not null"), words, t)
     placed = classes.withColumnRenamed("rep", "node")
     if labels is not None:
         placed = placed.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
