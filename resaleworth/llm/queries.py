@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from resaleworth.llm import jaccard_join, language, lattice_dedup, line_dedup, mixing, packing
+from resaleworth.llm import graph_search, jaccard_join, language, lattice_dedup, line_dedup, max_entropy, mixing, packing
 from resaleworth.queries.registry import Registry
 from resaleworth.session import configure
 
@@ -56,6 +56,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number_sequences(digests)
 
 
+@query()
+def op4_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest_rows(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 @query(
     """
 WITH RECURSIVE sizes AS (
@@ -112,6 +117,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op7_max_entropy_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 1
+    model = max_entropy.fit_model(docs.where(~held_out))
+    scored = max_entropy.score_texts(docs, model)
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), *names)
+
+
 @query(
     """
 WITH lines AS (
