@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from resaleworth.llm import graph_search, jaccard_join, language, lattice_dedup, line_dedup, max_entropy, mixing, packing
+from resaleworth.llm import graph_search, jaccard_join, language, lattice_dedup, license_scan, line_dedup, max_entropy, mixing, packing, token_edits
 from resaleworth.queries.registry import Registry
 from resaleworth.session import configure
 
@@ -49,6 +49,25 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+# Personal data, keys and runs of one sign, and what takes their place.
+REDACTIONS = (
+    (r"[\w.+-]+@[\w-]+\.[\w.-]*\w", "[email]"),
+    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "[address]"),
+    (r"\+?\d[\d .()-]{6,}\d", "[number]"),
+    (r"\b[0-9a-f]{32,}\b", "[key]"),
+    (r"\${3,}|%{3,}|&{3,}|#{3,}|\*{3,}|!{3,}", ""),
+)
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = token_edits.replacements(F.col("text"), REDACTIONS)
+    counted = token_edits.count_with_edits(docs, edits, TOKENIZER)
+    digest = F.sha2("edited_text", 256).alias("edited_sha256")
+    return counted.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded", digest)
+
+
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.split_documents(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -127,6 +146,48 @@ def op7_max_entropy_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), *names)
 
 
+def _license_sql() -> str:
+    """The best window of every template by brute force: all windows, all templates of the class."""
+    quoted = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in license_scan.NOTICES)
+    return f"""
+WITH notices(template, txt) AS (VALUES {quoted}),
+tw AS (
+  SELECT template, list_filter(regexp_split_to_array(lower(txt), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM notices
+),
+ts AS (
+  SELECT DISTINCT template, array_to_string(w[i:i + 2], ' ') AS s, CAST(2 * pow(2, ceil(log2(len(w)))) AS BIGINT) AS width
+  FROM (SELECT template, w, unnest(generate_series(1, len(w) - 2)) AS i FROM tw)
+),
+tn AS (SELECT template, width, count(*) AS n FROM ts GROUP BY ALL),
+dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents
+),
+ds AS (
+  SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM dw WHERE len(w) >= 3)
+),
+hits AS (
+  SELECT doc_id, template, width, s, p, (p // (width // 2) - b) * (width // 2) AS start
+  FROM ds JOIN ts USING (s), (VALUES (0), (1)) AS back(b)
+),
+windows AS (
+  SELECT doc_id, template, start, count(DISTINCT s) AS c FROM hits
+  WHERE start >= 0 AND p + 3 <= start + width GROUP BY ALL
+),
+good AS (
+  SELECT doc_id, template, start, c / n AS share FROM windows JOIN tn USING (template) WHERE c / n >= 0.8
+)
+SELECT doc_id, template, max(share) AS share, arg_min(start, struct_pack(a := -share, b := start))::INT AS window_start,
+  count(*) AS n_windows
+FROM good GROUP BY doc_id, template
+"""
+
+
+@query(_license_sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
 WITH lines AS (
