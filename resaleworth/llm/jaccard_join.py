@@ -10,10 +10,10 @@ Rarity is estimated from two tables of ``CELLS`` hash cells that count all words
 shingle of rare words is rare, unless its own cell shows that a passage is often copied. Any order that all texts
 share is right; cells only make it coarser, and the tables that go to the tasks keep their size.
 
-Copies are one node. A shingle that many texts hold is not turned into all pairs: its holders meet one of them,
-links merge into components, and only texts of different components that still share a shingle meet again, each
-time another one of them. When few such pairs are left, all of them are compared, so no link that joins two
-components is lost.
+Copies are one node. A shingle that many texts hold is not turned into all pairs: its holders first meet the one that
+has it earliest in its order, which is the text with the least of its own, the likely middle of a group. Whoever
+links takes over its label, and only texts of different labels that still share a shingle meet again. When that finds
+little more, all pairs of different labels are compared, so no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ from resaleworth.session import materialise
 
 CELLS, CHUNK = 1 << 20, 1 << 12
 BINS = 128
-# All remaining pairs are compared after so many star rounds, or earlier: when they are this many per posting, or when
-# fewer than one in ``IDLE`` pairs of the last round linked.
-ROUNDS, FEW, IDLE = 12, 1, 5
+# Star rounds go on while more than ``FEW`` pairs per posting are left and one in ``IDLE`` postings finds a link.
+FEW, IDLE = 1, 20
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -118,11 +117,14 @@ def binned(shingles: np.ndarray) -> np.ndarray:
 
 
 def _reachable(na: Column, pa_: Column, nb: Column, pb: Column, threshold: Fraction) -> Column:
-    """Length and positional filter for sets of na and nb that share the shingle at places pa_ and pb."""
+    """Length and positional filter for sets of na and nb that share the shingle at places pa_ and pb.
+
+    Similar sets have all their common shingles from their first common one on, so at that one enough must be left in
+    both. Where a later one fails this, the first one lets the pair through.
+    """
     num, den = threshold.numerator, threshold.denominator
     length = F.greatest(na, nb) * num <= F.least(na, nb) * den
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return length & (most * (num + den) >= (na + nb) * num)
+    return length & (F.least(na - pa_, nb - pb) * (num + den) >= (na + nb) * num)
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
@@ -133,17 +135,16 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
 
 
 def _paired(pairs: DataFrame, values: DataFrame, value: str, fn) -> DataFrame:
-    """The rows of (a, b) for whose values (of a node each) ``fn`` says true; it gets two lists of bytes."""
+    """The rows of ``pairs`` (a, b and more) for whose values (of a node each) ``fn`` says true; it gets two lists of bytes."""
+    names = pairs.columns
     both = pairs.join(values.select(F.col("node").alias("a"), F.col(value).alias("va")), "a")
     both = both.join(values.select(F.col("node").alias("b"), F.col(value).alias("vb")), "b")
 
     def check(batch: pa.RecordBatch) -> dict[str, list]:
         kept = batch.filter(pa.array(fn(batch["va"].to_pylist(), batch["vb"].to_pylist()), pa.bool_()))
-        return {"a": kept["a"], "b": kept["b"]}
+        return {name: kept[name] for name in names}
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    # A repeated id has several texts: one of each pair suffices.
-    return map_batches(both.select("a", "b", "va", "vb"), check, f"a {kind}, b {kind}").distinct()
+    return map_batches(both.select(*names, "va", "vb"), check, ", ".join(f"{c} {t}" for c, t in pairs.dtypes))
 
 
 def _screened(pairs: DataFrame, bins: DataFrame, threshold: Fraction) -> DataFrame:
@@ -168,7 +169,6 @@ def _new_sets(pairs: DataFrame, sets: DataFrame | None, texts: DataFrame, words:
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     if sets is not None:
         wanted = wanted.join(sets.select(F.col("node").alias("doc")), "doc", "left_anti")
-    wanted = materialise(wanted, "nodes")
 
     def as_sets(batch: pa.RecordBatch) -> dict[str, list]:
         return {"node": batch["doc"], "shingles": [s.astype("<u8").tobytes() for s in _sets(batch, words)]}
@@ -179,55 +179,65 @@ def _new_sets(pairs: DataFrame, sets: DataFrame | None, texts: DataFrame, words:
     return found if sets is None else sets.unionByName(found)
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return postings.withColumn("comp", F.col("node"))
-    return postings.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-
-
 def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame | None:
     """(node, component) of all nodes with a link, or None without any."""
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    live = materialise(postings.join(tokens.select("token"), "token"), "postings")
+    live = postings.join(tokens.select("token"), "token").withColumn("label", F.col("node"))
+    live = materialise(live, "postings")
     bins = materialise(nodes.select("node", "bins").join(live.select("node").distinct(), "node"), "bins")
-    labels, links, tried, sets, idle = None, None, None, None, False
-    for turn in range(ROUNDS + 1):
-        live = _labelled(live.select("token", "node", "n", "pos"), labels)
-        by_comp = live.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        sums = by_comp.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps"))
-        open_tokens = sums.where("comps > 1").select("token", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"))
-        live = materialise(live.join(open_tokens, "token"), "postings")
-        rows = live.count()
+    links, sets, turn, idle = None, None, 0, False
+    while True:
+        by_label = live.groupBy("token", "label").agg(F.count("*").alias("c"))
+        sums = by_label.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("labels"))
+        share = ((F.col("m") * F.col("m") - F.col("q")) / (F.col("m") * 2)).alias("share")
+        live = live.select("token", "node", "n", "pos", "label").join(sums.where("labels > 1").select("token", share), "token")
+        live = materialise(live, "postings")
+        rows, left = live.agg(F.count("*"), F.sum("share")).first()
         if not rows:
             break
-        left = live.select("token", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-        last = idle or left <= FEW * rows or turn == ROUNDS
-        one = live.select("token", "node", "n", "pos", "comp")
+        last = idle or left <= FEW * rows
+        one = live.drop("share")
         if last:
             other = one
         else:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")).alias("p")
-            other = one.groupBy("token").agg(first).select("token", "p.node", "p.n", "p.pos", "p.comp")
-        other = other.select("token", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "comp")])
+            first = F.min(F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")).alias("p")
+            other = one.groupBy("token").agg(first).select("token", "p.node", "p.n", "p.pos", "p.label")
+        other = other.select("token", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "label")])
         near = _reachable(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), threshold)
-        met = one.join(other, "token").where((F.col("comp") != F.col("comp_")) & near)
+        met = one.join(other, "token").where((F.col("label") != F.col("label_")) & near)
         if last:
             met = met.where("node < node_")
-        pairs = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        close = materialise(_screened(pairs, bins, threshold), "pairs")
+        # b is the pivot of a star; the other way round it is another star.
+        pairs = met.select(F.col("node").alias("a"), F.col("node_").alias("b"), "label", "label_").distinct()
+        close = _screened(pairs, bins, threshold)
+        if links is not None:
+            tried = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            close = close.join(tried, ["a", "b"], "left_anti")
+        close = materialise(close, "pairs")
         sets = _new_sets(close, sets, texts, words)
-        found = materialise(_verified(close, sets, threshold), "links")
+        # A repeated id has several texts: one link of a pair suffices.
+        found = materialise(_verified(close, sets, threshold).distinct(), "links")
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
         if last:
             break
-        idle = found.count() * IDLE < pairs.count()
-    return labels
+        live, idle = _merged(live, found), found.count() * IDLE < rows
+        turn += 1
+    return None if links is None else connected_components(links)
+
+
+def _merged(live: DataFrame, found: DataFrame) -> DataFrame:
+    """``live`` with the label of the pivot for each label that has linked with one, where that lowers its hash.
+
+    One step, not the whole component: labels only ever join what is linked, and what they miss is compared later.
+    """
+    both = found.select(F.col("label").alias("u"), F.col("label_").alias("v")).union(found.select("label_", "label"))
+    degree = both.distinct().groupBy("v").agg(F.count("*").alias("degree"))
+    ranked = both.distinct().join(degree, "v").select("u", F.struct((-F.col("degree")).alias("d"), F.xxhash64("v").alias("h"), "v").alias("to"))
+    own = degree.select(F.col("v").alias("u"), F.struct((-F.col("degree")).alias("d"), F.xxhash64("v").alias("h"), "v").alias("self"))
+    best = ranked.groupBy("u").agg(F.min("to").alias("to")).join(own, "u").where("to < self")
+    moves = best.select(F.col("u").alias("label"), F.col("to.v").alias("target"))
+    return live.join(moves, "label", "left").withColumn("label", F.coalesce("target", "label")).drop("target")
 
 
 def similar_groups(
