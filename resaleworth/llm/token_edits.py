@@ -137,9 +137,9 @@ def count_with_edits(docs: DataFrame, edits: Column, tokenizer: str, text_col: s
         for text, edits_ in zip(texts, changes, strict=True):
             tree = TokenTree(text or "", tokenizer)
             before, encoded = tree.count(), tree.encoded
-            usable = [e for e in (() if edits_ is None else edits_) if e is not None and all(e[k] is not None for k in ("start", "end", "new"))]
+            usable = [e for e in (() if edits_ is None else edits_) if e is not None and not any(map(pd.isna, e.values()))]
             for e in usable:
-                tree.edit(e["start"], e["end"], e["new"])
+                tree.edit(int(e["start"]), int(e["end"]), e["new"])
             rows.append((before, len(usable), tree.count(), tree.encoded - encoded, tree.text))
         return pd.DataFrame(rows, columns=["n_tokens", "n_edits", "n_tokens_after", "n_encoded", "edited_text"])
 
