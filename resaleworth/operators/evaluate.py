@@ -54,8 +54,12 @@ def result_table(
     actuals: DataFrame, predictions: DataFrame, keys: Sequence[str], label: str = config.LABEL
 ) -> DataFrame:
     """Actual value, prediction, interval and in-range flag, matched on the row key."""
-    joined = actuals.select(*keys, label).join(predictions.select(*keys, "prediction", "low", "high"), list(keys))
-    return joined.withColumn("in_range", P.in_range(F.col(label), F.col("low"), F.col("high")))
+    return with_in_range(actuals.select(*keys, label).join(predictions.select(*keys, "prediction", "low", "high"), list(keys)), label)
+
+
+def with_in_range(results: DataFrame, label: str = config.LABEL) -> DataFrame:
+    """For predictions that carry the actual value already."""
+    return results.withColumn("in_range", P.in_range(F.col(label), F.col("low"), F.col("high")))
 
 
 def interval_check(results: DataFrame) -> DataFrame:
@@ -126,8 +130,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 def density_curve(df: DataFrame, columns: Sequence[str], points: int = 200, cut: float = 3.0) -> DataFrame:
     """(series, x, density): Gaussian kernel density with Scott's bandwidth on an even grid.
 
-    Equal values merge first; then each distinct value meets the fixed grid inside its own row, and
-    the sums per grid point merge map-side. The grid spans the data plus ``cut`` bandwidths.
+    Each value meets the fixed grid inside its own row, and the sums per grid point merge map-side, so no value
+    moves. The grid spans the data plus ``cut`` bandwidths.
     """
     aggregates = [f(F.col(name).cast("double")) for name in columns for f in (F.count, F.stddev_samp, F.min, F.max)]
     stats = df.agg(*aggregates).first()
@@ -142,14 +146,14 @@ def density_curve(df: DataFrame, columns: Sequence[str], points: int = 200, cut:
     grid = F.sequence(F.lit(0), F.lit(points - 1))
     result = None
     for name, n, h, start, step in curves:
-        counts = df.select(F.col(name).cast("double").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+        values = df.select(F.col(name).cast("double").alias("v"))
         x = F.lit(start) + F.col("i") * step
         kernel = F.exp(-F.pow((F.col("v") - x) / h, 2) / 2)
         curve = (
-            counts.where(F.col("v").isNotNull())
-            .select("v", "n", F.explode(grid).alias("i"))
+            values.where(F.col("v").isNotNull())
+            .select("v", F.explode(grid).alias("i"))
             .groupBy("i")
-            .agg(F.sum(F.col("n") * kernel).alias("mass"))
+            .agg(F.sum(kernel).alias("mass"))
             .select(
                 F.lit(name).alias("series"),
                 x.alias("x"),

@@ -29,8 +29,7 @@ LEAVES = "_leaves"
 MEAN = "_mean"
 # Largest leaf table that travels with the tasks as one value (8 bytes per leaf).
 LOOKUP_LIMIT = 2_000_000
-SALTS = 16
-# Spark trees stop at this depth; deeper settings are cut to it.
+# Deepest tree that Spark grows.
 MAX_DEPTH = 30
 
 
@@ -73,6 +72,10 @@ class QuantileForest(
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", TypeConverters.toInt)
     minInfoGain = Param(Params._dummy(), "minInfoGain", "smallest gain of a split", TypeConverters.toFloat)
     maxBins = Param(Params._dummy(), "maxBins", "split points tried per column", TypeConverters.toInt)
+    minLeafShare = Param(
+        Params._dummy(), "minLeafShare", "smallest share of the rows in a leaf; a tree has 1/share leaves at most", TypeConverters.toFloat
+    )
+    salts = Param(Params._dummy(), "salts", "parts of a leaf when the leaf table is joined", TypeConverters.toInt)
     keyCols = Param(Params._dummy(), "keyCols", "columns that identify a row", TypeConverters.toListString)
     quantiles = Param(Params._dummy(), "quantiles", "predicted quantiles", TypeConverters.toListFloat)
 
@@ -87,6 +90,8 @@ class QuantileForest(
         maxDepth=None,
         minInfoGain=None,
         maxBins=None,
+        minLeafShare=None,
+        salts=None,
         keyCols=None,
         quantiles=None,
         seed=None,
@@ -98,6 +103,8 @@ class QuantileForest(
             maxDepth=MAX_DEPTH,
             minInfoGain=0.0,
             maxBins=64,
+            minLeafShare=1e-4,
+            salts=16,
             keyCols=["id"],
             quantiles=list(config.SCORING_QUANTILES),
             seed=42,
@@ -106,6 +113,9 @@ class QuantileForest(
 
     def _fit(self, dataset: DataFrame) -> "QuantileForestModel":
         keys, label = self.getOrDefault(self.keyCols), self.getLabelCol()
+        depth = self.getOrDefault(self.maxDepth)
+        if depth > MAX_DEPTH:
+            raise ValueError(f"maxDepth is {depth}, trees stop at {MAX_DEPTH}")
         rows = dataset.select(*keys, self.getFeaturesCol(), label)
         forest = RandomForestRegressor(
             featuresCol=self.getFeaturesCol(),
@@ -113,7 +123,8 @@ class QuantileForest(
             predictionCol=MEAN,
             leafCol=LEAVES,
             numTrees=self.getOrDefault(self.numTrees),
-            maxDepth=min(self.getOrDefault(self.maxDepth), MAX_DEPTH),
+            maxDepth=depth,
+            minWeightFractionPerNode=self.getOrDefault(self.minLeafShare),
             minInfoGain=self.getOrDefault(self.minInfoGain),
             maxBins=self.getOrDefault(self.maxBins),
             featureSubsetStrategy="all",
@@ -130,6 +141,8 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     maxDepth = QuantileForest.maxDepth
     minInfoGain = QuantileForest.minInfoGain
     maxBins = QuantileForest.maxBins
+    minLeafShare = QuantileForest.minLeafShare
+    salts = QuantileForest.salts
     keyCols = QuantileForest.keyCols
     quantiles = QuantileForest.quantiles
 
@@ -142,6 +155,7 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         super().__init__()
         self._setDefault(
             labelCol=config.LABEL,
+            salts=16,
             keyCols=["id"],
             quantiles=list(config.SCORING_QUANTILES),
         )
@@ -202,21 +216,19 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
             .drop("_drawn")
         )
 
-    def predict_by_join(self, dataset: DataFrame, salts: int = SALTS) -> DataFrame:
-        """Larger leaf tables are joined on (tree, leaf); the salt spreads leaves that most rows reach."""
-        keys = self.getOrDefault(self.keyCols)
-        leafed = self.forest.transform(dataset).select(*keys, LEAVES)
-        salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("salt")
-        reached = leaf_ids(leafed, *keys).withColumn("salt", salt)
+    def predict_by_join(self, dataset: DataFrame) -> DataFrame:
+        """Larger leaf tables are joined on (tree, leaf); the salt spreads leaves that most rows reach.
+
+        Rows are stored once with a number of their own, so repeated and null keys stay apart and every row comes back.
+        """
+        salts = self.getOrDefault(self.salts)
+        rows = materialise(self.forest.transform(dataset).withColumn("_row", F.monotonically_increasing_id()), "leafed")
+        reached = leaf_ids(rows, "_row").withColumn("salt", F.pmod("_row", F.lit(salts)).cast("int"))
         table = self.leaves.select("tree", "leaf", "y", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        shares = F.array(*[F.lit(float(q)) for q in self.getOrDefault(self.quantiles)])
-        # A row has one value per tree, so the exact percentile stays small.
-        values = (
-            reached.join(table, ["tree", "leaf", "salt"])
-            .groupBy(*keys)
-            .agg(F.percentile("y", shares).alias("quantile_values"))
-        )
-        return dataset.join(values, keys)
+        drawn = reached.join(table, ["tree", "leaf", "salt"]).groupBy("_row").agg(F.sort_array(F.collect_list("y")).alias("_drawn"))
+        wanted = [_quantile(F.col("_drawn"), self.trees, q) for q in self.getOrDefault(self.quantiles)]
+        values = drawn.select("_row", F.array(*wanted).alias("quantile_values"))
+        return rows.drop(LEAVES, MEAN).join(values, "_row", "left").drop("_row")
 
     def write(self) -> MLWriter:
         return _ForestWriter(self)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 LISTINGS = """
 bikes AS (
-  SELECT o_orderkey AS id, o_orderkey % 2500 AS bike_template_id, o_totalprice / 18 AS msrp,
+  SELECT o_orderkey AS id, o_orderkey % (SELECT max(p_partkey) * 5 // 4 FROM part) AS bike_template_id, o_totalprice / 18 AS msrp,
     o_orderdate + INTERVAL 276 MONTH AS created_at,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN 1800
          ELSE CAST(1990 + p_size AS BIGINT) END AS year,
@@ -21,7 +21,7 @@ bikes AS (
     o_custkey AS family_model_id, o_custkey % 100 AS family_id,
     CAST(substr(p_brand, 7) AS BIGINT) AS brand_id, o_orderkey % 2 AS is_mobile,
     CASE WHEN o_orderstatus = 'P' THEN 'active' ELSE 'sold' END AS status
-  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON p_partkey = o_orderkey % 2500
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON p_partkey = o_orderkey % (SELECT max(p_partkey) * 5 // 4 FROM part)
 ),
 lines AS (
   SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,

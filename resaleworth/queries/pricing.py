@@ -9,6 +9,7 @@ from resaleworth.operators import pricing as pr
 from resaleworth.plans.scoring import in_request_order, price_rule_rows
 from resaleworth.queries import frames, oracle_base as sql
 from resaleworth.queries.registry import Registry
+from resaleworth.session import materialise
 from resaleworth.sources import requests as req
 from resaleworth.sources.inflation import inflation_factors
 
@@ -107,4 +108,4 @@ def scored_rule_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = req.conform(req.accepted(req.parse_requests(payloads)), keys=("payload_id", "request_pos"))
     by_rule = rows.where(P.takes_rule(F.col("msrp")))
     scored = price_rule_rows(by_rule, inflation_factors(spark), frames.AS_OF, ("payload_id", "request_pos"))
-    return in_request_order(scored).drop("interval", "q_low", "q_mid", "q_high")
+    return in_request_order(materialise(scored, "scored")).drop("interval", "q_low", "q_mid", "q_high")

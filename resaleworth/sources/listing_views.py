@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth.sources.tables import ListingTables
 
-TEMPLATES = 2500
-
 
 def _shifted(column: str):
     return (F.col(column) + F.expr("INTERVAL 276 MONTHS")).cast("timestamp")
@@ -26,15 +24,14 @@ def _booking_key():
 
 def _bikes(orders: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
-    # Only part keys below TEMPLATES can match, so this side has at most that many rows.
-    templates = part.where(F.col("p_partkey").between(0, TEMPLATES - 1))
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        F.broadcast(templates), F.col("p_partkey") == key % TEMPLATES, "left"
-    )
+    # A fifth of the template ids has no part, so the left join misses at any scale.
+    last = part.agg(F.max("p_partkey")).first()[0] or 0
+    template = key % max(last * 5 // 4, 1)
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("p_partkey") == template, "left")
     mileage = key % 7
     return joined.select(
         key.alias("id"),
-        (key % TEMPLATES).alias("bike_template_id"),
+        template.alias("bike_template_id"),
         (F.col("o_totalprice") / 18).alias("msrp"),
         _shifted("o_orderdate").alias("created_at"),
         F.when(key % 11 == 0, None)

@@ -54,12 +54,16 @@ class ListingTables:
     bike_additional_infos: DataFrame
 
 
+# Their bounds reach the scan only if nothing wraps them; NaN is above every upper bound and falls out there.
+BOUNDED = {"msrp", "bike_price_currency"}
+
+
 def typed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Keep the declared columns with the declared types; NaN never enters a table."""
+    """Keep the declared columns with the declared types; NaN becomes null but in the bounded prices."""
 
     def column(name: str, dtype: str):
         value = F.col(name).cast(dtype)
-        return F.nanvl(value, F.lit(None)) if dtype in ("double", "float") else value
+        return F.nanvl(value, F.lit(None)) if dtype in ("double", "float") and name not in BOUNDED else value
 
     return df.select(*[column(name, dtype).alias(name) for name, dtype in types.items()])
 

@@ -114,9 +114,27 @@ def test_leaf_table_holds_labels_of_its_leaf(points, forest):
     assert [r["n"] for r in per_tree] == [1000] * 7
 
 
-def test_lookup_and_join_agree(points, forest):
-    key = lambda df: [v for r in df.orderBy("id").collect() for v in r["quantile_values"]]
-    assert key(forest.predict_by_join(points, salts=3)) == pytest.approx(key(forest.predict_by_lookup(points)))
+def test_lookup_and_join_agree_whatever_the_keys(points, forest):
+    """Rows of one key and rows without a key stay apart and keep their own quantiles."""
+    odd = points.where("id in (3, 40)").withColumn("id", F.lit(3).cast("bigint"))
+    rows = points.unionByName(odd).unionByName(odd.withColumn("id", F.lit(None).cast("bigint")))
+    values = lambda df: sorted((repr(r["id"]), r["x"], *r["quantile_values"]) for r in df.collect())
+    salted = forest.copy()
+    salted._set(salts=3)
+    joined = values(salted.predict_by_join(rows))
+    assert joined == values(forest.predict_by_lookup(rows)) and len(joined) == rows.count()
+
+
+def test_a_depth_that_trees_cannot_have_is_refused(points):
+    with pytest.raises(ValueError, match="maxDepth"):
+        QuantileForest(maxDepth=40).fit(points)
+
+
+def test_leaves_do_not_grow_with_the_rows(points):
+    few = QuantileForest(numTrees=2, maxDepth=20, minLeafShare=0.05)
+    twice = points.unionByName(points.withColumn("id", F.col("id") + 5000).withColumn("sales_price", F.col("sales_price") + F.rand(1)))
+    for rows in (points, twice):
+        assert few.fit(rows).leaf_count <= 2 * 20
 
 
 def test_lookup_moves_no_rows(points, forest):

@@ -221,3 +221,21 @@ def test_evaluation_against_python(spark):
 def test_feature_lists():
     assert len(config.CATEGORICAL) == 8 and len(config.NUMERICAL) == 18
     assert not set(config.COMPUTED) & set(clean.training_columns())
+
+
+def test_price_bounds_reach_the_scans(spark, tmp_path):
+    from resaleworth.operators.clean import clean_sales
+    from resaleworth.plans.extract import SALE_ORDER, sales_extract
+    from resaleworth.sources.inflation import inflation_factors
+    from resaleworth.sources.listing_views import listing_tables
+    from resaleworth.sources.tables import SCHEMAS, read_tables
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    views = listing_tables(spark, "/root/testdata/sf0.001")
+    for name in SCHEMAS:
+        getattr(views, name).write.parquet(f"{tmp_path}/{name}")
+    cleaned = clean_sales(sales_extract(read_tables(spark, str(tmp_path))), inflation_factors(spark), SALE_ORDER)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(msrp" in line and "LessThanOrEqual(msrp" in line for line in pushed)
+    assert any("GreaterThan(bike_price_currency" in line and "LessThan(bike_price_currency" in line for line in pushed)
