@@ -156,6 +156,8 @@ def build_graphs(
     sizes = points.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).alias("shards"), F.max("norm").alias("top"))
     shard = F.pmod(F.xxhash64("c1", "c2", F.lit(seed)), F.col("shards")).cast("int").alias("shard")
     dealt = points.join(sizes, "dim").select("dim", shard, "c1", "c2", "vec", "top")
+    # A shard is little data and much work: a task for each, however small.
+    n = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["c1", "c2"], ignore_index=True)
@@ -165,7 +167,7 @@ def build_graphs(
         return rows.assign(place=np.arange(len(rows)), edges=list(graph.edges))
 
     schema = "dim int, shard int, place int, c1 long, c2 long, vec array<double>, top double, edges array<long>"
-    return dealt.groupBy("dim", "shard").applyInPandas(lambda rows: build(rows)[schema_names(schema)], schema)
+    return dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInPandas(lambda rows: build(rows)[schema_names(schema)], schema)
 
 
 def schema_names(schema: str) -> list[str]:
@@ -210,7 +212,9 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, keep: int, beam: int =
         q, c = wanted.iloc[asked_at], index.iloc[found]
         return pd.DataFrame({"q1": q["q1"].to_numpy(), "q2": q["q2"].to_numpy(), "c1": c["c1"].to_numpy(), "c2": c["c2"].to_numpy(), "score": score})
 
-    both = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("asked_dim", "asked_shard", "asked_block"))
+    n = max(1, shards.join(blocks, "dim").agg(F.coalesce(F.sum("blocks"), F.lit(1))).first()[0])
+    held = held.repartition(n, "dim", "shard", "block").groupBy("dim", "shard", "block")
+    both = held.cogroup(asked.repartition(n, "asked_dim", "asked_shard", "asked_block").groupBy("asked_dim", "asked_shard", "asked_block"))
     return both.applyInPandas(search, "q1 long, q2 long, c1 long, c2 long, score double")
 
 
