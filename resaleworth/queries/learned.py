@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth import config
 from resaleworth.operators import pricing as pr
+from resaleworth.operators.forest import QuantileForest
 from resaleworth.operators.impute import ChainedForestImputer
 from resaleworth.operators.selection import LEADERBOARD, Candidate, finetune, shortlist
 from resaleworth.plans import evaluation, model_choice, scoring
@@ -232,40 +234,105 @@ def evaluation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("rows", plausible.alias("plausible"))
 
 
-def _candidates() -> dict[str, Candidate]:
-    forest = RandomForestRegressor(labelCol=config.LABEL, seed=42, maxDepth=4)
+def _one_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with the list price as their only feature, so that linear fits have a closed form in SQL."""
+    rows = frames.split_rows(spark, sf_dir).where("msrp IS NOT NULL").select("id", "split", "sales_price", "msrp")
+    return materialise(VectorAssembler(inputCols=["msrp"], outputCol="features").transform(rows), "one-number")
+
+
+def _linear_candidates() -> dict[str, Candidate]:
+    """A line, a line through zero, and a level (all weight on the penalty)."""
+    line = LinearRegression(labelCol=config.LABEL, solver="normal")
     return {
-        "quantile_forest": Candidate(frames.small_forest(), {"numTrees": [4, 6]}),
-        "mean_forest": Candidate(forest, {"numTrees": [4, 6]}),
-        "linear": Candidate(LinearRegression(labelCol=config.LABEL), {"regParam": [1.0]}),
+        "line": Candidate(line, {"fitIntercept": [True, False]}),
+        "origin": Candidate(line, {"fitIntercept": [False]}),
+        "level": Candidate(line, {"regParam": [1e15]}),
     }
 
 
-@query()
+def _forest_candidates() -> dict[str, Candidate]:
+    return {
+        "quantile_forest": Candidate(QuantileForest(keyCols=["id"], numTrees=5, maxDepth=5)),
+        "mean_forest": Candidate(RandomForestRegressor(labelCol=config.LABEL, seed=42, numTrees=5, maxDepth=4)),
+        "boosted_trees": Candidate(GBTRegressor(labelCol=config.LABEL, seed=42, maxIter=3, maxDepth=3)),
+    }
+
+
+def _linear_errors(folds: int) -> str:
+    """CTEs that end in scores_<folds>(model, score): the mean fold error of the three linear fits."""
+    fold = f"CAST('0x' || substr(md5('{config.SHUFFLE_SEED}' || id::VARCHAR), 1, 8) AS BIGINT) % 10000 % {folds}"
+    fits = "regr_slope(sales_price, msrp) AS a, regr_intercept(sales_price, msrp) AS b, sum(sales_price * msrp) / sum(msrp * msrp) AS o, avg(sales_price) AS m"
+    return f"""
+  folded_{folds} AS (SELECT *, {fold} AS fold FROM one_number WHERE split = 'train'),
+  fits_{folds} AS (SELECT f AS fold, {fits} FROM folded_{folds}, range({folds}) AS t(f) WHERE fold <> f GROUP BY f),
+  errors_{folds} AS (
+    SELECT fold, unnest([struct_pack(model := 'line', p := a * msrp + b), struct_pack(model := 'origin', p := o * msrp),
+      struct_pack(model := 'level', p := m)], recursive := true), sales_price
+    FROM folded_{folds} JOIN fits_{folds} USING (fold)
+  ),
+  scores_{folds} AS (
+    SELECT model, avg(score) AS score FROM (
+      SELECT model, fold, avg(abs(sales_price - p) / sales_price) AS score FROM errors_{folds} GROUP BY ALL) GROUP BY model
+  )"""
+
+
+_ONE_NUMBER = f"WITH {sql.FEATURES}, one_number AS (SELECT id, split, sales_price, msrp FROM split_rows WHERE msrp IS NOT NULL)"
+_TEST_ERRORS = """
+  final AS (
+    SELECT regr_slope(sales_price, msrp) AS a, regr_intercept(sales_price, msrp) AS b,
+      sum(sales_price * msrp) / sum(msrp * msrp) AS o FROM one_number WHERE split = 'train'
+  ),
+  tested AS (
+    SELECT avg(abs(sales_price - a * msrp - b) / sales_price) AS line, avg(abs(sales_price - o * msrp) / sales_price) AS origin
+    FROM one_number, final WHERE split = 'test'
+  )"""
+
+
+@query(
+    f"{_ONE_NUMBER}, {_linear_errors(3)} SELECT model, round(score, 6) AS score, true AS positive FROM scores_3"
+    " UNION ALL SELECT unnest(['quantile_forest', 'mean_forest', 'boosted_trees']), NULL, true"
+)
 def shortlisted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-fold error of each candidate with its default settings."""
-    names, rows = shortlist(_candidates(), _snapshot(spark, sf_dir, "train"))
+    """Three-fold error of each candidate with its default settings; the numbers of the linear ones."""
+    linear = _linear_candidates()
+    _, rows = shortlist({**linear, **_forest_candidates()}, _one_number(spark, sf_dir).where("split = 'train'"))
     board = spark.createDataFrame(rows, LEADERBOARD)
-    return board.select("model", F.round("score", 6).alias("score"), F.col("model").isin(names).alias("kept"))
+    known = F.when(F.col("model").isin(*linear), F.round("score", 6))
+    return board.select("model", known.alias("score"), (F.col("score") > 0).alias("positive"))
 
 
-@query()
+@query(
+    f"{_ONE_NUMBER}, {_linear_errors(2)}, {_TEST_ERRORS}, grid AS (SELECT CASE model WHEN 'line' THEN 'fitIntercept=True'"
+    " ELSE 'fitIntercept=False' END AS params, model, score FROM scores_2 WHERE model <> 'level')"
+    " SELECT 'line' AS model, params, round(score, 6) AS score, CASE WHEN score = (SELECT min(score) FROM grid)"
+    " THEN round(CASE model WHEN 'line' THEN line ELSE origin END, 6) END AS test_score FROM grid, tested"
+)
 def tuned_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-fold grid search of one candidate with its error on the test rows."""
-    name = "mean_forest"
-    train, test = _snapshot(spark, sf_dir, "train"), _snapshot(spark, sf_dir, "test")
-    _, _, _, rows = finetune(name, _candidates()[name], train, test)
-    return spark.createDataFrame(rows, LEADERBOARD).select("model", "params", "score", "test_score")
+    """Two-fold grid search of one candidate, with the error of its best setting on the test rows."""
+    rows = _one_number(spark, sf_dir)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    _, _, _, tried = finetune("line", _linear_candidates()["line"], train, test)
+    board = spark.createDataFrame(tried, LEADERBOARD)
+    return board.select("model", "params", F.round("score", 6).alias("score"), F.round("test_score", 6).alias("test_score"))
 
 
-@query()
+@query(
+    f"{_ONE_NUMBER}, {_linear_errors(3)}, {_linear_errors(2)},"
+    " kept AS (SELECT model FROM scores_3 ORDER BY score, model LIMIT 2),"
+    " grid AS (SELECT k.model, s.model AS fit, CASE WHEN k.model = 'level' THEN 'regParam=1e+15' WHEN s.model = 'line'"
+    " THEN 'fitIntercept=True' ELSE 'fitIntercept=False' END AS params, score FROM kept k JOIN scores_2 s"
+    " ON s.model = k.model OR (k.model = 'line' AND s.model = 'origin')),"
+    " best AS (SELECT model, min(score) AS score FROM grid GROUP BY model),"
+    " won AS (SELECT arg_min(model, struct_pack(a := score, b := model)) AS winner FROM best)"
+    " SELECT 'shortlist' AS stage, model, 'default' AS params, round(score, 6) AS score, model = winner AS winner FROM scores_3, won"
+    " UNION ALL SELECT 'grid', model, params, round(score, 6), model = winner FROM grid, won"
+)
 def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortlist, grid search and winner; the appended leaderboard is read back."""
     path = scratch_path(spark, "leaderboard")
-    candidates = {name: c for name, c in _candidates().items() if name != "quantile_forest"}
-    winner, _, _ = model_choice.choose_model(candidates, _snapshot(spark, sf_dir), path)
+    winner, _, _ = model_choice.choose_model(_linear_candidates(), _one_number(spark, sf_dir), path)
     board = spark.read.parquet(path)
-    return board.select("stage", "model", "params", "score", (F.col("model") == winner).alias("winner"))
+    return board.select("stage", "model", "params", F.round("score", 6).alias("score"), (F.col("model") == winner).alias("winner"))
 
 
 @lru_cache(maxsize=4)
