@@ -13,7 +13,8 @@ share is right; cells only make it coarser, and the tables that go to the tasks
 Copies are one node. A shingle that many texts hold is not turned into all pairs: its holders first meet the one that
 has it earliest in its order, which is the text with the least of its own, the likely middle of a group. Whoever
 links takes over its label, and only texts of different labels that still share a shingle meet again. When that finds
-little more, all pairs of different labels are compared, so no link that joins two components is lost.
+little more, all pairs of different labels are compared, each at its first common shingle, so no link that joins two
+components is lost.
 """
 
 from __future__ import annotations
@@ -181,7 +182,8 @@ def _new_sets(pairs: DataFrame, sets: DataFrame | None, texts: DataFrame, words:
 
 def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame | None:
     """(node, component) of all nodes with a link, or None without any."""
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    # An id may have several texts; which one tells them apart.
+    postings = nodes.select("node", "which", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     live = postings.join(tokens.select("token"), "token").withColumn("label", F.col("node"))
     live = materialise(live, "postings")
@@ -191,7 +193,7 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
         by_label = live.groupBy("token", "label").agg(F.count("*").alias("c"))
         sums = by_label.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("labels"))
         share = ((F.col("m") * F.col("m") - F.col("q")) / (F.col("m") * 2)).alias("share")
-        live = live.select("token", "node", "n", "pos", "label").join(sums.where("labels > 1").select("token", share), "token")
+        live = live.select("token", "node", "which", "n", "pos", "label").join(sums.where("labels > 1").select("token", share), "token")
         live = materialise(live, "postings")
         rows, left = live.agg(F.count("*"), F.sum("share")).first()
         if not rows:
@@ -199,15 +201,16 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
         last = idle or left <= FEW * rows
         one = live.drop("share")
         if last:
+            one = _with_earlier(one)
             other = one
         else:
             first = F.min(F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")).alias("p")
             other = one.groupBy("token").agg(first).select("token", "p.node", "p.n", "p.pos", "p.label")
-        other = other.select("token", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "label")])
+        other = other.select([F.col(c).alias(c if c == "token" else f"{c}_") for c in other.columns])
         near = _reachable(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), threshold)
         met = one.join(other, "token").where((F.col("label") != F.col("label_")) & near)
-        if last:
-            met = met.where("node < node_")
+        if last:  # at the first shingle that both have; it passes the filter where a later one does
+            met = met.where((F.col("node") < F.col("node_")) & ~F.arrays_overlap("earlier", "earlier_"))
         # b is the pivot of a star; the other way round it is another star.
         pairs = met.select(F.col("node").alias("a"), F.col("node_").alias("b"), "label", "label_").distinct()
         close = _screened(pairs, bins, threshold)
@@ -226,6 +229,14 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
     return None if links is None else connected_components(links)
 
 
+def _with_earlier(postings: DataFrame) -> DataFrame:
+    """``earlier``: the shingles of the same text before this one, of those in ``postings``."""
+    own = F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own")
+    texts = postings.groupBy("node", "which").agg(own)
+    before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+    return postings.join(texts, ["node", "which"]).withColumn("earlier", before).drop("own", "which")
+
+
 def _merged(live: DataFrame, found: DataFrame) -> DataFrame:
     """``live`` with the label of the pivot for each label that has linked with one, where that lowers its hash.
 
@@ -260,7 +271,7 @@ def similar_groups(
     classes = materialise(full.groupBy("fp").agg(F.min("doc").alias("rep")), "classes")
     # Both keys: the copies of one text don't meet in one task.
     nodes = full.join(classes, (full["fp"] == classes["fp"]) & (full["doc"] == classes["rep"]))
-    nodes = nodes.select(F.col("rep").alias("node"), "n", "prefix", "bins")
+    nodes = nodes.select(F.col("rep").alias("node"), F.hash(full["fp"]).alias("which"), "n", "prefix", "bins")
     labels = _links(nodes, rows.where("doc is not null"), words, t)
     placed = classes.withColumnRenamed("rep", "node")
     if labels is not None:
