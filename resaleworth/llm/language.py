@@ -11,7 +11,7 @@ import pandas as pd
 import zstandard as zstd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from resaleworth.llm.text import with_columns
+from resaleworth.llm.text import fresh, with_columns
 
 # Characters read from one sample document, so that a few long ones don't fill a dictionary.
 SAMPLE_CHARS = 2000
@@ -115,5 +115,6 @@ def identify_language(
             rows.append((sizes[0][1], min(1.0, 4 * margin), margin < min_margin))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    found = with_columns(docs, {"_found": predicted(F.col(f"`{text_col}`"))})
-    return with_columns(found, {c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "rejected")}, drop=("_found",))
+    name = fresh(docs, "_found")
+    found = docs.withColumn(name, predicted(F.col(f"`{text_col}`")))
+    return with_columns(found, {c: F.col(f"{name}.{c}") for c in ("lang_pred", "score", "rejected")}, drop=(name,))

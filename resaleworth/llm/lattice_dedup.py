@@ -169,19 +169,18 @@ def near_duplicates(
 
 def _attached(table: DataFrame, id_col: str, vec_col: str, placed: DataFrame) -> DataFrame:
     """The rows of ``table`` with what was found for their vectors; only a null id or vector finds nothing."""
-    names = {c: fresh(table, f"_{c}") for c in ("h1", "h2", "links", "component")}
+    h1, h2, of1, of2, found = (fresh(table, c) for c in ("_h1", "_h2", "_of1", "_of2", "_found"))
     ident, vec = F.col(f"`{id_col}`"), F.col(f"`{vec_col}`").cast("array<double>")
-    hashed = table.withColumns({names["h1"]: F.xxhash64(vec), names["h2"]: F.xxhash64(F.lit(1), vec)})
-    renamed = placed.select([F.col(c).alias(f"{n}_") for c, n in names.items()])
-    same = [F.col(names[c]) == F.col(f"{names[c]}_") for c in ("h1", "h2")]
-    joined = hashed.join(renamed, [*same, ident.isNotNull()], "left")
-    component = F.when(ident.isNotNull(), F.coalesce(F.col(f"{names['component']}_"), ident))
+    hashed = table.withColumns({h1: F.xxhash64(vec), h2: F.xxhash64(F.lit(1), vec)})
+    placed = placed.select(F.col("h1").alias(of1), F.col("h2").alias(of2), F.struct("links", "component").alias(found))
+    joined = hashed.join(placed, [F.col(h1) == F.col(of1), F.col(h2) == F.col(of2), ident.isNotNull()], "left")
+    component = F.when(ident.isNotNull(), F.coalesce(F.col(f"{found}.component"), ident))
     new = {
-        "n_links": F.coalesce(F.col(f"{names['links']}_"), F.lit(0)).cast("long"),
+        "n_links": F.coalesce(F.col(f"{found}.links"), F.lit(0)).cast("long"),
         "component_id": component,
         "kept": component == ident,
     }
-    return with_columns(joined, new, drop=(*names.values(), *[f"{n}_" for n in names.values()]))
+    return with_columns(joined, new, drop=(h1, h2, of1, of2, found))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -286,17 +286,19 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     rest = rest.select(row, F.col("one.rest").alias("word"), F.col("one.times").alias("times"))
     seen = rest.join(model.counts.select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = seen.groupBy(row).agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_"),
-        F.sum(F.col("times") * F.log10(model.rest_probability(F.col("n")))).alias("score_"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(scale))).alias("base_"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.col("times") * F.log10(model.rest_probability(F.col("n")))).alias("score"),
+        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(scale))).alias("base"),
     )
-    joined = stored.join(sums.withColumnRenamed(row, f"{row}_"), F.col(row) == F.col(f"{row}_"), "left")
+    of, more = fresh(stored, "_of"), fresh(stored, "_more")
+    sums = sums.select(F.col(row).alias(of), F.struct("known", "score", "base").alias(more))
+    joined = stored.join(sums, F.col(row) == F.col(of), "left")
     zero = F.lit(0.0)
     new = {
         "n_tokens": F.col(f"{parts}.n_tokens"),
-        "n_known": F.col(f"{parts}.head") + F.coalesce("known_", F.lit(0)),
+        "n_known": F.col(f"{parts}.head") + F.coalesce(F.col(f"{more}.known"), F.lit(0)),
         "train_tokens": F.lit(model.tokens).cast("long"),
-        "base_score": F.col(f"{parts}.base") + F.coalesce("base_", zero),
-        "score": F.col(f"{parts}.score") + F.coalesce("score_", zero),
+        "base_score": F.col(f"{parts}.base") + F.coalesce(F.col(f"{more}.base"), zero),
+        "score": F.col(f"{parts}.score") + F.coalesce(F.col(f"{more}.score"), zero),
     }
-    return with_columns(joined, new, drop=(row, f"{row}_", parts, "known_", "score_", "base_"))
+    return with_columns(joined, new, drop=(row, of, parts, more))

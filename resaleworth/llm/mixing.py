@@ -119,12 +119,10 @@ def sample_copies(
     return with_columns(out, new, drop=(mark, of, size, rank_))
 
 
-def mix_sources(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs`` only."""
-    times = fresh(docs, "_times")
-    sampled = sample_copies(docs.withColumn(times, F.lit(0)), **settings)
-    clash = {"size", "source_size", "target", "copies"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"rename {sorted(clash)} first: the mix needs these names")
-    repeated = sampled.where("copies > 0").withColumn(times, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs`` only, whatever their names."""
+    named = {"source": source_col, "text": text_col, "id": id_col}
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, *[F.col(f"`{column}`").alias(name) for name, column in named.items()])
+    sampled = sample_copies(rows, "source", "text", "id", **settings).where("copies > 0")
+    return sampled.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

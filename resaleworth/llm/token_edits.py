@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from resaleworth.llm.text import with_columns
+from resaleworth.llm.text import fresh, with_columns
 from resaleworth.llm.tokens import encode_text, parts
 
 LEAF = 256
@@ -144,5 +144,6 @@ def count_with_edits(docs: DataFrame, edits: Column, tokenizer: str, text_col: s
         return pd.DataFrame(rows, columns=["n_tokens", "n_edits", "n_tokens_after", "n_encoded", "edited_text"])
 
     names = ("n_tokens", "n_edits", "n_tokens_after", "n_encoded", "edited_text")
-    found = with_columns(docs, {"_counted": counted(F.col(f"`{text_col}`"), edits)})
-    return with_columns(found, {c: F.col(f"_counted.{c}") for c in names}, drop=("_counted",))
+    name = fresh(docs, "_counted")
+    found = docs.withColumn(name, counted(F.col(f"`{text_col}`"), edits))
+    return with_columns(found, {c: F.col(f"{name}.{c}") for c in names}, drop=(name,))
