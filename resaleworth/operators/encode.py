@@ -8,6 +8,9 @@ from typing import Any
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from resaleworth.operators.ranking import with_row_number
+from resaleworth.session import materialise
+
 # A dictionary is part of the fitted model, so its size is checked before it is gathered.
 MAX_CATEGORIES = 100_000
 
@@ -29,6 +32,15 @@ def category_dictionaries(
     return {name: list(row[name]) for name in columns}
 
 
+def dictionary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, code): the same dictionaries as a table of texts, for columns of any number of values."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value")) for name in columns])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
+    placed = with_row_number(materialise(values, "dictionary"), ["column_name", "value"], "place")
+    first = placed.groupBy("column_name").agg(F.min("place").alias("first"))
+    return placed.join(first, "column_name").select("column_name", "value", (F.col("place") - F.col("first")).alias("code"))
+
+
 def code_name(column: str) -> str:
     return f"{column}_code"
 

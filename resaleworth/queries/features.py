@@ -212,7 +212,7 @@ def interleaved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT side, key, row_number() OVER (ORDER BY pos, side) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"
 )
 def interleaved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ordered tables dealt out in turn; each side and the result are numbered in parallel."""
+    """Two ordered tables dealt out in turn; each side is numbered in parallel."""
     read = frames.configure(spark).read.parquet
     customers = read(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
     suppliers = read(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("v"))
@@ -220,8 +220,11 @@ def interleaved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         with_row_number(side, ["v", "key"], "pos").withColumn("side", F.lit(number))
         for number, side in enumerate((customers, suppliers))
     ]
-    dealt = sides[0].unionByName(sides[1])
-    return with_row_number(dealt, ["pos", "side"], "place").select("side", "key", "place")
+    # Both sides take turns until one ends, so the place follows from the own number.
+    shorter = min(side.count() for side in sides)
+    pos = F.col("pos")
+    place = F.when(pos <= shorter, 2 * pos - 1 + F.col("side")).otherwise(pos + shorter)
+    return sides[0].unionByName(sides[1]).select("side", "key", place.alias("place"))
 
 
 _ROUNDED = (

@@ -77,15 +77,7 @@ _DENSE = " UNION ALL ".join(
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sorted dictionary of each text column with its codes."""
     train, _ = frames.stored_rows(spark, sf_dir, *_TEXTS)
-    sorted_values = [F.sort_array(F.collect_set(name)).alias(name) for name in _TEXTS]
-    enc.category_dictionaries(train, _TEXTS)
-    one_row = train.agg(*sorted_values)
-    pairs = F.array(*[F.struct(F.lit(name).alias("column_name"), F.col(name).alias("labels")) for name in _TEXTS])
-    return (
-        one_row.select(F.explode(pairs).alias("d"))
-        .select("d.column_name", F.posexplode("d.labels").alias("code", "value"))
-        .select("column_name", "value", F.col("code").cast("bigint").alias("code"))
-    )
+    return enc.dictionary_table(train, _TEXTS)
 
 
 def _codes_sql(name: str) -> str:
