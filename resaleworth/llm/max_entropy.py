@@ -28,6 +28,8 @@ from resaleworth.session import materialise
 HEAD, ALONE, CLASSES, ROWS = 1 << 18, 24, 64, 1 << 14
 # Tokens of one gradient update, and weight rows sent together.
 STEP, CHUNK = 4096, 1024
+# Characters of texts that a task turns into arrays at once; a longer text is taken alone.
+GROUP = 1 << 22
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
 KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -61,6 +63,19 @@ class Model:
         return F.when(n > 0, seen).otherwise(max(unseen, 0.5 / (self.rest_tokens + 0.5)))
 
 
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of at most ``GROUP`` characters together."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text or "") > GROUP:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield held
+
+
 def _token_arrays(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts with an end after each, and the number of tokens of each text."""
     parts = [np.append(words, END) for words in word_hashes(encoded(texts))]
@@ -71,11 +86,14 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, ending, n) of the column ``text``: hashes, counted per batch and then over all."""
 
     def counted(batch: pa.RecordBatch) -> dict[str, list]:
-        data = encoded(batch["text"].to_pylist())
-        words = np.concatenate([*word_hashes(data), np.full(len(data), END)])
-        endings = np.concatenate([*[word_endings(d.lower()) for d in data], np.zeros(len(data), dtype=np.int64)])
-        found, first, n = np.unique(words, return_index=True, return_counts=True)
-        return {"word": found.view(np.int64), "ending": endings[first], "n": n}
+        parts = []
+        for group in groups(batch["text"].to_pylist()):
+            data = encoded(group)
+            words = np.concatenate([*word_hashes(data), np.full(len(data), END)])
+            endings = np.concatenate([*[word_endings(d.lower()) for d in data], np.zeros(len(data), dtype=np.int64)])
+            found, first, n = np.unique(words, return_index=True, return_counts=True)
+            parts.append((found.view(np.int64), endings[first], n))
+        return dict(zip(("word", "ending", "n"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
     rows = map_batches(texts, counted, "word long, ending long, n long")
     return rows.groupBy("word", "ending").agg(F.sum("n").alias("n")).groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
@@ -128,7 +146,7 @@ def features(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         one, skip = mixed(back1 * KINDS[0]), mixed(back2 * KINDS[1])
         both = mixed(one ^ (skip * KINDS[2]))
-    return (np.stack([one, skip, both], axis=1) % np.uint64(ROWS)).astype(np.int64)
+    return np.stack([(h % np.uint64(ROWS)).astype(np.int32) for h in (one, skip, both)], axis=1)
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -190,13 +208,14 @@ def train_weights(texts: DataFrame, head: np.ndarray, head_class: np.ndarray, cl
         state = context.broadcast((head, head_class, class_log.astype(np.float32), weights))
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, groups, bias, start = state.value
+            words, classes, bias, start = state.value
             trainer = Trainer(start, bias, rate)
             for batch in batches:
-                tokens, sizes = _token_arrays(batch["text"].to_pylist())
-                rows, target = features(tokens, sizes), classes_of(tokens, words, groups)[1]
-                for at in range(0, len(tokens), STEP):
-                    trainer.update(rows[at : at + STEP], target[at : at + STEP])
+                for texts_ in groups(batch["text"].to_pylist()):
+                    tokens, sizes = _token_arrays(texts_)
+                    rows, target = features(tokens, sizes), classes_of(tokens, words, classes)[1]
+                    for at in range(0, len(tokens), STEP):
+                        trainer.update(rows[at : at + STEP], target[at : at + STEP])
             for at in range(0, ROWS, CHUNK):
                 met = trainer.met[at : at + CHUNK]
                 if met.any():
@@ -253,8 +272,12 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     names = ("n_tokens", "head", "score", "base", "rest", "times")
 
     def score(texts: pd.Series) -> pd.DataFrame:
+        found = [score_group(group) for group in groups(texts.to_list())]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame([], columns=list(names))
+
+    def score_group(texts: list[str | None]) -> pd.DataFrame:
         head, counts, group, word_log, bias, weights = sent.value
-        tokens, sizes = _token_arrays(texts.to_list())
+        tokens, sizes = _token_arrays(texts)
         rows = features(tokens, sizes)
         at, target = classes_of(tokens, head, group)
         logs = np.empty(len(tokens))
