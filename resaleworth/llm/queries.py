@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from resaleworth.llm import graph_search, jaccard_join, language, lattice_dedup, license_scan, line_dedup, max_entropy, mixing, packing, token_edits
+from resaleworth.llm.text import text_session
 from resaleworth.queries.registry import Registry
-from resaleworth.session import configure
 
 query = Registry()
 
@@ -16,7 +16,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -253,4 +253,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(configure(spark), sf_dir)
+    return corpus_pipeline.run(spark, sf_dir)

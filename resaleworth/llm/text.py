@@ -11,7 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from resaleworth.session import configure
 
 # Bytes hashed at once; longer texts are hashed in pieces that end between words.
 PIECE = 1 << 20
@@ -20,6 +22,17 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+# Rows and bytes that reach a Python worker at once: it holds several copies of a batch, and documents can be long.
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def text_session(spark: SparkSession) -> SparkSession:
+    """The library's settings, and small batches for Python."""
+    for key, value in ARROW_CONF.items():
+        configure(spark).conf.set(key, value)
+    return spark
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns the columns of ``schema`` by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
