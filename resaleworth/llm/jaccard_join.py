@@ -13,8 +13,7 @@ share is right; cells only make it coarser, and the tables that go to the tasks
 Copies are one node. A shingle that many texts hold is not turned into all pairs: its holders first meet the one that
 has it earliest in its order, which is the text with the least of its own, the likely middle of a group. Whoever
 links takes over its label, and only texts of different labels that still share a shingle meet again. When that finds
-little more, all pairs of different labels are compared, each at its first common shingle, so no link that joins two
-components is lost.
+little more, all pairs of different labels are compared, so no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +34,8 @@ CELLS, CHUNK = 1 << 20, 1 << 12
 BINS = 128
 # Star rounds go on while more than ``FEW`` pairs per posting are left and one in ``IDLE`` postings finds a link.
 FEW, IDLE = 1, 20
+# Shingles looked back at, so that a pair that shares many of them is not emitted at each.
+NEAR = 4
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -209,7 +210,7 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
         other = other.select([F.col(c).alias(c if c == "token" else f"{c}_") for c in other.columns])
         near = _reachable(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), threshold)
         met = one.join(other, "token").where((F.col("label") != F.col("label_")) & near)
-        if last:  # at the first shingle that both have; it passes the filter where a later one does
+        if last:  # not again where they have met just before; at the first shingle that both have, they always do
             met = met.where((F.col("node") < F.col("node_")) & ~F.arrays_overlap("earlier", "earlier_"))
         # b is the pivot of a star; the other way round it is another star.
         pairs = met.select(F.col("node").alias("a"), F.col("node_").alias("b"), "label", "label_").distinct()
@@ -230,11 +231,13 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
 
 
 def _with_earlier(postings: DataFrame) -> DataFrame:
-    """``earlier``: the shingles of the same text before this one, of those in ``postings``."""
+    """``earlier``: up to ``NEAR`` shingles of the same text before this one, of those in ``postings``."""
     own = F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own")
-    texts = postings.groupBy("node", "which").agg(own)
-    before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
-    return postings.join(texts, ["node", "which"]).withColumn("earlier", before).drop("own", "which")
+    texts = postings.groupBy("node", "which").agg(F.first("n").alias("n"), F.first("label").alias("label"), own)
+    each = texts.select("node", "n", "label", "own", F.posexplode("own").alias("at", "one"))
+    before = F.slice("own", F.greatest(F.col("at") - NEAR, F.lit(0)) + 1, F.least(F.col("at"), F.lit(NEAR)))
+    earlier = F.transform(before, lambda x: x["token"]).alias("earlier")
+    return each.select(F.col("one.token").alias("token"), "node", "n", F.col("one.pos").alias("pos"), "label", earlier)
 
 
 def _merged(live: DataFrame, found: DataFrame) -> DataFrame:
