@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from resaleworth.llm.text import fresh, with_columns
 from resaleworth.llm.tokens import encode_text, parts
 
-LEAF = 256
+LEAF = 512
 EDITS = "array<struct<start: long, end: long, new: string>>"
 
 
@@ -50,6 +50,10 @@ class TokenTree:
 
     def count(self) -> int:
         """The number of tokens; encodes what has changed since it was asked last."""
+        if len(self.changed) == len(self.leaves):  # all new: sums from below, not path by path
+            self.encoded += len(self)
+            self._build(self.leaves, [len(encode_text(text, self.path)) for text in self.leaves])
+            self.changed = set()
         for leaf in self.changed:
             text = self.leaves[leaf]
             self.encoded += len(text)
