@@ -6,33 +6,24 @@ smallest shingle hashes agree in a band meet, and the share of the template's sh
 checked exactly. Bands are of one row, and a class has so many that a template that is whole in a window meets it
 with a probability of at least ``certainty``.
 
-A band can only agree where window and template share a shingle, so windows without any template shingle are not
-cut out at all; nothing is lost by that. Templates are few and fixed, and all that is known of them is in the plan.
+Only shingles of some template of the class count in a window: the others can't be shared, and without them a band
+agrees more often. Windows with fewer of them than the share asks of the smallest template of the class are dropped
+before any hashing; nothing is lost by that. Templates are a stored table, joined on the shingles and on band and hash.
+
+Versions of a licence share nearly all shingles, so a template can name phrases that its window must have whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from resaleworth.llm.license_templates import NOTICES, TEMPLATES, VERSIONS  # noqa: F401
 from resaleworth.llm.text import tagged
 from resaleworth.session import materialise
 
-# Usual wordings of licence notices.
-NOTICES = (
-    ("all-rights-reserved", "All rights reserved."),
-    ("apache-2.0-short", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0-notice", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc-4.0-short", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3-short", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("mit-short", "Released under the MIT License."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-)
-
 
 def split_words(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
@@ -57,11 +48,13 @@ def shingles_of(words: Column, k: int) -> Column:
     return let(words, lambda w: F.array_distinct(F.transform(places_of(w, k), lambda i: shingle_at(w, i, k))))
 
 
-def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]], k: int) -> DataFrame:
-    """(template, shingles), one row per template."""
-    rows = F.array(*[F.struct(F.lit(name).alias("template"), F.lit(text).alias("text")) for name, text in templates])
-    table = spark.range(1).select(F.inline(rows)).withColumn("words", split_words(F.col("text")))
-    return table.select("template", F.size("words").alias("length"), shingles_of(F.col("words"), k).alias("shingles"))
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]], versions: Mapping[str, Sequence[str]], k: int) -> DataFrame:
+    """(template, width, shingles, needed), one row per template; ``needed`` are the shingles of its version phrases."""
+    rows = [(name, text, list(versions.get(name, ()))) for name, text in templates]
+    table = spark.createDataFrame(rows, "template string, text string, phrases array<string>").withColumn("words", split_words(F.col("text")))
+    width = F.pow(F.lit(2), F.ceil(F.log2(F.size("words").cast("double"))) + 1).cast("int")
+    needed = F.array_distinct(F.flatten(F.transform("phrases", lambda phrase: shingles_of(split_words(phrase), k))))
+    return table.select("template", width.alias("width"), shingles_of(F.col("words"), k).alias("shingles"), needed.alias("needed"))
 
 
 def bands_for(share: float, certainty: float) -> int:
@@ -69,71 +62,65 @@ def bands_for(share: float, certainty: float) -> int:
     return max(1, math.ceil(math.log(1 - certainty) / math.log(1 - share))) if share < 1 else 1
 
 
-def smallest_hashes(shingles: Column, bands: int) -> Column:
+def smallest_hashes(ids: Column, bands: Column) -> Column:
     """The smallest hash of the shingles under each of ``bands`` hash functions."""
-    return let(
-        F.transform(shingles, lambda s: F.xxhash64(s)),
-        lambda hashed: F.transform(
-            F.sequence(F.lit(1), F.lit(bands)),
-            lambda i: F.struct(i.alias("band"), F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, i))).alias("least")),
-        ),
+    return F.transform(
+        F.sequence(F.lit(1), bands),
+        lambda i: F.struct(i.alias("band"), F.array_min(F.transform(ids, lambda h: F.xxhash64(h, i))).alias("least")),
     )
 
 
-def window_starts(places: Column, step: int) -> Column:
-    """The starts of the two windows over each place; windows start every ``step`` words."""
-    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p - p % step, p - p % step - step))))
-
-
-def windows_at(words: Column, starts: Column, width: int, k: int) -> Column:
-    """The shingles of the window at each start."""
-    return F.transform(starts, lambda at: F.struct(at.alias("start"), shingles_of(F.slice(words, at + 1, width), k).alias("has")))
+def window_starts(place: Column, step: Column) -> Column:
+    """The starts of the two windows over a place; windows start every ``step`` words, the first at 0."""
+    return F.filter(F.array(place - place % step, place - place % step - step), lambda start: start >= 0)
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
-    min_share: float = 0.8, certainty: float = 0.9999,
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
+    min_share: float = 0.8, certainty: float = 0.9999, versions: Mapping[str, Sequence[str]] = VERSIONS,
 ) -> DataFrame:
     """(id, template, share, window_start, n_windows) for every row and template that match.
 
     ``share`` is the largest part of the template's shingles of ``k`` words found in one window, at least
     ``min_share``; ``window_start`` the first word of the first window that has it, ``n_windows`` the number of
     windows that match. Words are runs of letters and digits in lower case. Templates of fewer than ``k`` words are refused.
+    A window matches a template of ``versions`` only if it also has all shingles of the phrases given there.
 
     Null, empty or short texts match nothing. Rows that repeat an id are one document; a null id is one too. An empty
     table gives no rows. Other columns play no part.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates, k)
-    known = table.collect()  # a row per template
-    if any(not row["shingles"] for row in known):
+    table = materialise(template_table(spark, templates, versions, k), "templates")
+    sizes = table.select("template", "width", F.size("shingles").alias("n"), F.size(F.array_except("needed", "shingles")).alias("strange")).collect()
+    if any(not row["n"] for row in sizes):
         raise ValueError(f"a template needs {k} words or more")
-    widths: dict[int, list] = {}
-    for row in known:
-        widths.setdefault(2 << (row["length"] - 1).bit_length(), []).append(row)
-    wanted = [row["h"] for row in table.select(F.explode("shingles").alias("s")).select(F.xxhash64("s").alias("h")).distinct().collect()]
-
-    def with_hits(words: Column) -> Column:
-        hits = F.filter(places_of(words, k), lambda i: F.xxhash64(shingle_at(words, i, k)).isin(wanted))
-        return F.struct(words.alias("words"), hits.alias("hits"))
-
-    rows = tagged(docs, {"doc": id_col, "text": text_col})
-    one = F.transform(F.array(split_words(F.col("text"))), with_hits)
-    rows = materialise(rows.select("doc", F.inline(F.filter(one, lambda row: F.size(row["hits"]) > 0))), "hits")
-
-    found = None
-    for width, members in sorted(widths.items()):
-        step = width // 2
-        least = min(len(row["shingles"]) for row in members) / (width - k + 1)
-        bands = bands_for(min_share * least, certainty)
-        starts = F.filter(window_starts(F.col("hits"), step), lambda start: start >= 0)
-        windows = rows.select("doc", F.inline(windows_at(F.col("words"), starts, width, k))).where(F.size("has") > 0)
-        signs = windows.select("doc", "start", "has", F.inline(smallest_hashes(F.col("has"), bands)))
-        own = table.where(F.col("template").isin([row["template"] for row in members]))
-        own = own.select("template", "shingles", F.inline(smallest_hashes(F.col("shingles"), bands)))
-        met = signs.join(F.broadcast(own), ["band", "least"])  # bands times templates rows
-        share = F.size(F.array_intersect("has", "shingles")) / F.size("shingles")
-        part = met.select("doc", "start", "template", share.alias("share")).where(F.col("share") >= min_share)
-        found = part if found is None else found.unionByName(part)
+    if strange := [row["template"] for row in sizes if row["strange"]]:
+        raise ValueError(f"version phrases that the template does not have, or of fewer than {k} words: {strange}")
+    classes = []
+    for width in sorted({row["width"] for row in sizes}):
+        least = min(row["n"] for row in sizes if row["width"] == width)
+        alike = min_share * least / (width - k + 1 + (1 - min_share) * least)  # at least, of a window and what it must hold
+        classes.append((width, math.ceil(min_share * least - 1e-9), bands_for(alike, certainty)))
+    kinds = spark.createDataFrame(classes, "width int, enough int, bands int")
+    own = table.join(F.broadcast(kinds), "width").select("template", "width", "bands", *[F.transform(name, lambda s: F.xxhash64(s)).alias(name) for name in ("shingles", "needed")])
+    own = own.select("template", "width", "shingles", "needed", F.inline(smallest_hashes(F.col("shingles"), F.col("bands"))))
+    known = table.select("width", F.explode("shingles").alias("s")).groupBy("s").agg(F.collect_set("width").alias("widths"))
+
+    rows = tagged(docs, {"doc": id_col, "text": text_col}).withColumn("row", F.monotonically_increasing_id())
+    at = lambda words: F.transform(places_of(words, k), lambda i: F.struct(i.alias("place"), shingle_at(words, i, k).alias("s")))
+    places = rows.select("row", "doc", F.inline(let(split_words(F.col("text")), at)))
+    hits = places.join(F.broadcast(known), "s").select("row", "doc", "place", F.xxhash64("s").alias("hash"), "widths")
+    hits = materialise(hits, "hits")
+
+    over = hits.select("row", "doc", "place", "hash", F.explode("widths").alias("width"))
+    starts = F.explode(window_starts(F.col("place"), (F.col("width") / 2).cast("int")))
+    over = over.select("row", "doc", "place", "hash", "width", starts.alias("start")).where(F.col("place") + k <= F.col("start") + F.col("width"))
+    windows = over.groupBy("row", "doc", "width", "start").agg(F.collect_set("hash").alias("has"))
+    windows = windows.join(F.broadcast(kinds), "width").where(F.size("has") >= F.col("enough"))
+    signs = windows.select("doc", "width", "start", "has", F.inline(smallest_hashes(F.col("has"), F.col("bands"))))
+    met = signs.join(F.broadcast(own), ["width", "band", "least"])  # bands times templates rows
+    share = F.size(F.array_intersect("has", "shingles")) / F.size("shingles")
+    whole = F.size(F.array_except("needed", "has")) == 0
+    found = met.where(whole).select("doc", "start", "template", share.alias("share")).where(F.col("share") >= min_share)
     one = found.distinct().groupBy("doc", "template").agg(F.min(F.struct((-F.col("share")).alias("share"), "start")).alias("best"), F.count("*").alias("n_windows"))
     return one.select(F.col("doc").alias(id_col), "template", (-F.col("best.share")).alias("share"), F.col("best.start").alias("window_start"), "n_windows")

@@ -380,6 +380,35 @@ def test_license_scan(spark):
         license_scan.scan_licenses(empty(spark), [("short", "two words")])
 
 
+def test_license_texts_and_versions(spark):
+    texts = dict(license_scan.TEMPLATES)
+    assert len(texts) == len(license_scan.TEMPLATES)
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice(["foo", "bar", "baz"]) for _ in range(n))
+    whole = [name for name in texts if name.endswith("-text")]
+    notice = texts["gpl-2-notice"].replace("version 2", "version 4")
+    odd = {
+        "agpl": texts["agpl-3-notice"], "lgpl": texts["lgpl-2.1-notice"], "gpl2": "licensed under the GNU General Public License, version 2.",
+        "four": notice, "cc": texts["cc-by-sa-4.0-notice"], "spdx": "// SPDX-License-Identifier: MPL-2.0\n", "apache": "Licensed under the Apache License, Version 1.0",
+    }
+    names = [*whole, *odd]
+    rows = [(i, f"{filler(700)} {texts.get(name) or odd[name]} {filler(300)}", None, None, None) for i, name in enumerate(names)]
+    got = defaultdict(dict)
+    for r in license_scan.scan_licenses(frame(spark, rows)).collect():
+        got[names[r["doc_id"]]][r["template"]] = r["share"]
+    for name in whole:
+        assert got[name][name] == 1.0
+    for family in ("gpl", "lgpl", "gfdl", "mpl", "cc-by-sa"):
+        for name in whole:
+            if name.startswith(family):  # of the whole texts only its own version
+                assert {t for t in got[name] if t in whole and t.startswith(family)} == {name}
+    assert "gpl-3-notice" not in got["agpl"] and "lgpl-3-notice" not in got["agpl"] and got["agpl"]["agpl-3-notice"] == 1.0
+    assert {t for t in got["lgpl"] if "notice" in t} == {"lgpl-2.1-notice"}
+    assert set(got["gpl2"]) == {"gpl-2-name"} and not got["four"] and not got["apache"]
+    assert {t for t in got["cc"] if t.startswith("cc-by")} == {"cc-by-sa-4.0-notice"}
+    assert set(got["spdx"]) == {"spdx-mpl-2.0"}
+
+
 # --- digests
 
 
