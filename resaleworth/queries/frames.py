@@ -111,18 +111,13 @@ def request_payloads(bikes: DataFrame) -> DataFrame:
     return bikes.select(key.alias("payload_id"), payload.alias("value"))
 
 
+# For tests of the job itself; no query uses it.
 SMALL_IMPUTATION = ImputationSettings(rounds=1, num_trees=3, max_depth=3)
 
 
-def small_forest() -> QuantileForest:
-    return QuantileForest(keyCols=list(ROW_KEYS), numTrees=10, maxDepth=6)
-
-
 @lru_cache(maxsize=8)
 def trained(spark: SparkSession, sf_dir: str) -> tuple[str, TrainingRun]:
-    """One small training run per session and data folder, shared by the learned queries."""
+    """One training run with the job's own settings per session and data folder, shared by the learned queries."""
     root = scratch_path(configure(spark), "training")
-    run = run_training(
-        tables(spark, sf_dir), inflation_factors(spark), AS_OF, root, "v1", small_forest(), SMALL_IMPUTATION
-    )
-    return root, run
+    learner = QuantileForest(keyCols=list(ROW_KEYS))
+    return root, run_training(tables(spark, sf_dir), inflation_factors(spark), AS_OF, root, "v1", learner)

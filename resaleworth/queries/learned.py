@@ -38,9 +38,7 @@ def _snapshot(spark: SparkSession, sf_dir: str, split: str | None = None) -> Dat
 
 def _imputation_report(spark: SparkSession, sf_dir: str, numerical: list[str], categorical: list[str]) -> DataFrame:
     rows = materialise(frames.split_rows(spark, sf_dir).select("id", "split", *numerical, *categorical), "gaps")
-    imputer = ChainedForestImputer(
-        numericalCols=numerical, categoricalCols=categorical, rounds=2, numTrees=3, maxDepth=3
-    )
+    imputer = ChainedForestImputer(numericalCols=numerical, categoricalCols=categorical)
     filled = imputer.fit(rows.where(F.col("split") == "train")).transform(rows)
     columns = numerical + categorical
     before = rows.select("id", *[F.col(name).alias(f"{name}_before") for name in columns])
@@ -67,8 +65,7 @@ def _imputation_check(columns: list[str]) -> str:
     return f"WITH {sql.FEATURES} " + " UNION ALL ".join(parts)
 
 
-_NUMBERS = ["msrp", "condition_code", "rider_height_min", "bike_age", "mileage_code", "brand_id"]
-_CATEGORIES = ["brake_type_code", "frame_material_code", "shifting_code", "bike_category_id", "motor"]
+_NUMBERS, _CATEGORIES = list(config.NUMERICAL), list(config.CATEGORICAL)
 
 
 @query(_imputation_check(_NUMBERS))
@@ -123,10 +120,13 @@ def transformed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM train_rows, range(10) AS t(tree) GROUP BY tree"
 )
 def forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows per tree of the fitted, saved and reloaded forest; leaf labels are training labels."""
-    root, run = trained(spark, sf_dir)
+    """Training rows per tree of a fitted, saved and reloaded forest of ten trees; leaf labels are training labels."""
+    _, run = trained(spark, sf_dir)
+    train, root = _snapshot(spark, sf_dir, "train"), scratch_path(spark, "ten-trees")
+    forest = QuantileForest(keyCols=list(ROW_KEYS), numTrees=10).fit(train)
+    artefacts.publish_artefacts(root, "v1", run.transforms, forest, spark)
     _, model = artefacts.load_artefacts(spark, root)
-    low, high = _snapshot(spark, sf_dir, "train").agg(F.min(config.LABEL), F.max(config.LABEL)).first()
+    low, high = train.agg(F.min(config.LABEL), F.max(config.LABEL)).first()
     return model.leaves.groupBy("tree").agg(
         F.sum("samples").alias("rows"), F.bool_and(F.col("y").between(low, high)).alias("inside")
     )

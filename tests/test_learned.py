@@ -224,3 +224,18 @@ def test_winner_is_trained_and_published(spark, tmp_path):
     transforms, model = artefacts.load_artefacts(spark, str(tmp_path))
     scored = score_requests(accepted(parse_requests(payloads(spark, SEVEN))), transforms, model, factors, AS_OF).collect()
     assert len(scored) == 7 and all(r["price"] is not None and r["q_mid"] is None for r in scored)
+
+
+def test_queries_use_full_settings(monkeypatch):
+    """All columns are imputed, and the shared training run keeps the job's own settings."""
+    from resaleworth.queries import frames, learned
+
+    assert learned._NUMBERS == list(config.NUMERICAL) and learned._CATEGORIES == list(config.CATEGORICAL)
+    seen = []
+    for name in ("tables", "inflation_factors", "configure", "scratch_path"):
+        monkeypatch.setattr(frames, name, lambda *args: "x")
+    monkeypatch.setattr(frames, "run_training", lambda *args: seen.append(args))
+    frames.trained.__wrapped__(None, "x")
+    assert len(seen[0]) == 6  # no imputation settings besides the default ones
+    learner = seen[0][5]
+    assert learner.getOrDefault(learner.numTrees) == 100 and learner.getOrDefault(learner.maxDepth) == 30
