@@ -31,9 +31,9 @@ def load_tokenizer(path: str) -> tiktoken.Encoding:
 
     with open(path, encoding="utf-8") as file:
         stored = json.load(file)
-    added, bytes_of = {t["content"] for t in stored["added_tokens"]}, byte_characters()
+    added, bytes_of = {t["content"]: t["id"] for t in stored["added_tokens"]}, byte_characters()
     ranks = {bytes(bytes_of[c] for c in token): rank for token, rank in stored["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 @lru_cache(maxsize=2)
@@ -41,9 +41,7 @@ def _slow_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def boundary(text: str, at: int) -> int:
@@ -71,11 +69,11 @@ def parts(text: str, longest: int) -> list[str]:
 
 
 def encode_text(text: str, path: str) -> list[int]:
-    """The ids of the whole text. Strings that look like special tokens are ordinary text."""
+    """The ids of the whole text. The text of an added token gives its id, as ``tokenizers`` does by default."""
     out: list[int] = []
     for part in parts(text, LONGEST):
         if len(part) >= 2048 and _LONG_RUN.search(part):
             out += _slow_tokenizer(path).encode(part, add_special_tokens=False).ids
         else:
-            out += load_tokenizer(path).encode_ordinary(part)
+            out += load_tokenizer(path).encode(part, allowed_special="all")
     return out

@@ -225,6 +225,16 @@ def test_ids_agree_with_the_tokenizer(tokenizer, monkeypatch):
         assert tokens.encode_text(value, tokenizer) == slow.encode(value, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids(tokenizer, monkeypatch):
+    plain = Tokenizer.from_file(tokenizer)
+    assert tokens.encode_text("foo <|endoftext|> bar", tokenizer) == [21943, 220, 50256, 2318]
+    monkeypatch.setattr(tokens, "LONGEST", 40)
+    rng, bits = random.Random(5), ["<|endoftext|>", " ", "  ", "\n", "a", "word", "1", "<|", "|>", "endoftext", "é", "'s"]
+    values = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 80))) for _ in range(500)]
+    for value in [*values, "a <|endoftext|>" + " " * 5000 + "<|endoftext|> x"]:
+        assert tokens.encode_text(value, tokenizer) == plain.encode(value, add_special_tokens=False).ids
+
+
 def test_packing(spark, tokenizer):
     rows = corpus(n=40)
     rows += [rows[2], (None, "some words", None, None, None)]
