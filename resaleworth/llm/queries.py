@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from resaleworth.llm import graph_search, jaccard_join, language, lattice_dedup, license_scan, line_dedup, max_entropy, mixing, packing, token_edits
+from resaleworth.llm import (
+    conversation_repair,
+    graph_search,
+    jaccard_join,
+    language,
+    lattice_dedup,
+    license_scan,
+    line_dedup,
+    max_entropy,
+    mixing,
+    packing,
+    spelling_variants,
+    substring_dedup,
+    token_edits,
+)
 from resaleworth.llm.text import text_session
 from resaleworth.queries.registry import Registry
 
@@ -251,6 +265,45 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), words=3, threshold=0.9)
 
 
+@query(
+    """
+WITH words AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') END AS w FROM documents
+),
+windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS p FROM words WHERE len(w) >= 35)
+),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, p FROM windows WHERE h IN (SELECT h FROM again)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM words),
+lost AS (SELECT DISTINCT doc_id, p + d AS pos FROM hit, range(35) AS t(d)),
+kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.pos) AS txt, count(*) AS n
+  FROM placed p ANTI JOIN lost l ON p.doc_id = l.doc_id AND p.pos = l.pos GROUP BY p.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
+)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.count_words(table(spark, sf_dir, "documents"), min_length=6, min_count=5, slip_every=199)
+    return spelling_variants.group_variants(words, times=5)
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage_turns(table(spark, sf_dir, "conversations"))
+    return conversation_repair.audit_conversations(damaged, gone="gone")
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

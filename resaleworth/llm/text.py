@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from resaleworth.session import configure
 
@@ -33,17 +35,20 @@ def text_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; it returns the columns of ``schema`` by name."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch; it returns the columns of ``schema`` by name, as values or Arrow arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
+    def column(values: Any, kind: pa.DataType) -> pa.Array:
+        return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 columns = fn(batch)
-                yield pa.record_batch([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield pa.record_batch([column(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -108,8 +113,9 @@ def _hash_long(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.array(hashes, dtype=np.uint64)), edges[::2]
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]:
     """The 64-bit hashes of the words of each text, in order. Memory: a piece, plus 8 bytes a word of one text."""
+    folded = bytes.lower if lower else bytes
     with np.errstate(over="ignore"):
         at = 0
         while at < len(texts):
@@ -119,11 +125,11 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
                 end += 1
             if size <= PIECE:
                 group = texts[at:end]
-                hashes, starts = _hash_piece(b"\n".join(group).lower())
+                hashes, starts = _hash_piece(folded(b"\n".join(group)))
                 bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in group])[:-1])
                 yield from np.split(hashes, bounds)
             else:
-                yield np.concatenate([_hash_piece(p)[0] for p in _pieces(texts[at].lower())])
+                yield np.concatenate([_hash_piece(p)[0] for p in _pieces(folded(texts[at]))])
             at = end
 
 
