@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -30,11 +31,13 @@ from resaleworth.llm.text import encoded, fresh, map_batches, mixed, word_hashes
 from resaleworth.session import materialise
 
 # Words whose windows are hashed at once; longer texts go through in steps.
-STEP = 1 << 20
+STEP = 1 << 18
 _BASE = 0xD1342543DE82EF95
 
 
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -44,9 +47,10 @@ class Hashed:
     """Hashes of any run of the words of some texts, from sums of powers."""
 
     def __init__(self, words: np.ndarray):
-        up, self.down = _powers(len(words) + 1)
+        # Sizes are rounded up, so that few tables are made.
+        up, self.down = _powers(1 << len(words).bit_length())
         self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * up[:-1], out=self.sums[1:])
+        np.cumsum(words * up[: len(words)], out=self.sums[1:])
 
     def runs(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + np.uint64(salt))
