@@ -136,7 +136,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     paths = materialise(_paths(words), "paths")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = materialise(_edges(paths), "trie").repartition(parts, "parent").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = materialise(_edges(paths), "trie").repartition(parts, "parent").persist(StorageLevel.DISK_ONLY)
     columns = ("word", "way", "at", "node", "ending")
 
     size = F.length("word")
