@@ -1,9 +1,14 @@
-"""Chained forest imputation: each column with gaps is predicted from the others, in rounds."""
+"""Chained forest imputation: each column with gaps is predicted from the others, in rounds.
+
+The state of a chain is one stored table: a row number, all values as one array, and a mask of the gaps. It is written once.
+Fitting a column stores only (row, value) of its gaps; the newest of these of each column, joined by row number, are the
+present state. A column is fitted again only when another one has moved since.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -11,6 +16,7 @@ from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasSeed
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -24,19 +30,35 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from resaleworth.operators.encode import category_dictionaries, code_name, decode_label, encode_labels
+from resaleworth.operators.encode import code_name, decode_labels, dictionary_table, encode_labels
 from resaleworth.operators.fill import column_means, column_modes
 from resaleworth.session import materialise, scratch_dir
 
-INPUT, GUESS = "_inputs", "_guess"
+INPUT, GUESS, ROW = "_inputs", "_guess", "_row"
+# Codes are predicted digit by digit in this base, so that no forest has more classes.
+DIGIT = 512
+# Gaps per word of the mask.
+WORD = 62
 
 
 def gap_name(column: str) -> str:
     return f"{column}_gap"
 
 
+def digits(classes: int | None) -> int:
+    """Forests that a column needs: one for a number, one per digit of the largest code."""
+    count = 1
+    while classes is not None and classes > DIGIT**count:
+        count += 1
+    return count
+
+
+def digit_of(code: Column, place: int) -> Column:
+    return F.floor(code / DIGIT**place) % DIGIT
+
+
 def _open(df: DataFrame, columns: Sequence[str], fill: Mapping[str, float]) -> DataFrame:
     """Mark the gaps, then fill them for the first round."""
     marks = {gap_name(name): F.col(name).isNull() for name in columns}
@@ -44,18 +66,27 @@ def _open(df: DataFrame, columns: Sequence[str], fill: Mapping[str, float]) -> D
     return df.withColumns(marks).withColumns(filled)
 
 
-def _assembled(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    others = [name for name in columns if name != target]
-    return VectorAssembler(inputCols=others, outputCol=INPUT).transform(df)
+def _guessed_value(place: int, classes: int | None) -> str:
+    """The number, or the code from its predicted digits, rounded half-even and inside the known ones."""
+    if classes is None:
+        return f"{GUESS}{place}"
+    code = " + ".join(f"{GUESS}{d} * {DIGIT**d}" for d in range(digits(classes)))
+    return f"least(greatest(bround({code}), 0D), double({classes - 1}))"
 
 
-def _guessed(assembled: DataFrame, target: str, model: Any, classes: int | None) -> DataFrame:
+def _predicted(assembled: DataFrame, forests: Sequence[Any]) -> DataFrame:
+    for place, forest in enumerate(forests):
+        assembled = forest.copy({forest.predictionCol: f"{GUESS}{place}"}).transform(assembled)
+    return assembled
+
+
+def _guessed(df: DataFrame, columns: Sequence[str], target: str, forests: Sequence[Any], classes: int | None) -> DataFrame:
     """Replace the gaps of ``target`` by the prediction; observed cells stay as they are."""
-    guess = GUESS if classes is None else f"least(greatest(bround({GUESS}), 0D), double({classes - 1}))"
-    return model.transform(assembled).selectExpr(
-        f"* EXCEPT ({target}, {INPUT}, {GUESS})",
-        f"CASE WHEN {gap_name(target)} THEN {guess} ELSE {target} END AS {target}",
-    )
+    others = [name for name in columns if name != target]
+    predicted = _predicted(VectorAssembler(inputCols=others, outputCol=INPUT).transform(df), forests)
+    extra = ", ".join([target, INPUT, *[f"{GUESS}{place}" for place in range(len(forests))]])
+    value = f"CASE WHEN {gap_name(target)} THEN {_guessed_value(0, classes)} ELSE {target} END AS {target}"
+    return predicted.selectExpr(f"* EXCEPT ({extra})", value)
 
 
 def in_threads(tasks: Sequence[Callable[[], Any]], threads: int = 8) -> list[Any]:
@@ -67,13 +98,44 @@ def in_threads(tasks: Sequence[Callable[[], Any]], threads: int = 8) -> list[Any
         return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 
 
+class ChainState:
+    """The stored rows of a chain, and the newest guesses of each column."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], fill: Mapping[str, float]):
+        self.columns, self.guesses = list(columns), {}
+        bits = [F.when(F.col(name).isNull(), F.lit(1 << (i % WORD))).otherwise(F.lit(0)).cast("long") for i, name in enumerate(columns)]
+        words = [reduce(lambda a, b: a.bitwiseOR(b), bits[at : at + WORD]) for at in range(0, len(bits), WORD)]
+        values = [F.coalesce(F.col(name).cast("double"), F.lit(fill[name])) for name in columns]
+        numbered = df.select(F.monotonically_increasing_id().alias(ROW), F.array(*values).alias("values"), F.array(*words).alias("gaps"))
+        self.rows = materialise(numbered, "impute")
+
+    def gap(self, target: str) -> Column:
+        place = self.columns.index(target)
+        return F.getbit(F.get("gaps", F.lit(place // WORD)), F.lit(place % WORD)) == 1
+
+    def present(self) -> DataFrame:
+        """All rows with the newest guess in each gap."""
+        if not self.guesses:
+            return self.rows
+        each = [df.select(ROW, F.lit(self.columns.index(name)).alias("i"), "value") for name, df in self.guesses.items()]
+        per_row = reduce(DataFrame.unionByName, each).groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("newest"))
+        newest = F.transform("values", lambda value, i: F.coalesce(F.try_element_at(F.col("newest"), i), value))
+        return self.rows.join(per_row, ROW, "left").select(ROW, "gaps", F.when(F.col("newest").isNull(), F.col("values")).otherwise(newest).alias("values"))
+
+    def frame(self, target: str) -> DataFrame:
+        """The other columns as a vector, the target's present value and whether it is a gap."""
+        place = self.columns.index(target)
+        others = F.concat(F.slice("values", F.lit(1), F.lit(place)), F.slice("values", F.lit(place + 2), F.lit(len(self.columns))))
+        return self.present().select(ROW, array_to_vector(others).alias(INPUT), F.get("values", F.lit(place)).alias("y"), self.gap(target).alias("gap"))
+
+
 class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
     """Numbers are predicted from the other numbers, categories from the codes of the other categories.
 
-    Columns are visited from the fewest gaps to the most, each using the values filled before it.
-    The rounds end early once no filled number moves by more than ``tolerance`` of the largest
-    observed one. The model keeps the forests of the last round; columns without gaps in training
-    get a forest too, since a request may leave any field out.
+    Columns are visited from the fewest gaps to the most, each using the values filled before it. A column moved if a filled
+    value moved by more than ``tolerance`` of the largest observed one; the rounds end early once no column has another one
+    that moved since its last fit. The model keeps the last forests of each column; columns without gaps in training get
+    them too, since a request may leave any field out. Codes beyond ``DIGIT`` categories are predicted as digits.
     """
 
     numericalCols = Param(Params._dummy(), "numericalCols", "number columns", TypeConverters.toListString)
@@ -101,10 +163,10 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         )
         self._set(**self._input_kwargs)
 
-    def _learner(self, target: str, classes: int | None) -> Any:
+    def _learner(self, classes: int | None) -> Any:
         settings = {
             "featuresCol": INPUT,
-            "labelCol": target,
+            "labelCol": "y",
             "predictionCol": GUESS,
             "numTrees": self.getOrDefault(self.numTrees),
             "maxDepth": self.getOrDefault(self.maxDepth),
@@ -115,15 +177,31 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
             return RandomForestRegressor(**settings, featureSubsetStrategy="all")
         return RandomForestClassifier(**settings, rawPredictionCol="", probabilityCol="")
 
-    def _fit_column(self, assembled: DataFrame, target: str, classes: int | None) -> Any:
-        observed = assembled.where(~F.col(gap_name(target))).select(INPUT, target)
-        if classes is not None:
-            observed = observed.withMetadata(target, {"ml_attr": {"type": "nominal", "num_vals": classes}})
-        return self._learner(target, classes).fit(observed)
+    def _fit_column(self, frame: DataFrame, classes: int | None) -> list[Any]:
+        observed = frame.where("not gap").select(INPUT, "y")
+        if classes is None:
+            return [self._learner(None).fit(observed)]
+        forests = []
+        for place in range(digits(classes)):
+            kinds = min(DIGIT, -(-classes // DIGIT**place))
+            digit = observed.withColumn("y", digit_of(F.col("y"), place).cast("double"))
+            forests.append(self._learner(kinds).fit(digit.withMetadata("y", {"ml_attr": {"type": "nominal", "num_vals": max(2, kinds)}})))
+        return forests
+
+    def _refit(self, state: ChainState, target: str, classes: int | None) -> tuple[list[Any], float]:
+        """New forests of a column and the largest move of its filled values, which are stored."""
+        frame = state.frame(target).persist()
+        forests = self._fit_column(frame, classes)
+        value = _guessed_value(0, classes)
+        seen = Observation()
+        guesses = _predicted(frame.where("gap"), forests).selectExpr(ROW, f"{value} AS value", f"abs({value} - y) AS move")
+        state.guesses[target] = materialise(guesses.observe(seen, F.max("move").alias("move")).select(ROW, "value"), "guesses")
+        frame.unpersist()
+        return forests, float(seen.get["move"] or 0.0)
 
     def _chain(
         self, df: DataFrame, columns: list[str], fill: dict[str, float], classes: dict[str, int]
-    ) -> list[tuple[str, Any]]:
+    ) -> list[tuple[str, list[Any]]]:
         """Forests in visiting order."""
         if len(columns) < 2:
             return []
@@ -131,50 +209,46 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         largest = [F.max(F.abs(F.col(name).cast("double"))).alias(f"_{name}_max") for name in columns]
         stats = df.agg(F.count("*").alias("_rows"), *marks, *largest).first()
         # A column that is empty or has one category only needs its first fill.
-        learnable = [name for name in columns if stats[name] < stats["_rows"] and classes.get(name, 2) > 1]
+        learnable = [name for name in columns if stats["_rows"] and stats[name] < stats["_rows"] and classes.get(name, 2) > 1]
         order = sorted(learnable, key=lambda name: (stats[name], columns.index(name)))
         gappy = [name for name in order if stats[name] > 0]
         reach = max((stats[f"_{name}_max"] or 0.0 for name in columns), default=0.0)
 
-        work = materialise(_open(df, columns, fill), "impute")
-        forests: dict[str, Any] = {}
-        for _ in range(self.getOrDefault(self.rounds) if gappy else 0):
-            work = work.withColumns({f"_{name}_before": F.col(name) for name in gappy})
-            cached: list[DataFrame] = []
+        state = ChainState(df, columns, fill)
+        forests: dict[str, list[Any]] = {}
+        fitted, moved, clock = {}, {}, 0
+        for _ in range(self.getOrDefault(self.rounds)):
+            before = clock
             for target in gappy:
-                assembled = _assembled(work, columns, target)
-                forests[target] = self._fit_column(assembled, target, classes.get(target))
-                work = _guessed(assembled, target, forests[target], classes.get(target)).persist()
-                cached.append(work)
-            # The round's chain of forests ends here; a lost executor repeats at most one round.
-            work = work.checkpoint()
-            for frame in cached:
-                frame.unpersist()
-            moves = [F.max(F.abs(F.col(name) - F.col(f"_{name}_before"))) for name in gappy]
-            moved = max(value or 0.0 for value in work.agg(*moves).first())
-            work = work.drop(*[f"_{name}_before" for name in gappy])
-            if moved < self.getOrDefault(self.tolerance) * reach:
+                if target in fitted and all(moved.get(other, 0) <= fitted[target] for other in gappy if other != target):
+                    continue
+                clock += 1
+                forests[target], move = self._refit(state, target, classes.get(target))
+                fitted[target] = clock
+                if move > self.getOrDefault(self.tolerance) * reach:
+                    moved[target] = clock
+            if clock == before:
                 break
         rest = [target for target in order if target not in forests]
-        fits = [
-            partial(self._fit_column, _assembled(work, columns, target), target, classes.get(target)) for target in rest
-        ]
-        forests.update(zip(rest, in_threads(fits)))
+        if rest:
+            state.rows, state.guesses = materialise(state.present(), "imputed-state"), {}
+            forests.update(zip(rest, in_threads([partial(self._fit_column, state.frame(target), classes.get(target)) for target in rest])))
         return [(target, forests[target]) for target in order]
 
     def _fit(self, dataset: DataFrame) -> "ChainedForestImputerModel":
         numerical = self.getOrDefault(self.numericalCols)
         categorical = self.getOrDefault(self.categoricalCols)
-        means = column_means(dataset, numerical)
-        dictionaries = category_dictionaries(dataset, categorical)
+        scratch_dir(dataset.sparkSession)
+        dictionary = materialise(dictionary_table(dataset, categorical), "dictionaries")
+        counts = {row["column_name"]: row["n"] for row in dictionary.groupBy("column_name").agg(F.count("*").alias("n")).collect()}
         codes = [code_name(name) for name in categorical]
-        classes = {code_name(name): len(labels) for name, labels in dictionaries.items()}
+        classes = {code_name(name): counts.get(name, 0) for name in categorical}
         base = materialise(
-            encode_labels(dataset.select(*numerical, *categorical), dictionaries).select(*numerical, *codes), "observed"
+            encode_labels(dataset.select(*numerical, *categorical), dictionary, categorical).select(*numerical, *codes), "observed"
         )
+        means = column_means(base, numerical)
         modes = column_modes(base, codes)
         fill = {name: float(value or 0.0) for name, value in {**means, **modes}.items()}
-        scratch_dir(dataset.sparkSession)
         # Numbers and categories never look at each other, so both chains run at once.
         chains = in_threads(
             [
@@ -184,7 +258,7 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         )
         model = ChainedForestImputerModel()
         model.numerical, model.categorical = list(numerical), list(categorical)
-        model.dictionaries, model.fill, model.chains = dictionaries, fill, chains
+        model.dictionary, model.classes, model.fill, model.chains = dictionary, classes, fill, chains
         return model
 
 
@@ -198,13 +272,19 @@ class _ImputerWriter(MLWriter):
         extra = {
             "numerical": model.numerical,
             "categorical": model.categorical,
-            "dictionaries": model.dictionaries,
+            "classes": model.classes,
             "fill": model.fill,
             "targets": [[target for target, _ in chain] for chain in model.chains],
         }
         DefaultParamsWriter.saveMetadata(model, path, self.sc, extraMetadata=extra)
-        forests = [pair for chain in model.chains for pair in chain]
-        in_threads([partial(forest.write().save, f"{path}/forests/{target}") for target, forest in forests])
+        model.dictionary.write.partitionBy("column_name").parquet(f"{path}/dictionary")
+        saves = [
+            partial(forest.write().save, f"{path}/forests/{target}/{place}")
+            for chain in model.chains
+            for target, forests in chain
+            for place, forest in enumerate(forests)
+        ]
+        in_threads(saves)
 
 
 class _ImputerReader(MLReader):
@@ -212,13 +292,16 @@ class _ImputerReader(MLReader):
         metadata = DefaultParamsReader.loadMetadata(path, self.sc)
         model = ChainedForestImputerModel()
         model._resetUid(metadata["uid"])
-        for name in ("numerical", "categorical", "dictionaries", "fill"):
+        for name in ("numerical", "categorical", "classes", "fill"):
             setattr(model, name, metadata[name])
+        model.dictionary = self.sparkSession.read.schema("value string, code bigint, column_name string").parquet(f"{path}/dictionary")
         kinds = (RandomForestRegressionModel, RandomForestClassificationModel)
-        model.chains = [
-            list(zip(targets, in_threads([partial(kind.load, f"{path}/forests/{target}") for target in targets])))
-            for kind, targets in zip(kinds, metadata["targets"])
-        ]
+        places = [(kind, target, place) for kind, targets in zip(kinds, metadata["targets"]) for target in targets for place in range(digits(model.classes.get(target)))]
+        loaded = in_threads([partial(kind.load, f"{path}/forests/{target}/{place}") for kind, target, place in places])
+        forests: dict[str, list[Any]] = {}
+        for (_, target, _), forest in zip(places, loaded, strict=True):
+            forests.setdefault(target, []).append(forest)
+        model.chains = [[(target, forests[target]) for target in targets] for targets in metadata["targets"]]
         return model
 
 
@@ -227,22 +310,19 @@ class ChainedForestImputerModel(Model, MLReadable, MLWritable):
 
     numerical: list[str]
     categorical: list[str]
-    dictionaries: dict[str, list[Any]]
+    dictionary: DataFrame
+    classes: dict[str, int]
     fill: dict[str, float]
-    chains: list[list[tuple[str, Any]]]
+    chains: list[list[tuple[str, list[Any]]]]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         codes = [code_name(name) for name in self.categorical]
-        classes = {code_name(name): len(labels) for name, labels in self.dictionaries.items()}
-        work = encode_labels(dataset, self.dictionaries)
+        work = encode_labels(dataset, self.dictionary, self.categorical)
         for columns, chain in zip((self.numerical, codes), self.chains):
             work = _open(work, columns, self.fill)
-            for target, forest in chain:
-                work = _guessed(_assembled(work, columns, target), target, forest, classes.get(target))
-        decoded = {
-            name: decode_label(F.col(code_name(name)), self.dictionaries[name]) for name in self.categorical
-        }
-        return work.withColumns(decoded).select(*dataset.columns)
+            for target, forests in chain:
+                work = _guessed(work, columns, target, forests, self.classes.get(target))
+        return decode_labels(work, self.dictionary, self.categorical).select(*dataset.columns)
 
     def write(self) -> MLWriter:
         return _ImputerWriter(self)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from resaleworth.session import materialise
 
@@ -34,55 +36,60 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no", s
     )
 
 
-def exact_percentiles(
-    df: DataFrame,
-    column: str,
-    probabilities: Sequence[float],
-    small: int = 1_000_000,
-    accuracy: int = 10_000,
-) -> list[float | None]:
-    """Percentiles with linear interpolation between neighbours, as plain numbers.
+# Bits of a value that one pass settles; four passes settle a double.
+STEP_BITS = 16
+STEPS = 4
+_LOW_BITS = (1 << 63) - 1
 
-    Up to ``small`` rows the built-in aggregate does it. Above, a sketch brackets each wanted rank,
-    two counts confirm the bracket, and the scan repeats inside it until few distinct values are left.
-    Every pass is a map-side aggregate over one column; no pass sorts or moves the rows.
+
+def ordered_bits(value: Column) -> Column:
+    """A long that sorts like the double: of negative numbers all bits but the sign are turned round. -0.0 counts as 0.0."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    return F.when(value.isNotNull(), F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(_LOW_BITS))))
+
+
+def double_of(bits: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", bits if bits >= 0 else bits ^ _LOW_BITS))[0]
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Percentiles of many columns at once, with linear interpolation between neighbours; nulls are left out.
+
+    Radix selection, the same at any size: each of four passes over the ordered bits counts the next 16 bits below the prefixes
+    that hold a wanted rank, for all columns and ranks together. A pass is a map-side aggregate of at most 65,536 counters per column and
+    rank; no pass sorts or moves the rows. A column without values gives nulls.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    total = values.count()
-    if total == 0:
-        return [None for _ in probabilities]
-    if total <= small:
-        return list(values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities]))).first()[0])
-    result = []
-    for p in probabilities:
-        place = (total - 1) * p
-        low = int(place)
-        at_low = _value_at(values, low, small, accuracy)
-        at_high = at_low if place == low else _value_at(values, low + 1, small, accuracy)
-        result.append(at_low + (at_high - at_low) * (place - low))
+    spark = df.sparkSession
+    keys = materialise(df.select(*[ordered_bits(F.col(name)).alias(f"k{i}") for i, name in enumerate(columns)]), "bits")
+    totals = keys.agg(*[F.count(f"k{i}").alias(f"k{i}") for i in range(len(columns))]).first()
+    # (column, rank) -> the bits found so far, and the rank among the values that share them.
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for i in range(len(columns)):
+        places = [(totals[f"k{i}"] - 1) * p for p in probabilities] if totals[f"k{i}"] else []
+        found.update({(i, rank): (0, rank) for place in places for rank in (math.floor(place), math.ceil(place))})
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("bits")) for i in range(len(columns))]))
+    values = keys.select(pairs.alias("p")).select("p.*").where("bits is not null")
+    for step in range(STEPS if found else 0):
+        shift = 64 - STEP_BITS * (step + 1)
+        # The first digit keeps the sign, the others don't.
+        prefix = F.shiftright("bits", shift + STEP_BITS) if step else F.lit(0).cast("bigint")
+        digit = F.shiftright("bits", shift) if not step else F.shiftright("bits", shift).bitwiseAND(F.lit((1 << STEP_BITS) - 1))
+        # One row per column and rank.
+        wanted = spark.createDataFrame([(i, rank, *state) for (i, rank), state in found.items()], "i int, rank bigint, prefix bigint, left bigint")
+        held = F.broadcast(wanted.select("i", "prefix").distinct())
+        counts = values.select("i", prefix.alias("prefix"), digit.alias("digit")).join(held, ["i", "prefix"])
+        counts = counts.groupBy("i", "prefix", "digit").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("i", "rank").orderBy("digit").rowsBetween(W.unboundedPreceding, W.currentRow))
+        reached = counts.join(F.broadcast(wanted), ["i", "prefix"]).withColumn("upto", upto).where("upto > left AND upto - n <= left")
+        for row in reached.collect():
+            bits = row["digit"] if not step else (row["prefix"] << STEP_BITS) | row["digit"]
+            found[row["i"], row["rank"]] = (bits, row["left"] - (row["upto"] - row["n"]))
+    result = {}
+    for i, name in enumerate(columns):
+        result[name] = [_between(found, i, (totals[f"k{i}"] - 1) * p) if totals[f"k{i}"] else None for p in probabilities]
     return result
 
 
-def _value_at(values: DataFrame, rank: int, small: int, accuracy: int) -> float:
-    """The value at the 0-based ``rank`` of the sorted rows."""
-    inside, below = values, 0
-    while True:
-        rows, kinds = inside.agg(F.count("*"), F.approx_count_distinct("v")).first()
-        if kinds <= small:
-            counts = inside.groupBy("v").agg(F.count("*").alias("n"))
-            upto = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-            reached = counts.withColumn("upto", upto + below).where(F.col("upto") > rank)
-            return reached.agg(F.min("v")).first()[0]
-        share = (rank - below) / rows
-        edges = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
-        low, high = inside.agg(F.percentile_approx("v", edges, accuracy)).first()[0]
-        under, upto_high = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
-        if not below + under <= rank < below + upto_high:
-            # The sketch missed the rank; a wider bracket holds it.
-            accuracy = max(10, accuracy // 10)
-        elif low == high:
-            return low
-        elif upto_high - under == rows:
-            accuracy *= 10
-        else:
-            inside, below = inside.where(F.col("v").between(low, high)), below + under
+def _between(found: dict[tuple[int, int], tuple[int, int]], i: int, place: float) -> float:
+    low, high = (double_of(found[i, rank][0]) for rank in (math.floor(place), math.ceil(place)))
+    return low if low == high else low + (high - low) * (place - math.floor(place))

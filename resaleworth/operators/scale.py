@@ -52,7 +52,8 @@ class ColumnScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParams
     def _fit(self, dataset: DataFrame) -> ColumnScalerModel:
         columns = self.getInputCols()
         if self.getOrDefault(self.method) == "robust":
-            quartiles = [exact_percentiles(dataset, name, (0.25, 0.5, 0.75)) for name in columns]
+            found = exact_percentiles(dataset, columns, (0.25, 0.5, 0.75))
+            quartiles = [found[name] for name in columns]
             centers = [_number(middle) for _, middle, _ in quartiles]
             factors = [1 / _spread(lower, upper) for lower, _, upper in quartiles]
             return ColumnScalerModel(inputCols=columns, centers=centers, factors=factors, base=0.0)

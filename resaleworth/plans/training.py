@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
-from collections.abc import Sequence
+import hashlib
+import json
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth import config
 from resaleworth.operators import clean, features as feat, sampling
@@ -33,39 +35,68 @@ class ImputationSettings:
     seed: int = 0
 
 
-def labelled_features(tables: ListingTables, factors: DataFrame, as_of: dt.date, **options: Any) -> DataFrame:
+@dataclass(frozen=True)
+class TrainingSettings:
+    """All that a run may be told. They are stored with its artefacts, and scoring reads them back."""
+
+    categorical: tuple[str, ...] = config.CATEGORICAL
+    numerical: tuple[str, ...] = config.NUMERICAL
+    label: str = config.LABEL
+    bounds: config.PriceBounds = config.BOUNDS
+    zero_is_missing: bool = True
+    test_share: float = config.TEST_SHARE
+    split_seed: int = config.SPLIT_SEED
+    recent_days: int = config.RECENT_DAYS
+    recent_copies: int = config.RECENT_COPIES
+    imputation: ImputationSettings = ImputationSettings()
+
+    def as_json(self) -> str:
+        return json.dumps(dataclasses.asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> "TrainingSettings":
+        values = json.loads(text)
+        nested = {"bounds": config.PriceBounds(**values["bounds"]), "imputation": ImputationSettings(**values["imputation"])}
+        return cls(**{**values, **{name: tuple(values[name]) for name in ("categorical", "numerical")}, **nested})
+
+
+def labelled_features(
+    tables: ListingTables, factors: DataFrame, as_of: dt.date, settings: TrainingSettings = TrainingSettings()
+) -> DataFrame:
     """One row per sold listing: features, label, creation time and split."""
-    cleaned = clean.clean_sales(sales_extract(tables), factors, SALE_ORDER)
-    engineered = feat.engineer_features(cleaned, factors, as_of, **options)
-    return sampling.with_split(feat.training_rows(engineered))
+    # The feature step needs its inputs whether or not they are features themselves.
+    categorical, numerical = (tuple(dict.fromkeys([*own, *all_])) for own, all_ in ((settings.categorical, config.CATEGORICAL), (settings.numerical, config.NUMERICAL)))
+    cleaned = clean.clean_sales(
+        sales_extract(tables), factors, SALE_ORDER, categorical=categorical, numerical=numerical, label=settings.label, bounds=settings.bounds
+    )
+    engineered = feat.engineer_features(cleaned, factors, as_of, zero_is_missing=settings.zero_is_missing)
+    unused = [name for name in (*categorical, *numerical) if name not in (*settings.categorical, *settings.numerical)]
+    rows = feat.training_rows(engineered, settings.label).drop(*unused)
+    return sampling.with_split(rows, test_share=settings.test_share, seed=settings.split_seed)
 
 
 def training_data(
-    tables: ListingTables,
-    factors: DataFrame,
-    as_of: dt.date,
-    days: int = config.RECENT_DAYS,
-    copies: int = config.RECENT_COPIES,
+    tables: ListingTables, factors: DataFrame, as_of: dt.date, settings: TrainingSettings = TrainingSettings()
 ) -> DataFrame:
     """Train rows, recent ones repeated, and test rows once; all in one plan."""
-    rows = labelled_features(tables, factors, as_of)
-    repeated = (F.col("split") == "train") & sampling.is_recent(F.col("bike_created_at"), as_of, days)
-    return sampling.oversample(rows, repeated, copies).drop("bike_created_at")
+    rows = labelled_features(tables, factors, as_of, settings)
+    repeated = (F.col("split") == "train") & sampling.is_recent(F.col("bike_created_at"), as_of, settings.recent_days)
+    return sampling.oversample(rows, repeated, settings.recent_copies).drop("bike_created_at")
 
 
-def transform_pipeline(
-    categorical: Sequence[str] = config.CATEGORICAL,
-    numerical: Sequence[str] = config.NUMERICAL,
-    imputation: ImputationSettings = ImputationSettings(),
-    bounds: config.PriceBounds = config.BOUNDS,
-) -> Pipeline:
+def transform_pipeline(settings: TrainingSettings = TrainingSettings()) -> Pipeline:
     """Impute, indicators, scaling; msrp is scaled robustly and then to its own range."""
+    categorical, numerical, imputation = list(settings.categorical), list(settings.numerical), settings.imputation
     others = [name for name in numerical if name != "msrp"]
+    price = [
+        ColumnScaler(inputCols=["msrp"], method="robust"),
+        ColumnScaler(inputCols=["msrp"], method="minmax", low=0.0, high=settings.bounds.msrp_max),
+    ]
     return Pipeline(
         stages=[
             ChainedForestImputer(
-                numericalCols=list(numerical),
-                categoricalCols=list(categorical),
+                numericalCols=numerical,
+                categoricalCols=categorical,
                 rounds=imputation.rounds,
                 numTrees=imputation.num_trees,
                 maxDepth=imputation.max_depth,
@@ -73,11 +104,8 @@ def transform_pipeline(
             ),
             *indicator_stages(categorical),
             ColumnScaler(inputCols=others, method="minmax"),
-            ColumnScaler(inputCols=["msrp"], method="robust"),
-            ColumnScaler(inputCols=["msrp"], method="minmax", low=0.0, high=bounds.msrp_max),
-            VectorAssembler(
-                inputCols=[*[f"{name}_onehot" for name in categorical], *numerical], outputCol="features"
-            ),
+            *(price if "msrp" in numerical else []),
+            VectorAssembler(inputCols=[*[f"{name}_onehot" for name in categorical], *numerical], outputCol="features"),
         ]
     )
 
@@ -107,7 +135,17 @@ class TrainingRun:
     transforms: PipelineModel
     model: Any
     snapshot: str
-    train_error: float
+    train_error: float | None
+    settings: TrainingSettings = TrainingSettings()
+    fitted: bool = True
+
+
+def run_digest(data: DataFrame, learner: Estimator, as_of: dt.date, settings: TrainingSettings) -> str:
+    """A name for what a run would learn: its rows in any order, its settings, its learner and day."""
+    rows, total = data.agg(F.count("*"), F.sum(F.xxhash64(*data.columns).cast("decimal(38,0)"))).first()
+    params = sorted((param.name, repr(value)) for param, value in learner.extractParamMap().items())
+    text = json.dumps([rows, str(total), data.columns, settings.as_json(), type(learner).__name__, params, as_of.isoformat()])
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
 def run_training(
@@ -115,22 +153,39 @@ def run_training(
     factors: DataFrame,
     as_of: dt.date,
     root: str,
-    version: str,
+    version: str | None,
     learner: Estimator,
-    imputation: ImputationSettings = ImputationSettings(),
+    settings: TrainingSettings = TrainingSettings(),
 ) -> TrainingRun:
-    """Writes the snapshot with features and labels, then publishes transforms and model.
+    """Writes the snapshot with features and labels, then publishes transforms, model and manifest.
 
-    The snapshot is written before the model is fitted, so fitting reads finished vectors from
-    storage and does not repeat the joins and the imputation per pass.
+    Without a ``version`` the run is named by a digest of its rows, settings and learner. Where that digest is published
+    already, by this session or another, nothing is fitted: the published run is loaded. Two sessions that start the same run write to
+    folders of their own, and the pointer of the digest is created once: the later one takes over what the first has published.
     """
     spark = tables.bikes.sparkSession
-    raw_path, snapshot = f"{root}/prepared/{version}", f"{root}/snapshots/{version}"
-    artefacts.write_snapshot(training_data(tables, factors, as_of), raw_path)
-    data = artefacts.read_snapshot(spark, raw_path)
-    transforms, transformed = fit_transforms(data, transform_pipeline(imputation=imputation))
-    artefacts.write_snapshot(transformed.select(*ROW_KEYS, config.LABEL, "features", "split"), snapshot)
-    train = artefacts.read_snapshot(spark, snapshot, "train")
-    model, error = train_model(train, learner)
-    artefacts.publish_artefacts(root, version, transforms, model, spark)
-    return TrainingRun(version, transforms, model, snapshot, error)
+    data = materialise(training_data(tables, factors, as_of, settings), "prepared")
+    digest = run_digest(data, learner, as_of, settings)
+    if version is None:
+        published = artefacts.published_run(spark, root, digest)
+        if published is not None:
+            return load_run(spark, root, published)
+        version = artefacts.version_name(digest)
+    snapshot = f"{root}/snapshots/{version}"
+    artefacts.write_snapshot(data, f"{root}/prepared/{version}")
+    transforms, transformed = fit_transforms(artefacts.read_snapshot(spark, f"{root}/prepared/{version}"), transform_pipeline(settings))
+    artefacts.write_snapshot(transformed.select(*ROW_KEYS, settings.label, "features", "split"), snapshot)
+    model, error = train_model(artefacts.read_snapshot(spark, snapshot, "train"), learner, settings.label)
+    manifest = {"settings": settings.as_json(), "digest": digest, "as_of": as_of.isoformat(), "train_error": error}
+    artefacts.publish_artefacts(root, version, transforms, model, spark, manifest)
+    run = TrainingRun(version, transforms, model, snapshot, error, settings)
+    first = artefacts.claim_run(spark, root, digest, version)
+    return run if first == version else load_run(spark, root, first)
+
+
+def load_run(spark: SparkSession, root: str, version: str) -> TrainingRun:
+    """A published run: artefacts, snapshot and the settings in its manifest (the defaults for one without)."""
+    transforms, model = artefacts.load_artefacts(spark, root, version)
+    manifest = artefacts.read_manifest(spark, root, version)
+    settings = TrainingSettings.from_json(manifest["settings"]) if "settings" in manifest else TrainingSettings()
+    return TrainingRun(version, transforms, model, f"{root}/snapshots/{version}", manifest.get("train_error"), settings, fitted=False)

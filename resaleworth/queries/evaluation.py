@@ -69,7 +69,8 @@ def mape_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {sql.RESULTS} SELECT count(*) AS rows, round(avg(abs((sales_price - prediction) / sales_price)) * 100, 7) AS mape_pct,"
-    " round(100 * avg(CASE WHEN sales_price BETWEEN low AND high THEN 1 ELSE 0 END), 7) AS coverage_pct FROM results"
+    " round(100 * avg(CASE WHEN sales_price BETWEEN low AND high THEN 1 ELSE 0 END), 7) AS coverage_pct,"
+    " NULL::DOUBLE AS quantile_coverage_pct FROM results"
 )
 def error_and_coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = evaluation_report(frames.stand_in_results(spark, sf_dir))

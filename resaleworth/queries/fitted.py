@@ -10,11 +10,13 @@ from resaleworth.operators.ranking import exact_percentiles
 from resaleworth.operators.scale import ColumnScaler
 from resaleworth.queries import frames, oracle_base as sql
 from resaleworth.queries.registry import Registry
+from resaleworth.session import materialise
 
 query = Registry()
 
-_NUMBERS = ("condition_code", "rider_height_min", "sales_duration", "mileage_code", "family_id", "bike_age")
-_TEXTS = ("brake_type_code", "frame_material_code", "shifting_code", "color")
+_NUMBERS = config.NUMERICAL
+# Kinds differ, so values of all categories are compared as texts.
+_CATEGORIES = config.CATEGORICAL
 
 
 @query(
@@ -45,15 +47,19 @@ def column_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.agg(*stats).select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(name).cast("string").alias(name) for name in _CATEGORIES])
+
+
 @query(
     f"WITH {sql.FEATURES}, v AS ("
-    + " UNION ALL ".join(f"SELECT '{name}' AS column_name, {name} AS value FROM train_rows" for name in _TEXTS)
+    + " UNION ALL ".join(f"SELECT '{name}' AS column_name, {name}::VARCHAR AS value FROM train_rows" for name in _CATEGORIES)
     + "), c AS (SELECT column_name, value, count(*) AS frequency FROM v WHERE value IS NOT NULL GROUP BY 1, 2)"
     " SELECT column_name, value, frequency FROM (SELECT *, row_number() OVER (PARTITION BY column_name"
     " ORDER BY frequency DESC, value) AS rn FROM c) WHERE rn = 1"
 )
 def most_frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill.most_frequent(frames.train_rows(spark, sf_dir), _TEXTS)
+    return fill.most_frequent(_texts(frames.train_rows(spark, sf_dir)), _CATEGORIES)
 
 
 @query(
@@ -62,22 +68,39 @@ def most_frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = frames.stored_rows(spark, sf_dir, "msrp")
-    values = exact_percentiles(train, "msrp", (0.25, 0.5, 0.75))
+    values = exact_percentiles(train, ["msrp"], (0.25, 0.5, 0.75))["msrp"]
     return spark.createDataFrame([tuple(round(v, 6) for v in values)], "q25 double, q50 double, q75 double")
 
 
+@query(
+    f"WITH {sql.FEATURES} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, "
+        + ", ".join(f"round(quantile_cont({name}::DOUBLE, {p}), 6) AS q{int(100 * p)}" for p in (0.25, 0.5, 0.75))
+        + " FROM train_rows"
+        for name in config.NUMERICAL
+    )
+)
+def column_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of all number columns in the same four passes."""
+    train, _ = frames.stored_rows(spark, sf_dir, *config.NUMERICAL)
+    found = exact_percentiles(train, config.NUMERICAL, (0.25, 0.5, 0.75))
+    rows = [(name, *[None if v is None else round(v, 6) for v in found[name]]) for name in config.NUMERICAL]
+    return spark.createDataFrame(rows, "column_name string, q25 double, q50 double, q75 double")
+
+
 _DENSE = " UNION ALL ".join(
-    f"SELECT '{name}' AS column_name, value, row_number() OVER (ORDER BY value) - 1 AS code"
+    f"SELECT '{name}' AS column_name, value::VARCHAR AS value, row_number() OVER (ORDER BY value) - 1 AS code"
     f" FROM (SELECT DISTINCT {name} AS value FROM train_rows WHERE {name} IS NOT NULL)"
-    for name in _TEXTS
+    for name in _CATEGORIES
 )
 
 
 @query(f"WITH {sql.FEATURES} {_DENSE}")
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sorted dictionary of each text column with its codes."""
-    train, _ = frames.stored_rows(spark, sf_dir, *_TEXTS)
-    return enc.dictionary_table(train, _TEXTS)
+    """The sorted dictionary of each category column with its codes."""
+    train, _ = frames.stored_rows(spark, sf_dir, *_CATEGORIES)
+    return enc.dictionary_table(train, _CATEGORIES)
 
 
 def _codes_sql(name: str) -> str:
@@ -88,57 +111,62 @@ def _codes_sql(name: str) -> str:
 
 
 @query(
-    f"WITH {sql.FEATURES} SELECT s.id, s.split, b.code AS brake_type_code_code, c.code AS color_code,"
-    " k.code AS bike_category_id_code, s.color AS color_decoded, s.bike_category_id AS category_decoded FROM split_rows s"
-    f" LEFT JOIN {_codes_sql('brake_type_code')} b ON b.value = s.brake_type_code"
-    f" LEFT JOIN {_codes_sql('color')} c ON c.value = s.color"
-    f" LEFT JOIN {_codes_sql('bike_category_id')} k ON k.value = s.bike_category_id"
+    f"WITH {sql.FEATURES} SELECT s.id, s.split, "
+    + ", ".join(f"c{i}.code AS {name}_code, c{i}.value AS {name}" for i, name in enumerate(_CATEGORIES))
+    + " FROM split_rows s"
+    + "".join(f" LEFT JOIN {_codes_sql(name)} c{i} ON c{i}.value = s.{name}" for i, name in enumerate(_CATEGORIES))
 )
 def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes learned on the train rows, applied to all rows, and decoded again."""
-    names = ("brake_type_code", "color", "bike_category_id")
-    train, rows = frames.stored_rows(spark, sf_dir, *names)
-    dictionaries = enc.category_dictionaries(train, names)
-    coded = enc.encode_labels(rows, dictionaries)
-    return coded.select(
-        "id",
-        "split",
-        *[enc.code_name(name) for name in names],
-        enc.decode_label(F.col("color_code"), dictionaries["color"]).alias("color_decoded"),
-        enc.decode_label(F.col("bike_category_id_code"), dictionaries["bike_category_id"]).alias("category_decoded"),
-    )
+    train, rows = frames.stored_rows(spark, sf_dir, *_CATEGORIES)
+    dictionary = materialise(enc.dictionary_table(train, _CATEGORIES), "dictionary")
+    coded = enc.encode_labels(rows, dictionary, _CATEGORIES)
+    return enc.decode_labels(coded, dictionary, _CATEGORIES)
 
 
-@query(
-    f"WITH {sql.FEATURES} SELECT id, round(coalesce(condition_code, (SELECT avg(condition_code) FROM train_rows)), 6) AS condition_code,"
-    " round(coalesce(bike_age, (SELECT avg(bike_age) FROM train_rows)), 6) AS bike_age, coalesce(brake_type_code,"
-    " (SELECT brake_type_code FROM train_rows WHERE brake_type_code IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))"
-    " AS brake_type_code FROM split_rows"
+_MEANS = ", ".join(f"round(coalesce({name}::DOUBLE, (SELECT avg({name}) FROM train_rows)), 6) AS {name}" for name in _NUMBERS)
+_MODES = ", ".join(
+    f"coalesce({name}, (SELECT {name} FROM train_rows WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {name}::VARCHAR LIMIT 1)) AS {name}"
+    for name in _CATEGORIES
 )
-def first_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, rows = frames.stored_rows(spark, sf_dir, "condition_code", "bike_age", "brake_type_code")
-    values = {**fill.column_means(train, ("condition_code", "bike_age")), **fill.column_modes(train, ("brake_type_code",))}
-    rows = rows.select("id", *values).withColumn("bike_age", F.col("bike_age").cast("double"))
-    filled = fill.fill_gaps(rows, values)
-    return filled.withColumns({name: F.round(name, 6) for name in ("condition_code", "bike_age")})
 
 
-# The categories of the test tables that the wide form is checked on.
-_SHIFTING = ("electronic", "mechanical")
+@query(f"WITH {sql.FEATURES} SELECT id, {_MEANS}, {_MODES} FROM split_rows")
+def first_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and most frequent values of the train rows in the gaps of all 26 columns."""
+    train, rows = frames.stored_rows(spark, sf_dir, *_NUMBERS, *_CATEGORIES)
+    means, modes = fill.column_means(train, _NUMBERS), fill.column_modes(_texts(train), _CATEGORIES)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    typed = rows.select("id", *[F.col(name).cast("double").alias(name) for name in _NUMBERS], *_CATEGORIES)
+    filled = fill.fill_gaps(typed, {name: value for name, value in means.items() if value is not None})
+    filled = filled.withColumns({name: F.coalesce(F.col(name), F.lit(value).cast(kinds[name])) for name, value in modes.items()})
+    return filled.withColumns({name: F.round(name, 6) for name in _NUMBERS})
 
 
 @query(
-    f"WITH {sql.FEATURES} SELECT id, CAST(coalesce(shifting_code = 'electronic', false) AS INTEGER) AS shifting_code_electronic,"
-    " CAST(coalesce(shifting_code = 'mechanical', false) AS INTEGER) AS shifting_code_mechanical,"
-    " CAST(coalesce(shifting_code NOT IN ('electronic', 'mechanical'), true) AS INTEGER) AS \"shifting_code_-1\" FROM split_rows"
+    f"WITH {sql.FEATURES}, "
+    + ", ".join(f"d{i} AS (SELECT DISTINCT {name} AS v FROM train_rows WHERE {name} IS NOT NULL)" for i, name in enumerate(_CATEGORIES))
+    + " SELECT id, split, column_name, category, indicator FROM ("
+    + " UNION ALL ".join(
+        f"SELECT id, split, '{name}' AS column_name, v::VARCHAR AS category, coalesce({name} = v, false)::INTEGER AS indicator FROM split_rows, d{i}"
+        f" UNION ALL SELECT id, split, '{name}', '-1', ({name} IS NULL OR {name} NOT IN (SELECT v FROM d{i}))::INTEGER FROM split_rows"
+        for i, name in enumerate(_CATEGORIES)
+    )
+    + ") WHERE indicator = 1"
 )
 def category_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, rows = frames.stored_rows(spark, sf_dir, "shifting_code")
-    labels = enc.category_dictionaries(train, ("shifting_code",))["shifting_code"]
-    return rows.select("id", *enc.indicator_columns("shifting_code", labels))
-
-
-_SCALED = ("rider_height_min", "sales_duration", "bike_age", "is_mobile")
+    """The indicators of all categories and the unknown one, those that are set."""
+    train, rows = frames.stored_rows(spark, sf_dir, *_CATEGORIES)
+    dictionary = materialise(enc.dictionary_table(train, _CATEGORIES), "dictionary")
+    kinds = dict(rows.dtypes)
+    flags = []
+    for name in _CATEGORIES:
+        for flag, column in enc.named_indicators(name, enc.category_labels(dictionary, name, kinds[name])):
+            flags.append(F.struct(F.lit(name).alias("column_name"), F.lit(flag).alias("category"), column.alias("indicator")))
+    return rows.select("id", "split", F.explode(F.array(*flags)).alias("f")).select("id", "split", "f.*").where("indicator = 1")
+
+
+_SCALED = tuple(name for name in config.NUMERICAL if name != "msrp")
 
 
 def _minmax_sql(name: str) -> str:

@@ -19,7 +19,7 @@ from resaleworth.operators.forest import QuantileForest
 from resaleworth.operators.impute import ChainedForestImputer
 from resaleworth.operators.selection import LEADERBOARD, Candidate, finetune, shortlist
 from resaleworth.plans import evaluation, model_choice, scoring
-from resaleworth.plans.training import ROW_KEYS
+from resaleworth.plans.training import ROW_KEYS, load_run
 from resaleworth.queries import frames, oracle_base as sql
 from resaleworth.queries.frames import trained
 from resaleworth.queries.registry import Registry
@@ -38,7 +38,10 @@ def _snapshot(spark: SparkSession, sf_dir: str, split: str | None = None) -> Dat
 
 def _imputation_report(spark: SparkSession, sf_dir: str, numerical: list[str], categorical: list[str]) -> DataFrame:
     rows = materialise(frames.split_rows(spark, sf_dir).select("id", "split", *numerical, *categorical), "gaps")
-    imputer = ChainedForestImputer(numericalCols=numerical, categoricalCols=categorical)
+    imputation = frames.IMPUTATION
+    imputer = ChainedForestImputer(
+        numericalCols=numerical, categoricalCols=categorical, rounds=imputation.rounds, numTrees=imputation.num_trees, maxDepth=imputation.max_depth
+    )
     filled = imputer.fit(rows.where(F.col("split") == "train")).transform(rows)
     columns = numerical + categorical
     before = rows.select("id", *[F.col(name).alias(f"{name}_before") for name in columns])
@@ -206,9 +209,11 @@ _RECORDS = (
 @query(f"WITH {sql.LISTINGS}, {_RECORDS} SELECT *, true AS priced FROM records")
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scoring job with saved and reloaded artefacts: one price per accepted record."""
-    root, _ = trained(spark, sf_dir)
-    transforms, model = artefacts.load_artefacts(spark, root)
-    scored = scoring.run_scoring(_payloads(spark, sf_dir), transforms, model, inflation_factors(spark), frames.AS_OF).scored
+    root, run = trained(spark, sf_dir)
+    run = load_run(spark, root, run.version)
+    scored = scoring.run_scoring(
+        _payloads(spark, sf_dir), run.transforms, run.model, inflation_factors(spark), frames.AS_OF, settings=run.settings
+    ).scored
     priced = F.col("price").isNotNull() & F.col("price").between(F.col("low"), F.col("high"))
     return scored.select("payload_id", "request_pos", "route", priced.alias("priced"))
 

@@ -1,7 +1,9 @@
 """Imputation, quantile forest, artefacts and the scoring job."""
 
 import datetime as dt
+import json
 import random
+from multiprocessing.pool import ThreadPool
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -10,15 +12,16 @@ from pyspark.sql import functions as F
 
 from resaleworth import config
 from resaleworth.operators.forest import QuantileForest, QuantileForestModel
-from resaleworth.operators.impute import ChainedForestImputer, ChainedForestImputerModel
+from resaleworth.operators.impute import ChainedForestImputer, ChainedForestImputerModel, ChainState
 from resaleworth.operators.selection import Candidate
 from resaleworth.plans.model_choice import choose_and_train
 from resaleworth.plans.scoring import in_request_order, score_requests
-from resaleworth.plans.training import ROW_KEYS
+from resaleworth.plans.training import ROW_KEYS, ImputationSettings, TrainingSettings, load_run, run_digest, run_training
 from resaleworth.queries.frames import SMALL_IMPUTATION, tables, trained
 from resaleworth.sources import artefacts
 from resaleworth.sources.inflation import inflation_factors
 from resaleworth.sources.requests import accepted, parse_requests
+from resaleworth.streaming import scoring as scoring_stream
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = dt.date(2024, 9, 1)
@@ -167,8 +170,8 @@ def test_list_price_kinds(spark):
 
 
 def test_scoring_seven_records(spark):
-    root, _ = trained(spark, SF_DIR)
-    transforms, model = artefacts.load_artefacts(spark, root)
+    root, run = trained(spark, SF_DIR)
+    transforms, model = artefacts.load_artefacts(spark, root, run.version)
     extreme = '[{"bike_id":9,"msrp":250},{"bike_id":9,"msrp":25000},{"bike_id":9,"msrp":-5},{}]'
     requests = accepted(parse_requests(payloads(spark, SEVEN, extreme, "{}")))
     scored = in_request_order(score_requests(requests, transforms, model, inflation_factors(spark), AS_OF)).collect()
@@ -184,8 +187,8 @@ def test_scoring_seven_records(spark):
 def test_scoring_gives_training_vectors(spark):
     """A saved train row and the transforms applied again give one and the same vector."""
     root, run = trained(spark, SF_DIR)
-    transforms, _ = artefacts.load_artefacts(spark, root)
-    prepared = artefacts.read_snapshot(spark, f"{root}/prepared/v1").where(F.col("split") == "train")
+    transforms, _ = artefacts.load_artefacts(spark, root, run.version)
+    prepared = artefacts.read_snapshot(spark, f"{root}/prepared/{run.version}").where(F.col("split") == "train")
     again = transforms.transform(prepared).select(*ROW_KEYS, F.col("features").alias("again"))
     stored = artefacts.read_snapshot(spark, run.snapshot, "train").select(*ROW_KEYS, "features")
     pairs = stored.join(again, list(ROW_KEYS)).collect()
@@ -226,16 +229,138 @@ def test_winner_is_trained_and_published(spark, tmp_path):
     assert len(scored) == 7 and all(r["price"] is not None and r["q_mid"] is None for r in scored)
 
 
-def test_queries_use_full_settings(monkeypatch):
-    """All columns are imputed, and the shared training run keeps the job's own settings."""
+def test_queries_learn_from_all_columns(monkeypatch):
+    """All columns are imputed; the shared run takes the documented settings and every default besides."""
     from resaleworth.queries import frames, learned
 
     assert learned._NUMBERS == list(config.NUMERICAL) and learned._CATEGORIES == list(config.CATEGORICAL)
     seen = []
-    for name in ("tables", "inflation_factors", "configure", "scratch_path"):
+    for name in ("tables", "inflation_factors", "configure", "scratch_dir"):
         monkeypatch.setattr(frames, name, lambda *args: "x")
     monkeypatch.setattr(frames, "run_training", lambda *args: seen.append(args))
     frames.trained.__wrapped__(None, "x")
-    assert len(seen[0]) == 6  # no imputation settings besides the default ones
-    learner = seen[0][5]
-    assert learner.getOrDefault(learner.numTrees) == 100 and learner.getOrDefault(learner.maxDepth) == 30
+    settings = seen[0][6]
+    assert settings == TrainingSettings(imputation=frames.IMPUTATION)
+    assert frames.IMPUTATION == ImputationSettings(rounds=3, num_trees=10)
+
+
+def test_a_run_is_fitted_once(spark, tmp_path):
+    """The same rows, settings and learner load the published run; other settings or another learner make another one."""
+    learner = LinearRegression(labelCol=config.LABEL, regParam=1.0)
+    factors, listing = inflation_factors(spark), tables(spark, SF_DIR)
+    first = run_training(listing, factors, AS_OF, str(tmp_path), None, learner, SMALL_IMPUTATION)
+    again = run_training(listing, factors, AS_OF, str(tmp_path), None, learner, SMALL_IMPUTATION)
+    assert first.fitted and not again.fitted and again.version == first.version and again.settings == SMALL_IMPUTATION
+    assert again.train_error == pytest.approx(first.train_error)
+    test = artefacts.read_snapshot(spark, again.snapshot, "test")
+    values = lambda run: sorted(round(r["prediction"], 6) for r in run.model.transform(test).collect())
+    assert values(first) == values(again)
+    data = artefacts.read_snapshot(spark, f"{tmp_path}/prepared/{first.version}")
+    digests = {
+        run_digest(data, learner, AS_OF, SMALL_IMPUTATION),
+        run_digest(data.repartition(3), learner, AS_OF, SMALL_IMPUTATION),
+        run_digest(data, learner.copy({learner.regParam: 2.0}), AS_OF, SMALL_IMPUTATION),
+        run_digest(data, learner, AS_OF, TrainingSettings()),
+        run_digest(data.limit(50), learner, AS_OF, SMALL_IMPUTATION),
+    }
+    assert len(digests) == 4
+
+
+def test_the_first_claim_counts(spark, tmp_path):
+    with ThreadPool(4) as pool:
+        got = set(pool.map(lambda name: artefacts.claim_run(spark, str(tmp_path), "d", name), "abcd"))
+    assert len(got) == 1 and artefacts.published_run(spark, str(tmp_path), "d") == got.pop()
+    assert artefacts.published_run(spark, str(tmp_path), "other") is None
+    (tmp_path / "runs" / "half").write_text("")  # its writer has not finished
+    assert artefacts.published_run(spark, str(tmp_path), "half") is None
+
+
+def test_settings_survive_the_manifest():
+    settings = TrainingSettings(numerical=("msrp", "bike_age"), zero_is_missing=False, bounds=config.PriceBounds(msrp_max=9000.0), recent_copies=1)
+    assert TrainingSettings.from_json(settings.as_json()) == settings
+
+
+def test_settings_reach_training_and_scoring(spark, tmp_path):
+    """A run that keeps zeros, with fewer columns and other bounds: its scoring keeps zeros too and routes by its bounds."""
+    settings = TrainingSettings(
+        categorical=("brake_type_code", "motor"), numerical=("msrp", "is_mobile", "bike_age"), zero_is_missing=False, test_share=0.3,
+        recent_copies=0, bounds=config.PriceBounds(msrp_max=4000.0), imputation=SMALL_IMPUTATION.imputation,
+    )
+    learner = LinearRegression(labelCol=config.LABEL, regParam=1.0)
+    run_training(tables(spark, SF_DIR), inflation_factors(spark), AS_OF, str(tmp_path), "kept", learner, settings)
+    run = load_run(spark, str(tmp_path), "kept")
+    rows = artefacts.read_snapshot(spark, run.snapshot)
+    prepared = artefacts.read_snapshot(spark, f"{tmp_path}/prepared/kept")
+    assert run.settings == settings and rows.where("copy_no > 0").count() == 0
+    assert prepared.where("is_mobile = 0 OR motor = 0").count() > 0 and "color" not in prepared.columns
+    scored = score_requests(accepted(parse_requests(payloads(spark, SEVEN))), run.transforms, run.model, inflation_factors(spark), AS_OF, settings=run.settings)
+    assert {r["bike_id"]: r["route"] for r in scored.collect() if r["bike_id"] != 2} == {1: "model", 3: "rule", 4: "model"}
+    # A request with is_mobile 0 is scored like a training row with 0, not like one with a gap.
+    price = lambda text: score_requests(
+        accepted(parse_requests(payloads(spark, text))), run.transforms, run.model, inflation_factors(spark), AS_OF, settings=run.settings
+    ).first()["price"]
+    shared = '"msrp":1500,"bike_year":2021,"bike_created_at_year":2024,"brake_type_code":"disc","motor":0'
+    assert price("{%s,\"is_mobile\":0}" % shared) is not None
+
+
+def test_chain_state_keeps_the_newest_guess(spark):
+    columns = [f"c{i}" for i in range(70)]  # more than a word of gaps
+    rows = [[None if (i + j) % 7 == 0 else float(i * j) for j in range(70)] for i in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3)
+    state = ChainState(df, columns, {c: -1.0 for c in columns})
+    gaps = state.rows.select(state.gap("c0").alias("a"), state.gap("c69").alias("b"), F.get("values", F.lit(69)).alias("v")).collect()
+    assert all(r["b"] == (r["v"] == -1.0) for r in gaps) and any(r["a"] for r in gaps)
+    for guess in (5.0, 6.0):
+        state.guesses["c69"] = state.rows.where(state.gap("c69")).select("_row", F.lit(guess).alias("value"))
+    state.guesses["c0"] = state.rows.where(state.gap("c0")).select("_row", F.lit(4.0).alias("value"))
+    values = state.present().select(state.gap("c0").alias("a"), state.gap("c69").alias("b"), "values").collect()
+    assert len(values) == 20
+    for row in values:
+        assert (row["values"][69] == 6.0) == row["b"] and (row["values"][0] == 4.0) >= row["a"]
+
+
+def test_columns_rest_once_nothing_moves(spark, monkeypatch):
+    """The second column is a function of the first and has the only gaps: one fit, no second round."""
+    rows = [(float(i % 10), None if i % 4 == 0 else float(i % 10) * 2, float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    fits = []
+    plain = ChainedForestImputer._refit
+    monkeypatch.setattr(ChainedForestImputer, "_refit", lambda self, state, target, classes: fits.append(target) or plain(self, state, target, classes))
+    ChainedForestImputer(numericalCols=["a", "b", "c"], categoricalCols=[], rounds=10, numTrees=3, maxDepth=4).fit(df)
+    assert fits == ["b"]
+
+
+def test_many_categories_go_digit_by_digit(spark):
+    """3,000 categories are two digits; the imputed ones are known categories and often right."""
+    rows = [(f"k{i:04d}", f"g{i // 30:03d}" if (i + r) % 9 else None, float(i)) for r in range(3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, g string, n double")
+    model = ChainedForestImputer(numericalCols=["n"], categoricalCols=["k", "g"], rounds=1, numTrees=3, maxDepth=5).fit(df)
+    assert [len(forests) for _, forests in sorted(model.chains[1])] == [1, 2]
+    holes = df.limit(200).withColumn("k", F.lit(None).cast("string"))
+    filled = [r["k"] for r in model.transform(holes).collect()]
+    assert len(filled) == 200 and all(k in {row[0] for row in rows} for k in filled)
+
+
+def test_replayed_batch_keeps_its_model(spark, tmp_path):
+    """A batch that is scored again after a newer model is out gives the same rows and ids, however its file is split."""
+    run = trained(spark, SF_DIR)[1]
+    root, source, output = (str(tmp_path / name) for name in ("models", "in", "out"))
+    lines = [json.dumps({"bike_id": i, "msrp": 300 if i % 2 else 100}) for i in range(200)] + ["nope"] * 3
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines))
+    artefacts.publish_artefacts(root, "old", run.transforms, run.model, spark)
+    results = []
+    for turn, size in enumerate(("128m", "1k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        stream = scoring_stream.request_stream(spark, source)
+        # A checkpoint of its own: the batch runs again from its start, as after a crash before its commit.
+        cache = scoring_stream.ArtefactCache(spark, root)
+        scoring_stream.start_scoring(stream, cache, output, f"{tmp_path}/check{turn}", inflation_factors(spark), lambda: AS_OF).awaitTermination()
+        rows = spark.read.parquet(f"{output}/scored").orderBy("payload_id").collect()
+        refused = spark.read.parquet(f"{output}/rejected").orderBy("payload_id").collect()
+        results.append((rows, refused))
+        artefacts.publish_artefacts(root, "new", run.transforms, run.model, spark)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert results[0] == results[1] and {r["model_version"] for r in results[1][0]} == {"old"}
+    numbers = {int(r["payload_id"].rsplit("#", 1)[1]): r["bike_id"] for r in results[0][0]}
+    assert numbers == {i: i for i in range(200)} and [r["payload_id"].rsplit("#", 1)[1] for r in results[0][1]] == ["200", "201", "202"]

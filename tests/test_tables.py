@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from resaleworth import config
 from resaleworth.operators import clean, encode as enc, evaluate as ev, fill, sampling
 from resaleworth.operators.features import sentinels_to_null
-from resaleworth.operators.ranking import exact_percentiles, with_row_number
+from resaleworth.operators.ranking import double_of, exact_percentiles, ordered_bits, with_row_number
 from resaleworth.operators.scale import ColumnScaler
 from resaleworth.plans.extract import paid_bookings, sold_bikes
+from resaleworth.session import materialise
 from resaleworth.sources.inflation import inflation_factors
 from resaleworth.sources.tables import SCHEMAS, ListingTables, read_tables
 
@@ -139,30 +140,56 @@ def test_percentiles_of_large_columns(spark, kind):
         values = [float(rng.random() < 0.3) for _ in range(20000)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
     shares = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
-    # A tiny threshold forces the bracketing passes.
-    got = exact_percentiles(df, "v", shares, small=50, accuracy=1000)
-    assert got == pytest.approx(list(np.quantile(values, shares)), abs=1e-9)
-    assert exact_percentiles(df, "v", shares) == pytest.approx(got, abs=1e-9)
+    df = df.withColumn("w", F.when(F.col("v") > 0, -F.col("v"))).withColumn("none", F.lit(None).cast("double"))
+    got = exact_percentiles(df, ["v", "w", "none"], shares)
+    assert got["v"] == pytest.approx(list(np.quantile(values, shares)), abs=1e-9)
+    assert got["w"] == pytest.approx(list(np.quantile([-v for v in values if v > 0], shares)), abs=1e-9)
+    assert got["none"] == [None] * len(shares)
+
+
+def test_percentiles_of_extreme_values(spark):
+    values = [-1e308, -5e-324, -0.0, 0.0, 5e-324, 1e308, float("inf"), float("-inf"), -1.0, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranks = [i / 9 for i in range(10)]
+    got = exact_percentiles(df, ["v"], [0, 1 / 9, 2 / 9, 4 / 9, 6 / 9, 8 / 9, 1])["v"]
+    assert got == [sorted(values)[i] for i in (0, 1, 2, 4, 6, 8, 9)] and len(ranks) == 10
+    bits = spark.createDataFrame([(v,) for v in sorted(values)], "v double").select(ordered_bits(F.col("v")).alias("b")).collect()
+    assert [double_of(r["b"]) for r in bits] == sorted(values)
 
 
 def test_percentiles_of_nothing(spark):
-    assert exact_percentiles(spark.createDataFrame([(None,)], "v double"), "v", (0.5,)) == [None]
+    assert exact_percentiles(spark.createDataFrame([(None,)], "v double"), ["v"], (0.5,)) == {"v": [None]}
+
+
+def test_percentile_passes_only_count(spark):
+    """A pass over the values holds an aggregate with map-side merging and broadcasts; nothing sorts the values."""
+    df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("v"))
+    assert exact_percentiles(df, ["v"], (0.5,))["v"] == [3.0]
 
 
 def test_codes_round_trip(spark):
     df = spark.createDataFrame([("b", 10), ("a", 9), (None, None), ("b", 2)], "t string, n bigint")
-    labels = enc.category_dictionaries(df, ["t", "n"])
-    assert labels == {"t": ["a", "b"], "n": [2, 9, 10]}
-    more = df.union(spark.createDataFrame([("new", 77)], "t string, n bigint"))
-    coded = enc.encode_labels(more, labels)
-    assert [r["t_code"] for r in coded.collect()] == [1, 0, None, 1, None]
-    decoded = coded.select(enc.decode_label(F.col("n_code"), labels["n"]).alias("n")).collect()
-    assert [r["n"] for r in decoded] == [10, 9, None, 2, None]
-
-
-def test_too_many_categories_is_an_error(spark):
-    with pytest.raises(ValueError, match="treat as numerical"):
-        enc.category_dictionaries(spark.range(1000).withColumnRenamed("id", "c"), ["c"], limit=100)
+    dictionary = enc.dictionary_table(df, ["t", "n"])
+    assert sorted(map(tuple, dictionary.collect())) == [("n", "10", 2), ("n", "2", 0), ("n", "9", 1), ("t", "a", 0), ("t", "b", 1)]
+    assert enc.category_labels(dictionary, "n", "bigint") == [2, 9, 10]
+    more = df.union(spark.createDataFrame([("new", 77)], "t string, n bigint")).withColumn("_value", F.lit(1))
+    coded = enc.encode_labels(more.drop("_value"), dictionary, ["t", "n"])
+    assert sorted(((r["t"] or "", r["t_code"], r["n_code"]) for r in coded.collect()), key=repr) == sorted(
+        [("b", 1, 2), ("a", 0, 1), ("", None, None), ("b", 1, 0), ("new", None, None)], key=repr
+    )
+    decoded = enc.decode_labels(coded, dictionary, ["n"])
+    assert sorted([r["n"] for r in decoded.collect()], key=repr) == sorted([10, 9, None, 2, None], key=repr)
+    assert decoded.schema["n"].dataType == df.schema["n"].dataType
+
+
+def test_dictionary_of_any_size(spark):
+    """200,000 categories are coded and decoded; no list of them is built anywhere."""
+    df = spark.range(200_000).select(F.col("id"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("c"))
+    dictionary = materialise(enc.dictionary_table(df, ["c"]), "dictionary")
+    coded = enc.encode_labels(df, dictionary, ["c"])
+    back = enc.decode_labels(coded.withColumn("was", F.col("c")).withColumn("c", F.lit(None).cast("string")), dictionary, ["c"])
+    wrong = (F.col("c_code") != F.col("id")) | (F.col("c") != F.col("was"))
+    assert back.agg(F.count("*"), F.count_if(F.coalesce(wrong, F.lit(True)))).first() == (200_000, 0)
 
 
 def test_indicators(spark):
