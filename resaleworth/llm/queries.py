@@ -85,7 +85,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.split_documents(table(spark, sf_dir, "documents"), TOKENIZER)
-    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "part", "nth")
     return packing.number_sequences(digests)
 
 

@@ -35,11 +35,15 @@ def text_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; it returns the columns of ``schema`` by name, as values or Arrow arrays."""
+def arrow_schema(df: DataFrame, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch; it returns the columns of ``schema`` by name, as values or Arrow arrays."""
+    arrow = arrow_schema(df, schema)
 
     def column(values: Any, kind: pa.DataType) -> pa.Array:
         return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
