@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -63,13 +65,14 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
-# Personal data, keys and runs of one sign, and what takes their place.
+# Personal data, keys and runs of one sign; what takes their place; what every match holds.
+DIGIT = re.compile(r"\d")
 REDACTIONS = (
-    (r"[\w.+-]+@[\w-]+\.[\w.-]*\w", "[email]"),
-    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "[address]"),
-    (r"\+?\d[\d .()-]{6,}\d", "[number]"),
-    (r"\b[0-9a-f]{32,}\b", "[key]"),
-    (r"\${3,}|%{3,}|&{3,}|#{3,}|\*{3,}|!{3,}", ""),
+    (r"[\w.+-]+@[\w-]+\.[\w.-]*\w", "[email]", ("@",)),
+    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "[address]", DIGIT),
+    (r"\+?\d[\d .()-]{6,}\d", "[number]", DIGIT),
+    (r"\b[0-9a-f]{32,}\b", "[key]", re.compile(r"[0-9a-f]{32}")),
+    (r"\${3,}|%{3,}|&{3,}|#{3,}|\*{3,}|!{3,}", "", ("$$$", "%%%", "&&&", "###", "***", "!!!")),
 )
 
 

@@ -109,16 +109,33 @@ def apart(left: str, right: str) -> bool:
     return bool(left) and len(right) > 1 and right[0] == " " and not right[1].isspace() and not left[-1].isspace()
 
 
-def replacements(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """The edits that put a fixed text for each match of the first pattern that matches there, last match first."""
-    found = re.compile("|".join(f"({pattern})" for pattern, _ in patterns))
-    news = [new for _, new in patterns]
+def replacements(text: Column, patterns: Sequence[tuple[str, str, tuple[str, ...] | re.Pattern]]) -> Column:
+    """The edits that put a fixed text for each match of the first pattern that matches there, last match first.
+
+    A pattern is (expression, new text, needs): every match holds one of the texts ``needs``, or something that the
+    expression ``needs`` finds. Only patterns whose needs a text holds are searched for in it, together.
+    """
+
+    def together(chosen: tuple[int, ...]) -> tuple[re.Pattern, list[str]]:
+        if chosen not in known:
+            known[chosen] = re.compile("|".join(f"({patterns[i][0]})" for i in chosen)), [patterns[i][1] for i in chosen]
+        return known[chosen]
+
+    def needed(needs: tuple[str, ...] | re.Pattern, value: str) -> bool:
+        return any(part in value for part in needs) if isinstance(needs, tuple) else needs.search(value) is not None
+
+    known: dict[tuple[int, ...], tuple[re.Pattern, list[str]]] = {}
 
     @F.pandas_udf(EDITS)
     def edits(texts: pd.Series) -> pd.Series:
         out = []
         for value in texts:
-            matches = [(m.start(), m.end(), news[m.lastindex - 1]) for m in found.finditer(value or "")]
+            chosen = tuple(i for i, (_, _, needs) in enumerate(patterns) if needed(needs, value or ""))
+            if not chosen:
+                out.append([])
+                continue
+            found, news = together(chosen)
+            matches = [(m.start(), m.end(), news[m.lastindex - 1]) for m in found.finditer(value)]
             out.append([{"start": a, "end": b, "new": new} for a, b, new in reversed(matches)])
         return pd.Series(out)
 

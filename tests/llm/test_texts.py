@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -293,7 +294,11 @@ def test_small_edits_encode_little(tokenizer):
 def test_counts_with_edits(spark, tokenizer):
     rows = [(1, "call +1 555 777 8888 now $$$ or mail a.b@c.org", "x", "s", 0), (2, None, None, None, None), (3, "", None, None, 0)]
     rows += [(4, "w " * 5000 + "!!!!", None, None, 0), (5, "é" * 700 + "###", None, None, 0), rows[0]]
-    patterns = ((r"[\w.]+@[\w.]+", "[mail]"), (r"\+\d[\d ]{6,}\d", "[number]"), (r"\${3,}|#{3,}|!{3,}", ""))
+    patterns = (
+        (r"[\w.]+@[\w.]+", "[mail]", ("@",)),
+        (r"\+\d[\d ]{6,}\d", "[number]", re.compile(r"\d")),
+        (r"\${3,}|#{3,}|!{3,}", "", ("$$$", "###", "!!!")),
+    )
     docs = frame(spark, rows).withColumn("n_edits", F.lit("x"))
     found = token_edits.count_with_edits(docs, token_edits.replacements(F.col("text"), patterns), tokenizer).collect()
     assert len(found) == len(rows)
