@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 from resaleworth.llm.text import encoded, fresh, map_batches, mixed, tagged, with_columns, word_endings, word_hashes
 from resaleworth.session import materialise
 
-# Words of the head at most, those with a class of their own, classes in all, and rows of weights.
-HEAD, ALONE, CLASSES, ROWS = 1 << 18, 24, 64, 1 << 14
-# Tokens of one gradient update, and weight rows sent together.
-STEP, CHUNK = 4096, 1024
+# Words of the head at most, those with a class of their own, and classes in all.
+HEAD, ALONE, CLASSES = 1 << 18, 24, 64
+# Rows of weights: one for about so many different words, within these bounds (64 rows are 16 KB).
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 14, 1 << 18
+# Tokens of one gradient update, of one walk, and weight rows sent together.
+STEP, WALK, CHUNK = 4096, 1 << 22, 1024
 # Characters of texts that a task turns into arrays at once; a longer text is taken alone.
 GROUP = 1 << 22
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
@@ -134,7 +136,12 @@ def _classes(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, n, group
 
 
-def features(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def weight_rows(words: int) -> int:
+    """Rows of weights for a corpus of so many different words: a power of two that grows with them, up to what tasks can hold."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (words // WORDS_A_ROW).bit_length()))
+
+
+def features(tokens: np.ndarray, sizes: np.ndarray, n_rows: int) -> np.ndarray:
     """(tokens, 3) rows of weights: the word before, the skip, both. No history reaches over a text's start."""
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     back1, back2 = np.empty_like(tokens), np.empty_like(tokens)
@@ -146,7 +153,7 @@ def features(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         one, skip = mixed(back1 * KINDS[0]), mixed(back2 * KINDS[1])
         both = mixed(one ^ (skip * KINDS[2]))
-    return np.stack([(h % np.uint64(ROWS)).astype(np.int32) for h in (one, skip, both)], axis=1)
+    return np.stack([(h & np.uint64(n_rows - 1)).astype(np.int32) for h in (one, skip, both)], axis=1)
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -166,28 +173,42 @@ def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, t
     return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
+def _sums(values: np.ndarray, source: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each segment of ``source`` the sum of the rows of ``values`` that it names; most segments are short."""
+    total, taken = values[source[first]], 1
+    left = np.flatnonzero(sizes > taken)
+    while len(left) and taken < 16:
+        total[left] += values[source[first[left] + taken]]
+        taken += 1
+        left = left[sizes[left] > taken]
+    for i in left:
+        total[i] += values[source[first[i] + taken : first[i] + sizes[i]]].sum(axis=0)
+    return total
+
+
 class Trainer:
     """Gradient updates with steps that shrink by what a row has seen."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, rate: float) -> None:
         self.weights, self.bias, self.rate = weights.copy(), bias, rate
-        self.squares, self.met = np.full(ROWS, 1.0, dtype=np.float32), np.zeros(ROWS, dtype=np.int64)
+        self.squares, self.met = np.full(len(weights), 1.0, dtype=np.float32), np.zeros(len(weights), dtype=np.int64)
 
     def update(self, rows: np.ndarray, target: np.ndarray) -> None:
         gradient = _logits(self.weights, self.bias, rows)
         np.exp(gradient, out=gradient)
         gradient *= -1 / gradient.sum(axis=1, keepdims=True)
         gradient[np.arange(len(target)), target] += 1
-        for kind in range(rows.shape[1]):
-            order = np.argsort(rows[:, kind], kind="stable")
-            sorted_rows = rows[order, kind]
-            first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-            used, n = sorted_rows[first], np.diff(first, append=len(order))
-            total = np.add.reduceat(gradient[order], first, axis=0)
-            self.squares[used] += np.einsum("rc,rc->r", total, total)
-            total *= (self.rate / np.sqrt(self.squares[used]))[:, None]
-            self.weights[used] += total
-            self.met[used] += n
+        # All three kinds in one sort by row; 16-bit rows sort by radix.
+        flat = rows.T.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(self.weights) <= 1 << 16 else flat, kind="stable")
+        sorted_rows = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
+        used, n = sorted_rows[first], np.diff(first, append=len(order))
+        total = _sums(gradient, order % len(target), first, n)
+        self.squares[used] += np.einsum("rc,rc->r", total, total)
+        total *= (self.rate / np.sqrt(self.squares[used]))[:, None]
+        self.weights[used] += total
+        self.met[used] += n
 
 
 def classes_of(tokens: np.ndarray, head: np.ndarray, head_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +220,12 @@ def classes_of(tokens: np.ndarray, head: np.ndarray, head_class: np.ndarray) ->
     return np.where(known, at, -1), np.where(known, head_class[at], 0)
 
 
-def train_weights(texts: DataFrame, head: np.ndarray, head_class: np.ndarray, class_log: np.ndarray, rounds: int, rate: float) -> np.ndarray:
-    """Weights after ``rounds`` walks over all texts; as many walkers as the cluster has cores, times three."""
+def train_weights(
+    texts: DataFrame, tokens: int, n_rows: int, head: np.ndarray, head_class: np.ndarray, class_log: np.ndarray, rounds: int, rate: float
+) -> np.ndarray:
+    """Weights after ``rounds`` rounds over all texts. A walk goes over about ``WALK`` of the ``tokens``, so it does not grow with the input."""
     context = texts.sparkSession.sparkContext
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
+    weights = np.zeros((n_rows, CLASSES), dtype=np.float32)
     schema = "chunk int, met binary, weights binary"
     for _ in range(rounds):
         state = context.broadcast((head, head_class, class_log.astype(np.float32), weights))
@@ -213,10 +236,10 @@ def train_weights(texts: DataFrame, head: np.ndarray, head_class: np.ndarray, cl
             for batch in batches:
                 for texts_ in groups(batch["text"].to_pylist()):
                     tokens, sizes = _token_arrays(texts_)
-                    rows, target = features(tokens, sizes), classes_of(tokens, words, classes)[1]
+                    rows, target = features(tokens, sizes, len(start)), classes_of(tokens, words, classes)[1]
                     for at in range(0, len(tokens), STEP):
                         trainer.update(rows[at : at + STEP], target[at : at + STEP])
-            for at in range(0, ROWS, CHUNK):
+            for at in range(0, len(start), CHUNK):
                 met = trainer.met[at : at + CHUNK]
                 if met.any():
                     own = trainer.weights[at : at + CHUNK] * met[:, None].astype(np.float32)
@@ -233,16 +256,19 @@ def train_weights(texts: DataFrame, head: np.ndarray, head_class: np.ndarray, cl
                 mean = (own.reshape(CHUNK, CLASSES) / np.maximum(met, 1)[:, None]).astype(np.float32)
                 yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([met.tobytes()]), pa.array([mean.tobytes()])], ["chunk", "met", "weights"])
 
-        walkers = texts.coalesce(3 * context.defaultParallelism).mapInArrow(walk, schema)
+        walkers = texts.coalesce(max(1, -(-tokens // WALK))).mapInArrow(walk, schema)
         weights = weights.copy()
-        for chunk, _, mean in walkers.repartition("chunk").mapInArrow(added, schema).collect():  # ROWS / CHUNK rows at most
+        for chunk, _, mean in walkers.repartition("chunk").mapInArrow(added, schema).collect():  # n_rows / CHUNK rows
             weights[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(mean, dtype=np.float32).reshape(CHUNK, CLASSES)
         state.destroy()
     return weights
 
 
-def fit_model(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 1.0) -> Model:
-    """Counts and weights from all rows of ``docs``. Null texts are empty: an end alone. No rows: all is unseen."""
+def fit_model(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 1.0, n_rows: int | None = None) -> Model:
+    """Counts and weights from all rows of ``docs``. Null texts are empty: an end alone. No rows: all is unseen.
+
+    ``n_rows``, a power of two of at least ``CHUNK``, is the number of weight rows; without it the counted words decide.
+    """
     texts = tagged(docs, {"text": text_col})
     counts = materialise(count_words(texts), "words")
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -252,7 +278,7 @@ def fit_model(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: fl
     smooth = (mass + 0.5) / (mass + 0.5).sum()
     word_log = np.log(n / np.maximum(mass[group], 1)) if len(n) else np.zeros(0)
     single = counts.where("n = 1").count() - int((n == 1).sum())
-    weights = train_weights(texts, head, group, np.log(smooth), rounds, rate)
+    weights = train_weights(texts, tokens, n_rows or weight_rows(words), head, group, np.log(smooth), rounds, rate)
     return Model(counts, tokens, words, head, n, group, word_log, np.log(smooth), int(mass[0]), words - len(n), single, weights)
 
 
@@ -278,7 +304,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def score_group(texts: list[str | None]) -> pd.DataFrame:
         head, counts, group, word_log, bias, weights = sent.value
         tokens, sizes = _token_arrays(texts)
-        rows = features(tokens, sizes)
+        rows = features(tokens, sizes, len(weights))
         at, target = classes_of(tokens, head, group)
         logs = np.empty(len(tokens))
         for i in range(0, len(tokens), STEP):
