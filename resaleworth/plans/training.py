@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth import config
 from resaleworth.operators import clean, features as feat, sampling
+from resaleworth.operators.calibrate import widening, with_calibration
 from resaleworth.operators.encode import indicator_stages
 from resaleworth.operators.evaluate import MapeEvaluator
 from resaleworth.operators.impute import ChainedForestImputer
+from resaleworth.operators.pricing import price_by_model
 from resaleworth.operators.scale import ColumnScaler
 from resaleworth.plans.extract import SALE_ORDER, sales_extract
 from resaleworth.session import materialise
@@ -49,6 +51,9 @@ class TrainingSettings:
     recent_days: int = config.RECENT_DAYS
     recent_copies: int = config.RECENT_COPIES
     imputation: ImputationSettings = ImputationSettings()
+    # Share of the train rows that a quantile model does not see and that widen its interval to ``coverage``; 0: none do.
+    calibration_share: float = 0.0
+    coverage: float = 0.7
 
     def as_json(self) -> str:
         return json.dumps(dataclasses.asdict(self), sort_keys=True)
@@ -129,6 +134,17 @@ def train_model(transformed: DataFrame, learner: Estimator, label: str = config.
     return model, MapeEvaluator(labelCol=label).evaluate(model.transform(transformed))
 
 
+def train_calibrated(train: DataFrame, learner: Estimator, settings: "TrainingSettings") -> tuple[Any, float, float | None]:
+    """The model, its error, and the widening of its interval if ``settings`` hold rows back for that."""
+    if not settings.calibration_share:
+        return *train_model(train, learner, settings.label), None
+    marked = with_calibration(train, settings.calibration_share)
+    model, error = train_model(marked.where("not held").drop("held"), learner, settings.label)
+    # Copies of a recent row are the same row: it counts once.
+    held = price_by_model(marked.where("held AND copy_no = 0").select(*ROW_KEYS, settings.label, "features"), model)
+    return model, error, widening(held, settings.coverage, settings.label)
+
+
 @dataclass(frozen=True)
 class TrainingRun:
     version: str
@@ -138,6 +154,7 @@ class TrainingRun:
     train_error: float | None
     settings: TrainingSettings = TrainingSettings()
     fitted: bool = True
+    widening: float | None = None
 
 
 def run_digest(data: DataFrame, learner: Estimator, as_of: dt.date, settings: TrainingSettings) -> str:
@@ -175,10 +192,11 @@ def run_training(
     artefacts.write_snapshot(data, f"{root}/prepared/{version}")
     transforms, transformed = fit_transforms(artefacts.read_snapshot(spark, f"{root}/prepared/{version}"), transform_pipeline(settings))
     artefacts.write_snapshot(transformed.select(*ROW_KEYS, settings.label, "features", "split"), snapshot)
-    model, error = train_model(artefacts.read_snapshot(spark, snapshot, "train"), learner, settings.label)
-    manifest = {"settings": settings.as_json(), "digest": digest, "as_of": as_of.isoformat(), "train_error": error}
+    train = artefacts.read_snapshot(spark, snapshot, "train")
+    model, error, wider = train_calibrated(train, learner, settings)
+    manifest = {"settings": settings.as_json(), "digest": digest, "as_of": as_of.isoformat(), "train_error": error, "widening": wider}
     artefacts.publish_artefacts(root, version, transforms, model, spark, manifest)
-    run = TrainingRun(version, transforms, model, snapshot, error, settings)
+    run = TrainingRun(version, transforms, model, snapshot, error, settings, widening=wider)
     first = artefacts.claim_run(spark, root, digest, version)
     return run if first == version else load_run(spark, root, first)
 
@@ -188,4 +206,4 @@ def load_run(spark: SparkSession, root: str, version: str) -> TrainingRun:
     transforms, model = artefacts.load_artefacts(spark, root, version)
     manifest = artefacts.read_manifest(spark, root, version)
     settings = TrainingSettings.from_json(manifest["settings"]) if "settings" in manifest else TrainingSettings()
-    return TrainingRun(version, transforms, model, f"{root}/snapshots/{version}", manifest.get("train_error"), settings, fitted=False)
+    return TrainingRun(version, transforms, model, f"{root}/snapshots/{version}", manifest.get("train_error"), settings, False, manifest.get("widening"))

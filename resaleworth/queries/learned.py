@@ -17,9 +17,9 @@ from resaleworth import config
 from resaleworth.operators import pricing as pr
 from resaleworth.operators.forest import QuantileForest
 from resaleworth.operators.impute import ChainedForestImputer
-from resaleworth.operators.selection import LEADERBOARD, Candidate, finetune, shortlist
+from resaleworth.operators.selection import LEADERBOARD, Candidate, default_candidates, finetune, finished_cells, setting_names, shortlist
 from resaleworth.plans import evaluation, model_choice, scoring
-from resaleworth.plans.training import ROW_KEYS, load_run
+from resaleworth.plans.training import ROW_KEYS, TrainingSettings, load_run, train_calibrated
 from resaleworth.queries import frames, oracle_base as sql
 from resaleworth.queries.frames import trained
 from resaleworth.queries.registry import Registry
@@ -239,6 +239,20 @@ def evaluation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("rows", plausible.alias("plausible"))
 
 
+@query(f"WITH {sql.FEATURES} SELECT count(*) AS rows, true AS covered, true AS wider FROM split_rows WHERE split = 'test'")
+def calibrated_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantiles 0.2 and 0.8, widened so that they should hold three quarters of the prices: on the test rows at least 0.70 are inside."""
+    settings = TrainingSettings(calibration_share=0.2, coverage=0.75)
+    learner = QuantileForest(keyCols=list(ROW_KEYS), numTrees=20, maxDepth=10)
+    model, _, by = train_calibrated(_snapshot(spark, sf_dir, "train"), learner, settings)
+    test, path = _snapshot(spark, sf_dir, "test"), scratch_path(spark, "calibrated")
+    report = evaluation.run_evaluation(test, model, path, quantiles=config.SCORING_QUANTILES, wider=by)
+    raw = evaluation.run_evaluation(test, model, f"{path}-raw", quantiles=config.SCORING_QUANTILES).select(F.col("quantile_coverage_pct").alias("raw_pct"))
+    covered = (F.col("quantile_coverage_pct") >= 70).alias("covered")
+    wider = ((F.col("quantile_coverage_pct") >= F.col("raw_pct")) == F.lit(by >= 0)).alias("wider")
+    return report.join(F.broadcast(raw)).select("rows", covered, wider)
+
+
 def _one_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales with the list price as their only feature, so that linear fits have a closed form in SQL."""
     rows = frames.split_rows(spark, sf_dir).where("msrp IS NOT NULL").select("id", "split", "sales_price", "msrp")
@@ -316,7 +330,7 @@ def tuned_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-fold grid search of one candidate, with the error of its best setting on the test rows."""
     rows = _one_number(spark, sf_dir)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    _, _, _, tried = finetune("line", _linear_candidates()["line"], train, test)
+    _, tried = finetune({"line": _linear_candidates()["line"]}, train, test)
     board = spark.createDataFrame(tried, LEADERBOARD)
     return board.select("model", "params", F.round("score", 6).alias("score"), F.round("test_score", 6).alias("test_score"))
 
@@ -340,6 +354,60 @@ def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.select("stage", "model", "params", F.round("score", 6).alias("score"), (F.col("model") == winner).alias("winner"))
 
 
+# Grids that end within a query; the full ones are in ``GRIDS``. The first value of each list is the shortlist's.
+SEARCH_GRIDS = {
+    "quantile_forest": {"numTrees": [10, 20], "maxDepth": [8]},
+    "mean_forest": {"numTrees": [10, 20], "maxDepth": [8]},
+    "boosted_trees": {"maxIter": [5], "stepSize": [0.1, 0.5]},
+    "linear": {"regParam": [1.0, 10.0]},
+}
+_MODELS = ", ".join(f"('{name}', 'default')" for name in SEARCH_GRIDS)
+
+
+@lru_cache(maxsize=4)
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The winner of a search over all kinds of learner on the vectors of the snapshot, and the leaderboard's folder."""
+    root, run = trained(spark, sf_dir)
+    path = f"{root}/search/{run.version}"
+    candidates = default_candidates(keys=ROW_KEYS, grids=SEARCH_GRIDS)
+    winner, _, _ = model_choice.choose_model(candidates, _snapshot(spark, sf_dir), path)
+    return winner, path
+
+
+@query(f"SELECT model, params, 3 AS folds, true AS positive FROM (VALUES {_MODELS}) AS t(model, params)")
+def searched_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of learner on all features of the snapshot, three folds each, from the table of finished fits."""
+    _, path = _searched(spark, sf_dir)
+    cells = finished_cells(spark, f"{path}-cells").where("stage = 'shortlist'")
+    return cells.groupBy("model", "params").agg(F.count("*").cast("int").alias("folds"), F.bool_and(F.col("error") > 0).alias("positive"))
+
+
+@query("SELECT 4::BIGINT AS settings, 2 AS models, 2 AS folds, 0 AS unknown")
+def searched_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best learners with two settings each, two folds; all settings come from the grids."""
+    _, path = _searched(spark, sf_dir)
+    known = spark.createDataFrame([(f"{name}|{params}",) for name, c in default_candidates(grids=SEARCH_GRIDS).items() for params in setting_names(c)], "known string")
+    cells = finished_cells(spark, f"{path}-cells").where("stage = 'grid'").withColumn("known", F.concat_ws("|", "model", "params"))
+    folds = cells.groupBy("model", "params", "known").agg(F.count("*").alias("folds")).join(known.withColumn("is_known", F.lit(1)), "known", "left")
+    return folds.agg(
+        F.count("*").alias("settings"),
+        F.count_distinct("model").cast("int").alias("models"),
+        F.max("folds").cast("int").alias("folds"),
+        F.count_if(F.col("is_known").isNull()).cast("int").alias("unknown"),
+    )
+
+
+@query("SELECT unnest(['shortlist', 'grid', 'test']) AS stage, unnest([4, 4, 2])::BIGINT AS rows, unnest([1, 1, 1])::BIGINT AS winners")
+def searched_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per stage, and how many models are the winner: one, which has the least error of its stage after tuning."""
+    winner, path = _searched(spark, sf_dir)
+    board = spark.read.parquet(path)
+    tested = board.where("test_score IS NOT NULL").withColumn("stage", F.lit("test"))
+    best = board.where("stage = 'grid'").agg(F.min_by("model", "score")).scalar()
+    right = (F.col("model") == winner) & (F.lit(winner) == best)
+    return board.unionByName(tested).groupBy("stage").agg(F.count("*").alias("rows"), F.count_distinct(F.when(right, F.col("model"))).alias("winners"))
+
+
 @lru_cache(maxsize=4)
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """Runs two rounds of new request files; a newer model is published between them."""

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 from multiprocessing.pool import ThreadPool
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from resaleworth import config
 from resaleworth.operators.forest import QuantileForest, QuantileForestModel
 from resaleworth.operators.impute import ChainedForestImputer, ChainedForestImputerModel, ChainState
-from resaleworth.operators.selection import Candidate
-from resaleworth.plans.model_choice import choose_and_train
+from resaleworth.operators import selection
+from resaleworth.operators.calibrate import widened, widening, with_calibration
+from resaleworth.operators.selection import Candidate, default_candidates
+from resaleworth.plans.model_choice import choose_and_train, choose_model
 from resaleworth.plans.scoring import in_request_order, score_requests
 from resaleworth.plans.training import ROW_KEYS, ImputationSettings, TrainingSettings, load_run, run_digest, run_training
 from resaleworth.queries.frames import SMALL_IMPUTATION, tables, trained
@@ -364,3 +367,55 @@ def test_replayed_batch_keeps_its_model(spark, tmp_path):
     assert results[0] == results[1] and {r["model_version"] for r in results[1][0]} == {"old"}
     numbers = {int(r["payload_id"].rsplit("#", 1)[1]): r["bike_id"] for r in results[0][0]}
     assert numbers == {i: i for i in range(200)} and [r["payload_id"].rsplit("#", 1)[1] for r in results[0][1]] == ["200", "201", "202"]
+
+
+def test_a_search_goes_on_where_it_stopped(spark, points, tmp_path, monkeypatch):
+    """The second run breaks off in the middle; the third fits only what is missing, other rows start anew."""
+    rows = points.withColumn("copy_no", F.lit(0)).withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    candidates = default_candidates(grids={"linear": {"regParam": [0.1, 1.0]}, "mean_forest": {"numTrees": [2], "maxDepth": [2, 3]}})
+    fits, plain = [], selection.fold_error
+
+    def counted(learner, folded, fold, label):
+        if len(fits) == stop:
+            raise RuntimeError("lost")
+        fits.append(fold)
+        return plain(learner, folded, fold, label)
+
+    monkeypatch.setattr(selection, "fold_error", counted)
+    choose = lambda data, path: choose_model(candidates, data, path, shortlist_folds=2, parallelism=1)
+    stop, path = 7, f"{tmp_path}/board"
+    with pytest.raises(RuntimeError, match="lost"):
+        choose(rows, path)
+    assert selection.finished_cells(spark, f"{path}-cells").count() == 7
+    stop, fits[:] = None, []
+    winner, settings, board = choose(rows, path)
+    assert len(fits) == 2 * 2 + 2 * 2 * 2 + 2 - 7
+    fits[:] = []
+    assert choose(rows, path)[:2] == (winner, settings) and not fits
+    whole = choose(rows, None)
+    assert whole[:2] == (winner, settings) and sorted(whole[2].collect()) == sorted(board.collect())
+    fits[:] = []
+    choose(rows.where("id <> 1"), path)
+    assert len(fits) == 2 * 2 + 2 * 2 * 2 + 2
+
+
+def test_widening_is_the_order_statistic(spark):
+    rng = random.Random(4)
+    rows = [(i, 10.0, 20.0, rng.uniform(0, 40)) for i in range(199)]
+    df = spark.createDataFrame(rows, "id bigint, q_low double, q_high double, sales_price double")
+    lacks = sorted(max(10.0 - r[3], r[3] - 20.0) for r in rows)
+    for coverage in (0.1, 0.5, 0.7, 0.9):
+        by = widening(df, coverage)
+        assert by == lacks[math.ceil(200 * coverage) - 1]
+        inside = widened(df, by).where("sales_price between q_low and q_high").count()
+        assert inside >= coverage * 199 or by < -5
+    assert widening(df, 0.999) == math.inf and widening(df.limit(0), 0.5) == math.inf
+    narrow = widened(df, -100.0).first()
+    assert narrow["q_low"] == narrow["q_high"] == 15.0
+
+
+def test_copies_stay_on_their_side_of_the_calibration(spark):
+    rows = spark.range(500).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy_no"))
+    marked = with_calibration(rows, 0.2)
+    assert marked.groupBy("id").agg(F.count_distinct("held").alias("n")).where("n > 1").count() == 0
+    assert 50 < marked.where("held AND copy_no = 0").count() < 150
