@@ -164,18 +164,31 @@ def op7_max_entropy_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The best window of every template by brute force: all windows, all templates of the class."""
-    quoted = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in license_scan.NOTICES)
+    """The best window of every template by brute force: all windows, all templates of the class, all version phrases."""
+
+    def rows(pairs: list[tuple[str, str]]) -> str:
+        return ", ".join("(" + ", ".join("'" + value.replace("'", "''") + "'" for value in pair) + ")" for pair in pairs)
+
+    phrases = [(name, phrase) for name, own in license_scan.VERSIONS.items() for phrase in own]
     return f"""
-WITH notices(template, txt) AS (VALUES {quoted}),
+WITH notices(template, txt) AS (VALUES {rows(license_scan.TEMPLATES)}),
+phrases(template, txt) AS (VALUES {rows(phrases)}),
 tw AS (
   SELECT template, list_filter(regexp_split_to_array(lower(txt), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM notices
 ),
+pw AS (
+  SELECT template, list_filter(regexp_split_to_array(lower(txt), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM phrases
+),
+needed AS (
+  SELECT DISTINCT template, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT template, w, unnest(generate_series(1, len(w) - 2)) AS i FROM pw)
+),
 ts AS (
   SELECT DISTINCT template, array_to_string(w[i:i + 2], ' ') AS s, CAST(2 * pow(2, ceil(log2(len(w)))) AS BIGINT) AS width
   FROM (SELECT template, w, unnest(generate_series(1, len(w) - 2)) AS i FROM tw)
 ),
-tn AS (SELECT template, width, count(*) AS n FROM ts GROUP BY ALL),
+marked AS (SELECT ts.*, needed.s IS NOT NULL AS need FROM ts LEFT JOIN needed ON ts.template = needed.template AND ts.s = needed.s),
+tn AS (SELECT template, width, count(*) AS n, count(*) FILTER (need) AS needs FROM marked GROUP BY ALL),
 dw AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents
 ),
@@ -184,15 +197,15 @@ ds AS (
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM dw WHERE len(w) >= 3)
 ),
 hits AS (
-  SELECT doc_id, template, width, s, p, (p // (width // 2) - b) * (width // 2) AS start
-  FROM ds JOIN ts USING (s), (VALUES (0), (1)) AS back(b)
+  SELECT doc_id, template, width, s, need, p, (p // (width // 2) - b) * (width // 2) AS start
+  FROM ds JOIN marked USING (s), (VALUES (0), (1)) AS back(b)
 ),
 windows AS (
-  SELECT doc_id, template, start, count(DISTINCT s) AS c FROM hits
+  SELECT doc_id, template, start, count(DISTINCT s) AS c, count(DISTINCT s) FILTER (need) AS has FROM hits
   WHERE start >= 0 AND p + 3 <= start + width GROUP BY ALL
 ),
 good AS (
-  SELECT doc_id, template, start, c / n AS share FROM windows JOIN tn USING (template) WHERE c / n >= 0.8
+  SELECT doc_id, template, start, c / n AS share FROM windows JOIN tn USING (template) WHERE c / n >= 0.8 AND has = needs
 )
 SELECT doc_id, template, max(share) AS share, arg_min(start, struct_pack(a := -share, b := start))::INT AS window_start,
   count(*) AS n_windows
