@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a robust-pruned directed graph per shard.
 
-Largest inner product becomes smallest distance by one more coordinate that gives all indexed vectors the same
-length. Vectors are dealt into shards of a bounded number by a hash; a task builds a shard's graph: greedy searches
-from the shard's medoid propose neighbours, a neighbour that is much nearer to an accepted one than to the vector is
+Vectors are dealt into shards of a bounded number by a hash, and a shard into bands of like length. Largest inner product becomes
+smallest distance by one more coordinate that gives all vectors of a band the same length; as they differ little in length, that
+coordinate is small, and a query, brought to the same length, lies among them. A task builds the graphs of a shard's bands: greedy searches
+from the band's medoid propose neighbours, a neighbour that is much nearer to an accepted one than to the vector is
 pruned (relaxed by ``alpha``), so that edges point in diverse directions, and edges are made mutual. Queries search
-every shard with a beam, in groups that numpy handles together, and the best of all shards are ranked by exact inner
-products.
+the bands of every shard with a beam, longest vectors first, in groups that numpy handles together; a band whose longest vector can't reach
+a query's last place is left out. The best of all shards are ranked by exact inner products.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from resaleworth.session import materialise
 
 # Vectors or queries that walk the graph together.
 GROUP = 256
+# Rows of a band: so many at most; so many at least where lengths differ by more than the ratio.
+BAND, LEAST, RATIO = 768, 192, 1.1
 
 
 class PrunedGraph:
@@ -140,6 +143,57 @@ class PrunedGraph:
             self.edges[places[rows]] = packed[:, : self.degree]
 
 
+def bands(lengths: np.ndarray) -> np.ndarray:
+    """The first row of each band, of lengths in descending order."""
+    starts, top = [0], lengths[0] if len(lengths) else 0.0
+    for i in range(1, len(lengths)):
+        rows = i - starts[-1]
+        if rows == BAND or (rows >= LEAST and lengths[i] * RATIO < top):
+            starts.append(i)
+            top = lengths[i]
+    return np.array(starts)
+
+
+def _lifted(points: np.ndarray) -> np.ndarray:
+    """One more coordinate, so that all rows are as long as the longest."""
+    squares = np.einsum("ij,ij->i", points, points)
+    return np.column_stack([points, np.sqrt(squares.max() - squares)])
+
+
+def banded_edges(points: np.ndarray, degree: int, beam: int, alpha: float, seed: int) -> np.ndarray:
+    """Out-edges of all bands together, as rows of ``points``, which are in descending order of length."""
+    edges = np.full((len(points), degree), -1, dtype=np.int64)
+    starts = bands(np.sqrt(np.einsum("ij,ij->i", points, points)))
+    for start, end in zip(starts, [*starts[1:], len(points)], strict=True):
+        own = PrunedGraph.built(_lifted(points[start:end]), degree, beam, alpha, seed).edges
+        edges[start:end] = np.where(own >= 0, own + start, -1)
+    return edges
+
+
+def banded_search(points: np.ndarray, edges: np.ndarray, queries: np.ndarray, keep: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` best rows of ``points`` for each query and their inner products, best first; -1 where there are fewer."""
+    lengths = np.sqrt(np.einsum("ij,ij->i", points, points))
+    starts = bands(lengths)
+    found, scores = np.full((len(queries), keep), -1, dtype=np.int64), np.full((len(queries), keep), -np.inf)
+    sizes = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    for start, end in zip(starts, [*starts[1:], len(points)], strict=True):
+        own, top = points[start:end], lengths[start]
+        graph = PrunedGraph(_lifted(own), np.where(edges[start:end] >= 0, edges[start:end] - start, -1))
+        # Within rounding, no row of the band beats what such a query has.
+        live = np.flatnonzero(sizes * top * (1 + 1e-9) >= scores[:, -1])
+        for part in np.array_split(live, max(1, -(-len(live) // GROUP))):
+            if not len(part):
+                continue
+            flat = np.column_stack([queries[part] * (top / sizes[part])[:, None], np.zeros(len(part))])
+            rows, _ = graph.search(flat, max(beam, keep))
+            own_scores = np.where(rows >= 0, np.einsum("qd,qnd->qn", queries[part], own[rows]), -np.inf)
+            both = np.concatenate([scores[part], own_scores], axis=1)
+            names = np.concatenate([found[part], np.where(rows >= 0, rows + start, -1)], axis=1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :keep]
+            scores[part], found[part] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+    return found, scores
+
+
 def _matrix(vectors: list) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
@@ -147,26 +201,26 @@ def _matrix(vectors: list) -> np.ndarray:
 def build_graphs(
     points: DataFrame, shard_size: int = 8192, degree: int = 24, beam: int = 48, alpha: float = 1.2, seed: int = 4
 ) -> DataFrame:
-    """(dim, shard, place, c1, c2, vec, top, edges): the graph of every shard of (c1, c2, vec).
+    """(dim, shard, place, c1, c2, vec, edges): the graphs of every shard of (c1, c2, vec).
 
-    ``place`` numbers a shard's rows, and ``edges`` are places. A shard holds ``shard_size`` vectors of one length
-    on average, dealt by the hashes c1 and c2. ``top`` is the largest length of all vectors of that dimension.
+    ``place`` numbers a shard's rows, longest vectors first, and ``edges`` are places. A shard holds ``shard_size`` vectors of one
+    dimension on average, dealt by the hashes c1 and c2.
     """
-    points = points.withColumns({"dim": F.size("vec"), "norm": F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)})
-    sizes = points.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).alias("shards"), F.max("norm").alias("top"))
+    points = points.withColumn("dim", F.size("vec"))
+    sizes = points.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).alias("shards"))
     shard = F.pmod(F.xxhash64("c1", "c2", F.lit(seed)), F.col("shards")).cast("int").alias("shard")
-    dealt = points.join(sizes, "dim").select("dim", shard, "c1", "c2", "vec", "top")
+    dealt = points.join(sizes, "dim").select("dim", shard, "c1", "c2", "vec")
     # A shard is little data and much work: a task for each, however small.
     n = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["c1", "c2"], ignore_index=True)
         points = _matrix(rows["vec"])
-        lift = np.sqrt(np.maximum(rows["top"].iloc[0] - np.einsum("ij,ij->i", points, points), 0))
-        graph = PrunedGraph.built(np.column_stack([points, lift]), degree, beam, alpha, seed)
-        return rows.assign(place=np.arange(len(rows)), edges=list(graph.edges))
+        order = np.argsort(-np.einsum("ij,ij->i", points, points), kind="stable")
+        rows = rows.iloc[order].reset_index(drop=True)
+        return rows.assign(place=np.arange(len(rows)), edges=list(banded_edges(points[order], degree, beam, alpha, seed)))
 
-    schema = "dim int, shard int, place int, c1 long, c2 long, vec array<double>, top double, edges array<long>"
+    schema = "dim int, shard int, place int, c1 long, c2 long, vec array<double>, edges array<long>"
     return dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInPandas(lambda rows: build(rows)[schema_names(schema)], schema)
 
 
@@ -194,21 +248,10 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, keep: int, beam: int =
             return pd.DataFrame([], columns=names)
         index = index.sort_values("place", ignore_index=True)
         points, asked_vectors = _matrix(index["vec"]), _matrix(wanted["vec"])
-        lift = np.sqrt(np.maximum(index["top"].iloc[0] - np.einsum("ij,ij->i", points, points), 0))
-        graph = PrunedGraph(np.column_stack([points, lift]), np.stack(index["edges"].to_list()))
-        flat = np.column_stack([asked_vectors, np.zeros(len(wanted))])
-        parts = []
-        for at in range(0, len(wanted), GROUP):
-            rows, _ = graph.search(flat[at : at + GROUP], max(beam, keep))
-            asked_at, slot = np.nonzero(rows >= 0)
-            found = rows[asked_at, slot]
-            score = (asked_vectors[at : at + GROUP][asked_at] * points[found]).sum(axis=1)
-            order = np.lexsort((-score, asked_at))
-            asked_at, found, score = asked_at[order], found[order], score[order]
-            rank = np.arange(len(asked_at)) - np.searchsorted(asked_at, asked_at)
-            best = rank < keep
-            parts.append((at + asked_at[best], found[best], score[best]))
-        asked_at, found, score = (np.concatenate(column) for column in zip(*parts, strict=True))
+        rows, _ = banded_search(points, np.stack(index["edges"].to_list()), asked_vectors, keep, beam)
+        asked_at, slot = np.nonzero(rows >= 0)
+        found = rows[asked_at, slot]
+        score = (asked_vectors[asked_at] * points[found]).sum(axis=1)
         q, c = wanted.iloc[asked_at], index.iloc[found]
         return pd.DataFrame({"q1": q["q1"].to_numpy(), "q2": q["q2"].to_numpy(), "c1": c["c1"].to_numpy(), "c2": c["c2"].to_numpy(), "score": score})
 

@@ -119,3 +119,13 @@ def test_odd_tables(spark):
     row = repair.audit_conversations(gone, gone="gone").first()
     assert tuple(row) == (1, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert repair.repair_conversations(gone, gone="gone").count() == 0
+
+
+def test_choices_come_back_from_the_end(monkeypatch):
+    monkeypatch.setattr(repair, "BLOCK", 7)
+    for n in (0, 1, 6, 7, 8, 14, 50):
+        choices = repair.Choices()
+        for i in range(n):
+            choices.add(i % 251)
+        assert (choices.file is None) == (n < 7)
+        assert list(choices) == [i % 251 for i in range(n)][::-1]

@@ -98,3 +98,59 @@ def test_graph_search_of_few_rows(spark):
     rows = [(0, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [0.0, 1.0], "b"), (3, [1.0], "c"), (None, [1.0, 1.0], "d")]
     found = graph_search.nearest_rows(spark.createDataFrame(rows, SCHEMA), lambda i: i % 20 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0)]
+
+
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "lengths", "clusters"])
+def test_recall_of_a_full_shard(kind):
+    """The query's own settings on one shard of 8,192 vectors of 64 components, against brute force."""
+    rng = np.random.default_rng(1)
+    points = rng.standard_normal((8192, 64))
+    if kind == "unit":
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+    if kind == "lengths":
+        points *= rng.uniform(0.5, 2, (8192, 1))
+    if kind == "clusters":
+        points = (points[rng.integers(0, 60, 8192)] + 0.3 * rng.standard_normal((8192, 64))) * rng.uniform(0.3, 3, (8192, 1))
+    points = points[np.argsort(-(points * points).sum(axis=1), kind="stable")]
+    asked = points[rng.choice(8192, 200, replace=False)]
+    edges = graph_search.banded_edges(points, 24, 48, 1.2, 4)
+    found, scores = graph_search.banded_search(points, edges, asked, 21, 64)
+    exact = asked @ points.T
+    best = np.argsort(-exact, axis=1)[:, :21]
+    assert np.allclose(scores, np.take_along_axis(exact, found, axis=1))
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(best, found)]) >= 0.95
+
+
+def test_bands_hold_like_lengths():
+    lengths = np.sort(np.random.default_rng(2).lognormal(0, 1, 5000))[::-1]
+    starts = graph_search.bands(lengths)
+    sizes = np.diff([*starts, 5000])
+    assert starts[0] == 0 and sizes.max() <= graph_search.BAND and (sizes[:-1] >= graph_search.LEAST).all()
+    assert list(graph_search.bands(np.ones(3))) == [0] and list(graph_search.bands(np.ones(0))) == [0]
+
+
+def test_equal_scores_across_shards(spark):
+    """Rows of equal score, some of them exact copies, lie in different shards: ids decide."""
+    rows = [(i, [1.0, float(i % 50) / 100, 0.0], "x") for i in range(1, 400)] + [(400, [1.0, 0.0, 0.0], "q")]
+    found = graph_search.nearest_rows(spark.createDataFrame(rows, SCHEMA), lambda i: i == 400, k=20, shard_size=10)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(found.collect(), key=lambda r: r["rank"])]
+    assert got == [(n + 1, n + 1, 1.0) for n in range(20)]
+
+
+def test_query_settings_find_pairs_at_the_threshold(spark):
+    """Planted pairs of 64 components around cosine 0.9, with the settings of the query: hardly one above it is missed, none below found."""
+    rng = np.random.default_rng(5)
+    rows, above, below = [], 0, 0
+    for i in range(1500):
+        a, b = rng.standard_normal(64), rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cosine = rng.uniform(0.88, 0.92)
+        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+        above, below = above + (cosine >= 0.9), below + (cosine < 0.9)
+        rows += [(2 * i, a.tolist(), "x"), (2 * i + 1, (b * rng.uniform(0.2, 5)).tolist(), "y")]
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    found = lattice_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), min_cosine=0.9).collect()
+    linked = {r["vec_id"] // 2 for r in found if r["n_links"]}
+    assert all(r["n_links"] <= 1 and (not r["n_links"] or good[r["vec_id"] // 2 * 2] @ good[r["vec_id"] // 2 * 2 + 1] >= 0.9 - 1e-12) for r in found)
+    assert above > 600 and below > 600 and len(linked) >= 0.98 * above
