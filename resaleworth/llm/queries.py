@@ -122,20 +122,28 @@ targets AS (
   FROM sources, (SELECT max(level) AS level FROM levels)
 ),
 plan AS (
-  SELECT *, target - whole * source_size AS lack, (target - whole * source_size) / nullif(source_size, 0) AS p
+  SELECT *, target - whole * source_size AS lack
   FROM (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole FROM targets)
 ),
+by_size AS (SELECT source, size, (count(*) * size)::BIGINT AS words FROM sizes WHERE size > 0 GROUP BY source, size),
+tried AS (
+  SELECT b.source, size, (lack - (sum(words) OVER (PARTITION BY b.source ORDER BY size DESC) - words)::DOUBLE)
+    / (sum(words::HUGEINT * size) OVER (PARTITION BY b.source ORDER BY size))::DOUBLE AS scale
+  FROM by_size b JOIN plan t ON b.source IS NOT DISTINCT FROM t.source WHERE lack > 0
+),
+scales AS (SELECT source, arg_max(scale, size) AS scale FROM tried WHERE scale * size < 1 GROUP BY source),
 ranked AS (
-  SELECT doc_id, size, s.source, source_size, target, whole, lack, p,
+  SELECT doc_id, size, s.source, source_size, target, whole, lack, c.scale, scale * size AS p,
     (('0x' || substr(md5('5:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM sizes s JOIN plan t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sizes s JOIN plan t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN scales c ON s.source IS NOT DISTINCT FROM c.source
 ),
 steps AS (
-  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size) AS upto
-  FROM (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM ranked)
+  SELECT *, sum(CASE WHEN scale IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS upto
+  FROM (SELECT *, CASE WHEN p < 1 THEN odds / (1 + odds) ELSE 0 END AS rank
+    FROM (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM ranked))
 )
-SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN p > 0 AND abs(upto - lack) <= abs(upto - size - lack) THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole
+  + CASE WHEN scale IS NOT NULL AND abs(upto - lack) <= abs(upto - size - lack) THEN 1 ELSE 0 END) END AS BIGINT) AS taken
 FROM steps
 """
 )
