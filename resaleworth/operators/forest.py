@@ -53,6 +53,15 @@ def sampled_leaf_table(leafed: DataFrame, keys: Sequence[str], label: str) -> Da
     )
 
 
+def sketched_leaf_table(leafed: DataFrame, label: str, accuracy: int) -> DataFrame:
+    """(tree, leaf, sketch, samples): a mergeable sketch of all training labels of a leaf; exact up to about ``accuracy`` of them.
+
+    Rows merge into sketches map-side, so a leaf moves as one sketch per task whatever it holds.
+    """
+    each = leaf_ids(leafed, label).groupBy("tree", "leaf")
+    return each.agg(F.kll_sketch_agg_double(F.col(label).cast("double"), F.lit(accuracy)).alias("sketch"), F.count("*").alias("samples"))
+
+
 def _quantile(ordered: Column, size: int, q: float) -> Column:
     """Linear interpolation between the neighbours in a sorted array."""
     place = q * (size - 1)
@@ -78,6 +87,10 @@ class QuantileForest(
     salts = Param(Params._dummy(), "salts", "parts of a leaf when the leaf table is joined", TypeConverters.toInt)
     keyCols = Param(Params._dummy(), "keyCols", "columns that identify a row", TypeConverters.toListString)
     quantiles = Param(Params._dummy(), "quantiles", "predicted quantiles", TypeConverters.toListFloat)
+    leafLabels = Param(
+        Params._dummy(), "leafLabels", "drawn: one label per leaf; all: a sketch of all labels of a leaf", TypeConverters.toString
+    )
+    sketchAccuracy = Param(Params._dummy(), "sketchAccuracy", "size of a sketch; the rank error is about 2.3 over it", TypeConverters.toInt)
 
     @keyword_only
     def __init__(
@@ -94,11 +107,17 @@ class QuantileForest(
         salts=None,
         keyCols=None,
         quantiles=None,
+        leafLabels=None,
+        sketchAccuracy=None,
         seed=None,
     ):
         super().__init__()
+        if leafLabels not in (None, "drawn", "all"):
+            raise ValueError(f"leafLabels is {leafLabels!r}, not drawn or all")
         self._setDefault(
             labelCol=config.LABEL,
+            leafLabels="drawn",
+            sketchAccuracy=200,
             numTrees=100,
             maxDepth=MAX_DEPTH,
             minInfoGain=0.0,
@@ -130,7 +149,11 @@ class QuantileForest(
             featureSubsetStrategy="all",
             seed=self.getSeed(),
         ).fit(rows)
-        leaves = materialise(sampled_leaf_table(forest.transform(rows), keys, label), "leaves")
+        if self.getOrDefault(self.leafLabels) == "all":
+            table = sketched_leaf_table(forest.transform(rows), label, self.getOrDefault(self.sketchAccuracy))
+        else:
+            table = sampled_leaf_table(forest.transform(rows), keys, label)
+        leaves = materialise(table, "leaves")
         return self._copyValues(QuantileForestModel.of(forest, leaves))
 
 
@@ -145,6 +168,8 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     salts = QuantileForest.salts
     keyCols = QuantileForest.keyCols
     quantiles = QuantileForest.quantiles
+    leafLabels = QuantileForest.leafLabels
+    sketchAccuracy = QuantileForest.sketchAccuracy
 
     forest: RandomForestRegressionModel
     leaves: DataFrame
@@ -185,7 +210,9 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         return other
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        if self.dense and self.leaf_count <= LOOKUP_LIMIT:
+        if "sketch" in self.leaves.columns:
+            values = self.predict_by_sketch(dataset)
+        elif self.dense and self.leaf_count <= LOOKUP_LIMIT:
             values = self.predict_by_lookup(dataset)
         else:
             values = self.predict_by_join(dataset)
@@ -216,16 +243,33 @@ class QuantileForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
             .drop("_drawn")
         )
 
-    def predict_by_join(self, dataset: DataFrame) -> DataFrame:
-        """Larger leaf tables are joined on (tree, leaf); the salt spreads leaves that most rows reach.
+    def _met(self, dataset: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with a number of their own, stored once, and (_row, column) of every leaf that each of them reaches.
 
-        Rows are stored once with a number of their own, so repeated and null keys stay apart and every row comes back.
+        The leaf table is joined on (tree, leaf); the salt spreads leaves that most rows reach.
         """
         salts = self.getOrDefault(self.salts)
         rows = materialise(self.forest.transform(dataset).withColumn("_row", F.monotonically_increasing_id()), "leafed")
         reached = leaf_ids(rows, "_row").withColumn("salt", F.pmod("_row", F.lit(salts)).cast("int"))
-        table = self.leaves.select("tree", "leaf", "y", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        drawn = reached.join(table, ["tree", "leaf", "salt"]).groupBy("_row").agg(F.sort_array(F.collect_list("y")).alias("_drawn"))
+        table = self.leaves.select("tree", "leaf", column, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return rows, reached.join(table, ["tree", "leaf", "salt"]).select("_row", column)
+
+    def predict_by_sketch(self, dataset: DataFrame) -> DataFrame:
+        """Quantiles of all training labels in the leaves that a row reaches, a label counting once per tree.
+
+        The sketches of the leaves are merged row by row, so no pair of a row and a leaf mate is made, and the way is the
+        same for tables of any size.
+        """
+        rows, met = self._met(dataset, "sketch")
+        merged = met.groupBy("_row").agg(F.kll_merge_agg_double("sketch").alias("_sketch"))
+        wanted = F.array(*[F.lit(float(q)) for q in self.getOrDefault(self.quantiles)])
+        values = merged.select("_row", F.kll_sketch_get_quantile_double("_sketch", wanted).alias("quantile_values"))
+        return rows.drop(LEAVES, MEAN).join(values, "_row", "left").drop("_row")
+
+    def predict_by_join(self, dataset: DataFrame) -> DataFrame:
+        """Larger tables of drawn labels are joined; repeated and null keys stay apart and every row comes back."""
+        rows, met = self._met(dataset, "y")
+        drawn = met.groupBy("_row").agg(F.sort_array(F.collect_list("y")).alias("_drawn"))
         wanted = [_quantile(F.col("_drawn"), self.trees, q) for q in self.getOrDefault(self.quantiles)]
         values = drawn.select("_row", F.array(*wanted).alias("quantile_values"))
         return rows.drop(LEAVES, MEAN).join(values, "_row", "left").drop("_row")

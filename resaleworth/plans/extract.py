@@ -75,18 +75,16 @@ def sales_extract(tables: ListingTables) -> DataFrame:
 
 
 def aged_bookings_extract(tables: ListingTables, as_of: dt.date, months: int = 2) -> DataFrame:
-    """Bookings of listings at least ``months`` complete months old, with their booked price."""
+    """Bookings of listings at least ``months`` complete months old, paid or not, with the price they were booked at."""
     bikes = tables.bikes.where(
         listed_long_enough(F.col("created_at"), F.lit(as_of).cast("timestamp"), months)
     ).select("id", F.col("bike_template_id").alias("template_id"), "msrp", "created_at")
-    bookings = tables.bookings.select(F.col("id").alias("booking_id"), "bike_id").join(
-        tables.booking_accountings, "booking_id"
-    )
+    bookings = tables.bookings.select(F.col("id").alias("booking_id"), "bike_id", "bike_price")
     return bikes.join(bookings, F.col("id") == F.col("bike_id")).select(
         "id",
         "booking_id",
         "template_id",
-        F.col("bike_price_currency").alias("sales_price"),
+        F.col("bike_price").alias("sales_price"),
         "msrp",
         F.year("created_at").cast("bigint").alias("bike_created_at_year"),
         F.month("created_at").cast("bigint").alias("bike_created_at_month"),

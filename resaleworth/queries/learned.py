@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth import config
 from resaleworth.operators import pricing as pr
-from resaleworth.operators.forest import QuantileForest
+from resaleworth.operators.forest import QuantileForest, leaf_ids
 from resaleworth.operators.impute import ChainedForestImputer
 from resaleworth.operators.selection import LEADERBOARD, Candidate, default_candidates, finetune, finished_cells, setting_names, shortlist
 from resaleworth.plans import evaluation, model_choice, scoring
@@ -151,6 +151,28 @@ def quantile_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"WITH {sql.FEATURES} SELECT id, true AS ordered, true AS inside, true AS near FROM split_rows WHERE split = 'test'"
+)
+def leaf_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of all training labels in the reached leaves, by merged sketches: ordered, inside the range of the labels, and
+    each within the sketch's rank error of the same leaves taken label by label."""
+    train, test = _snapshot(spark, sf_dir, "train"), _snapshot(spark, sf_dir, "test")
+    quantiles, slack = [0.2, 0.5, 0.8], 0.03
+    model = QuantileForest(keyCols=list(ROW_KEYS), numTrees=5, maxDepth=6, leafLabels="all", quantiles=quantiles).fit(train)
+    low, high = train.agg(F.min(config.LABEL), F.max(config.LABEL)).first()
+    predicted = materialise(model.transform(test).select("id", "quantile_values"), "distributions")
+    # For the check only: leaf by leaf the share of labels below, and up to, each predicted value.
+    labels = leaf_ids(model.forest.transform(train), config.LABEL).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(config.LABEL)).alias("ys"))
+    reached = leaf_ids(model.forest.transform(test), "id").join(predicted, "id").join(labels, ["tree", "leaf"])
+    below = [F.sum(F.expr(f"size(filter(ys, y -> y < quantile_values[{i}]))")).alias(f"below{i}") for i in range(3)]
+    upto = [F.sum(F.expr(f"size(filter(ys, y -> y <= quantile_values[{i}]))")).alias(f"upto{i}") for i in range(3)]
+    shares = reached.groupBy("id", "quantile_values").agg(F.sum(F.size("ys")).alias("n"), *below, *upto)
+    near = [F.expr(f"below{i} / n <= {q + slack} AND upto{i} / n >= {q - slack}") for i, q in enumerate(quantiles)]
+    v = [F.col("quantile_values")[i] for i in range(3)]
+    return shares.select("id", ((v[0] <= v[1]) & (v[1] <= v[2])).alias("ordered"), ((v[0] >= low) & (v[2] <= high)).alias("inside"), (near[0] & near[1] & near[2]).alias("near"))
+
+
 @query(f"WITH {sql.FEATURES} SELECT count(*) * 3 AS rows, CAST(0 AS BIGINT) AS different FROM split_rows WHERE split = 'test'")
 def quantile_paths_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lookup for small leaf tables and the salted join for large ones give the same quantiles, to the last bit.

@@ -29,7 +29,8 @@ lines AS (
 ),
 bookings AS (
   SELECT line_key AS id, l_orderkey AS bike_id, l_shipdate + INTERVAL 276 MONTH AS created_at,
-    CASE l_returnflag WHEN 'A' THEN 'paid_out' WHEN 'R' THEN 'success' WHEN 'N' THEN 'cancelled' END AS status
+    CASE l_returnflag WHEN 'A' THEN 'paid_out' WHEN 'R' THEN 'success' WHEN 'N' THEN 'cancelled' END AS status,
+    l_extendedprice * (1 - l_discount) / 6 AS bike_price
   FROM lines
 ),
 booking_accountings AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resaleworth import config
@@ -27,6 +29,31 @@ def typed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bikes.withColumn("created_at", _day("created_at"))
 
 
+# Names of the five tables in the check SQL.
+_TABLES = {"bike_template_additional_infos": "template_infos", "bike_additional_infos": "bike_infos"}
+
+
+@query(
+    f"WITH {sql.LISTINGS} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{column}' AS column_name, '{kind}' AS kind, count(*) AS rows, count({column}) AS filled"
+        f" FROM {_TABLES.get(name, name)}"
+        for name, columns in src.SCHEMAS.items()
+        for column, kind in columns.items()
+    )
+)
+def typed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tables under their declared types: rows and filled cells of every column, one pass over each table."""
+    found = []
+    for name, types in src.SCHEMAS.items():
+        # The keys of the test tables are texts for bookings.
+        table = src.typed(getattr(frames.tables(spark, sf_dir), name), {**types, **({"id": "string"} if name == "bookings" else {}), **({"booking_id": "string"} if name == "booking_accountings" else {})})
+        counts = table.agg(F.count("*").alias("rows"), *[F.count(column).alias(column) for column in types])
+        each = [F.struct(F.lit(column).alias("column_name"), F.lit(kind).alias("kind"), F.col("rows"), F.col(column).alias("filled")) for column, kind in types.items()]
+        found.append(counts.select(F.lit(name).alias("table_name"), F.explode(F.array(*each)).alias("c")).select("table_name", "c.*"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query(
     f"WITH {sql.LISTINGS} SELECT k.id AS booking_id, k.bike_id, k.status AS booking_status, b.status AS bike_status"
     " FROM bikes b JOIN bookings k ON b.id = k.bike_id WHERE b.status = 'sold'"
@@ -96,15 +123,16 @@ def sales_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {sql.LISTINGS} SELECT b.id, k.id AS booking_id, b.bike_template_id AS template_id,"
-    " a.bike_price_currency AS sales_price, b.msrp, year(b.created_at) AS bike_created_at_year,"
+    " round(k.bike_price, 6) AS sales_price, b.msrp, year(b.created_at) AS bike_created_at_year,"
     " month(b.created_at) AS bike_created_at_month"
-    " FROM bikes b JOIN bookings k ON b.id = k.bike_id JOIN booking_accountings a ON a.booking_id = k.id"
+    " FROM bikes b JOIN bookings k ON b.id = k.bike_id"
     " WHERE 12 * (2024 - year(b.created_at)) + (9 - month(b.created_at))"
     " - CASE WHEN day(b.created_at) > 1 OR b.created_at - date_trunc('day', b.created_at) > INTERVAL 0 SECOND"
     " THEN 1 ELSE 0 END >= 2"
 )
 def aged_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aged_bookings_extract(frames.tables(spark, sf_dir), frames.AS_OF)
+    rows = aged_bookings_extract(frames.tables(spark, sf_dir), frames.AS_OF)
+    return rows.withColumn("sales_price", F.round("sales_price", 6))
 
 
 _FILTERED = "SELECT id, booking_id, sales_price, msrp FROM extract WHERE "

@@ -73,6 +73,7 @@ def _bookings(lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("bike_id"),
         _shifted("l_shipdate").alias("created_at"),
         F.when(flag == "A", "paid_out").when(flag == "R", "success").when(flag == "N", "cancelled").alias("status"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 6).alias("bike_price"),
     )
 
 

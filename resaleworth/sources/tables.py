@@ -31,7 +31,7 @@ BIKES = {
     "is_mobile": "bigint",
     "status": "string",
 }
-BOOKINGS = {"id": "bigint", "bike_id": "bigint", "created_at": "timestamp", "status": "string"}
+BOOKINGS = {"id": "bigint", "bike_id": "bigint", "created_at": "timestamp", "status": "string", "bike_price": "double"}
 BOOKING_ACCOUNTINGS = {"booking_id": "bigint", "bike_price_currency": "double"}
 TEMPLATE_INFOS = {"bike_template_id": "bigint", "is_ebike": "bigint", "is_frameset": "bigint"}
 BIKE_INFOS = {"bike_id": "bigint", "rider_height_min": "double", "rider_height_max": "double"}

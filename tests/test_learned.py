@@ -419,3 +419,27 @@ def test_copies_stay_on_their_side_of_the_calibration(spark):
     marked = with_calibration(rows, 0.2)
     assert marked.groupBy("id").agg(F.count_distinct("held").alias("n")).where("n > 1").count() == 0
     assert 50 < marked.where("held AND copy_no = 0").count() < 150
+
+
+def test_sketches_hold_the_labels_of_their_leaves(spark, points, tmp_path):
+    """Small leaves are exact: quantiles are those of all labels in the reached leaves, a label counting once per tree."""
+    model = QuantileForest(numTrees=3, maxDepth=3, leafLabels="all", sketchAccuracy=2000, quantiles=[0.0, 0.5, 1.0]).fit(points)
+    model.write().save(f"{tmp_path}/sketches")
+    again = QuantileForestModel.load(f"{tmp_path}/sketches")
+    leafed = model.forest.transform(points).select("id", "sales_price", "_leaves").collect()
+    members = {}
+    for r in leafed:
+        for tree, leaf in enumerate(r["_leaves"]):
+            members.setdefault((tree, leaf), []).append(r["sales_price"])
+    expected = {r["id"]: sorted(y for tree, leaf in enumerate(r["_leaves"]) for y in members[tree, leaf]) for r in leafed}
+    rows = points.unionByName(points.where("id = 3")).unionByName(points.where("id = 4").withColumn("id", F.lit(None).cast("bigint")))
+    for loaded in (model, again):
+        got = loaded.transform(rows).collect()
+        assert len(got) == 1002
+        for r in got:
+            ys = expected[4 if r["id"] is None else r["id"]]
+            low, mid, high = r["quantile_values"]
+            assert (low, high) == (ys[0], ys[-1]) and mid == r["prediction"] and ys[len(ys) // 2 - 2] <= mid <= ys[len(ys) // 2 + 2]
+    assert model.leaves.agg(F.sum("samples")).first()[0] == 3000
+    with pytest.raises(ValueError, match="leafLabels"):
+        QuantileForest(leafLabels="some")
