@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from resaleworth.session import configure
 
 # Bytes hashed at once; longer texts are hashed in pieces that end between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPACES = " \t\n\x0b\x0c\r"
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
