@@ -1,4 +1,11 @@
-"""From raw documents to training sequences: language ID, line dedup, near-duplicate removal, mixing, packing."""
+"""From raw documents to training sequences: language ID, line dedup, near-duplicate removal, mixing, packing.
+
+Odd rows, stage by stage. Null texts and texts without a letter have no language and go in the first stage. Empty texts
+that line dedup leaves behind are similar to nothing, are not taken by the mix, which counts words, and so end there.
+Rows that repeat an id lose the same lines and stay or go together; repeated texts under different ids are copies, of which
+the smallest id stays. Rows without an id are nobody's copy and stay. A null source is a source of its own. Long texts pass like any other.
+An empty table gives an empty one at every stage. Extra columns are carried up to the mix, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +34,8 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: five words to a shingle, similarity of 0.8 or more."""
-    text_session(spark)
+    # This stage holds several tables beside a batch.
+    text_session(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     return jaccard_join.keep_one_per_group(docs, words=5, threshold=0.8)
 
 
