@@ -40,12 +40,12 @@ def _rescaled(row: np.ndarray) -> np.ndarray:
 
 
 def listed(classes: DataFrame, tables: int, probes: int, spread: float, seed: int) -> DataFrame:
-    """(key, own, node, mult, unit): every class under its own and its probed cells."""
+    """(key, own, node): every class under its own and its probed cells. Vectors stay behind until a cell is known to have two."""
 
     def keys(batch: pa.RecordBatch) -> dict[str, list]:
         units = _unit(batch)
-        out: dict[str, list] = {"key": [], "own": [], "node": [], "mult": [], "unit": []}
-        nodes, mult = batch["node"].to_pylist(), batch["mult"].to_pylist()
+        out: dict[str, list] = {"key": [], "own": [], "node": []}
+        nodes = batch["node"].to_pylist()
         by_length: dict[int, list[int]] = {}
         for i, unit in enumerate(units):
             by_length.setdefault(len(unit), []).append(i)
@@ -54,16 +54,20 @@ def listed(classes: DataFrame, tables: int, probes: int, spread: float, seed: in
             own = np.zeros(found.shape[1:], dtype=bool)
             own[:, 0] = True
             for i, cells in zip(rows, found, strict=True):
-                n = cells.size
                 out["key"] += cells.ravel().tolist()
                 out["own"] += own.ravel().tolist()
-                out["node"] += [nodes[i]] * n
-                out["mult"] += [mult[i]] * n
-                out["unit"] += [units[i].tobytes()] * n
+                out["node"] += [nodes[i]] * cells.size
         return out
 
     kind = classes.schema["node"].dataType.simpleString()
-    return map_batches(classes, keys, f"key long, own boolean, node {kind}, mult long, unit binary")
+    return map_batches(classes, keys, f"key long, own boolean, node {kind}")
+
+
+def unit_vectors(classes: DataFrame) -> DataFrame:
+    """(of, mult, unit) of every class."""
+    kind = classes.schema["node"].dataType.simpleString()
+    units = lambda batch: {"of": batch["node"], "mult": batch["mult"], "unit": [unit.tobytes() for unit in _unit(batch)]}
+    return map_batches(classes, units, f"of {kind}, mult long, unit binary")
 
 
 def first_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,10 +130,11 @@ def near_duplicates(
     rows = vector_rows(table, id_col, vec_col)
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
     classes = materialise(classes, "classes")
-    places = listed(classes.select("node", "mult", "vec"), tables, probes, spread, seed)
+    places = materialise(listed(classes.select("node", "vec"), tables, probes, spread, seed), "places")
     counts = places.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("n > 1 and owners > 0")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     met = places.join(counts.select("key", parts.alias("parts")), "key")
+    met = met.join(unit_vectors(classes.select("node", "mult", "vec")), F.col("node") == F.col("of"))
     block = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")).cast("int")
     met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
