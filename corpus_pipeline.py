@@ -19,35 +19,40 @@ from resaleworth.session import materialise
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The library's settings. Python workers outlive their stage, so five stages in a row leave less to each batch."""
+    text_session(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    return spark
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the classifier learns from their labels. ``lang`` stays the label."""
-    text_session(spark)
+    small_batches(spark)
     found = language.identify_language(docs, language.fit_languages(docs))
     return found.where("not rejected").select(*docs.columns)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share stay in one of them; a text that loses all of them is left empty."""
-    text_session(spark)
+    small_batches(spark)
     return line_dedup.drop_common_lines(docs).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: five words to a shingle, similarity of 0.8 or more."""
-    # This stage holds several tables beside a batch.
-    text_session(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    small_batches(spark)
     return jaccard_join.keep_one_per_group(docs, words=5, threshold=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    text_session(spark)
+    small_batches(spark)
     return mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, most_copies=2)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences, with their token ids."""
-    text_session(spark)
+    small_batches(spark)
     return packing.pack_documents(docs, TOKENIZER)
 
 
@@ -65,7 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each stored before the next one reads it."""
-    docs = text_session(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return docs
