@@ -126,7 +126,7 @@ def forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows per tree of a fitted, saved and reloaded forest of ten trees; leaf labels are training labels."""
     _, run = trained(spark, sf_dir)
     train, root = _snapshot(spark, sf_dir, "train"), scratch_path(spark, "ten-trees")
-    forest = QuantileForest(keyCols=list(ROW_KEYS), numTrees=10).fit(train)
+    forest = QuantileForest(keyCols=list(ROW_KEYS), numTrees=10, maxDepth=frames.FOREST_DEPTH).fit(train)
     artefacts.publish_artefacts(root, "v1", run.transforms, forest, spark)
     _, model = artefacts.load_artefacts(spark, root)
     low, high = train.agg(F.min(config.LABEL), F.max(config.LABEL)).first()
