@@ -1,8 +1,9 @@
 """Chained forest imputation: each column with gaps is predicted from the others, in rounds.
 
-The state of a chain is one stored table: a row number, all values as one array, and a mask of the gaps. It is written once.
-Fitting a column stores only (row, value) of its gaps; the newest of these of each column, joined by row number, are the
-present state. A column is fitted again only when another one has moved since.
+The state of a chain is one table: a row number, all values as one array, and a mask of the gaps. It is written at the start and
+after each round. In between, fitting a column replaces the values of its gaps where the rows lie, so that no row moves; the rows
+are kept on the executors, and a lost part is made again from the last written state. A column is fitted again only when another
+one has moved since.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from resaleworth.operators.encode import code_name, decode_labels, dictionary_table, encode_labels
 from resaleworth.operators.fill import column_means, column_modes
@@ -99,10 +100,10 @@ def in_threads(tasks: Sequence[Callable[[], Any]], threads: int = 8) -> list[Any
 
 
 class ChainState:
-    """The stored rows of a chain, and the newest guesses of each column."""
+    """The rows of a chain with the newest guess in each gap, and guesses that came from elsewhere, by row number."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str], fill: Mapping[str, float]):
-        self.columns, self.guesses = list(columns), {}
+        self.columns, self.guesses, self.kept = list(columns), {}, None
         bits = [F.when(F.col(name).isNull(), F.lit(1 << (i % WORD))).otherwise(F.lit(0)).cast("long") for i, name in enumerate(columns)]
         words = [reduce(lambda a, b: a.bitwiseOR(b), bits[at : at + WORD]) for at in range(0, len(bits), WORD)]
         values = [F.coalesce(F.col(name).cast("double"), F.lit(fill[name])) for name in columns]
@@ -122,11 +123,31 @@ class ChainState:
         newest = F.transform("values", lambda value, i: F.coalesce(F.try_element_at(F.col("newest"), i), value))
         return self.rows.join(per_row, ROW, "left").select(ROW, "gaps", F.when(F.col("newest").isNull(), F.col("values")).otherwise(newest).alias("values"))
 
-    def frame(self, target: str) -> DataFrame:
+    def frame(self, target: str, *extra: str) -> DataFrame:
         """The other columns as a vector, the target's present value and whether it is a gap."""
         place = self.columns.index(target)
         others = F.concat(F.slice("values", F.lit(1), F.lit(place)), F.slice("values", F.lit(place + 2), F.lit(len(self.columns))))
-        return self.present().select(ROW, array_to_vector(others).alias(INPUT), F.get("values", F.lit(place)).alias("y"), self.gap(target).alias("gap"))
+        return self.present().select(ROW, *extra, array_to_vector(others).alias(INPUT), F.get("values", F.lit(place)).alias("y"), self.gap(target).alias("gap"))
+
+    def fill(self, target: str, forests: Sequence[Any], classes: int | None) -> float:
+        """Replace the gaps of ``target`` by new predictions; the largest move of them."""
+        place = self.columns.index(target)
+        predicted = _predicted(self.frame(target, "gaps", "values"), forests)
+        filled = predicted.selectExpr(ROW, "gaps", "values", "y", f"CASE WHEN gap THEN {_guessed_value(0, classes)} ELSE y END AS new")
+        values = F.array(*[F.col("new") if i == place else F.get("values", F.lit(i)) for i in range(len(self.columns))])
+        rows = filled.select(ROW, "gaps", values.alias("values"), F.abs(F.col("new") - F.col("y")).alias("move")).persist()
+        move = rows.agg(F.max("move")).first()[0]
+        self._take(rows.drop("move"), rows)
+        return float(move or 0.0)
+
+    def store(self) -> None:
+        """Write the present rows, so that nothing before them is needed any more."""
+        self._take(materialise(self.present(), "imputed-state"), None)
+
+    def _take(self, rows: DataFrame, kept: DataFrame | None) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.rows, self.kept, self.guesses = rows, kept, {}
 
 
 class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -189,15 +210,9 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         return forests
 
     def _refit(self, state: ChainState, target: str, classes: int | None) -> tuple[list[Any], float]:
-        """New forests of a column and the largest move of its filled values, which are stored."""
-        frame = state.frame(target).persist()
-        forests = self._fit_column(frame, classes)
-        value = _guessed_value(0, classes)
-        seen = Observation()
-        guesses = _predicted(frame.where("gap"), forests).selectExpr(ROW, f"{value} AS value", f"abs({value} - y) AS move")
-        state.guesses[target] = materialise(guesses.observe(seen, F.max("move").alias("move")).select(ROW, "value"), "guesses")
-        frame.unpersist()
-        return forests, float(seen.get["move"] or 0.0)
+        """New forests of a column and the largest move of its filled values."""
+        forests = self._fit_column(state.frame(target), classes)
+        return forests, state.fill(target, forests, classes)
 
     def _chain(
         self, df: DataFrame, columns: list[str], fill: dict[str, float], classes: dict[str, int]
@@ -206,13 +221,13 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
         if len(columns) < 2:
             return []
         marks = [F.sum(F.col(name).isNull().cast("bigint")).alias(name) for name in columns]
-        largest = [F.max(F.abs(F.col(name).cast("double"))).alias(f"_{name}_max") for name in columns]
-        stats = df.agg(F.count("*").alias("_rows"), *marks, *largest).first()
-        # A column that is empty or has one category only needs its first fill.
-        learnable = [name for name in columns if stats["_rows"] and stats[name] < stats["_rows"] and classes.get(name, 2) > 1]
+        ends = [f(F.col(name).cast("double")).alias(f"_{name}_{f.__name__}") for name in columns for f in (F.min, F.max)]
+        stats = df.agg(F.count("*").alias("_rows"), *marks, *ends).first()
+        # A column that is empty or has one value only needs its first fill.
+        learnable = [name for name in columns if stats["_rows"] and stats[name] < stats["_rows"] and stats[f"_{name}_min"] < stats[f"_{name}_max"]]
         order = sorted(learnable, key=lambda name: (stats[name], columns.index(name)))
         gappy = [name for name in order if stats[name] > 0]
-        reach = max((stats[f"_{name}_max"] or 0.0 for name in columns), default=0.0)
+        reach = max((abs(stats[f"_{name}_{end}"] or 0.0) for name in columns for end in ("min", "max")), default=0.0)
 
         state = ChainState(df, columns, fill)
         forests: dict[str, list[Any]] = {}
@@ -229,9 +244,9 @@ class ChainedForestImputer(Estimator, HasSeed, DefaultParamsReadable, DefaultPar
                     moved[target] = clock
             if clock == before:
                 break
+            state.store()
         rest = [target for target in order if target not in forests]
         if rest:
-            state.rows, state.guesses = materialise(state.present(), "imputed-state"), {}
             forests.update(zip(rest, in_threads([partial(self._fit_column, state.frame(target), classes.get(target)) for target in rest])))
         return [(target, forests[target]) for target in order]
 

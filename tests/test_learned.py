@@ -443,3 +443,28 @@ def test_sketches_hold_the_labels_of_their_leaves(spark, points, tmp_path):
     assert model.leaves.agg(F.sum("samples")).first()[0] == 3000
     with pytest.raises(ValueError, match="leafLabels"):
         QuantileForest(leafLabels="some")
+
+
+def test_a_chain_moves_no_rows(spark, gaps):
+    """Refitting a column replaces its gaps in place: observed cells stay, the plan has no exchange, and the first fill of a constant is kept."""
+    columns = ["a", "b"]
+    numbers = gaps.select(*columns)
+    state = ChainState(numbers, columns, {"a": 0.0, "b": 0.0})
+    before = {r["_row"]: r for r in state.rows.collect()}
+    imputer = ChainedForestImputer(numericalCols=columns, categoricalCols=[], numTrees=2, maxDepth=2)
+    for _ in range(2):
+        _, move = imputer._refit(state, "b", None)
+    assert move < 30 and "Exchange" not in state.present()._jdf.queryExecution().executedPlan().toString()
+    after = {r["_row"]: r for r in state.present().collect()}
+    for row, r in before.items():
+        assert after[row]["values"][0] == r["values"][0]
+        assert (after[row]["values"][1] == r["values"][1]) == (not r["gaps"][0] & 2)
+    state.store()
+    assert {r["_row"]: r for r in state.present().collect()} == after
+
+
+def test_a_constant_number_needs_no_forest(spark):
+    rows = [(float(i % 10), None if i % 3 else 7.0, None if i % 4 == 0 else float(i % 5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    model = ChainedForestImputer(numericalCols=["a", "b", "c"], categoricalCols=[], rounds=2, numTrees=2, maxDepth=2).fit(df)
+    assert "b" not in dict(model.chains[0]) and {r["b"] for r in model.transform(df).collect()} == {7.0}
