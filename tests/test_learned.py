@@ -16,6 +16,7 @@ from resaleworth.operators.forest import QuantileForest, QuantileForestModel
 from resaleworth.operators.impute import ChainedForestImputer, ChainedForestImputerModel, ChainState
 from resaleworth.operators import selection
 from resaleworth.operators.calibrate import widened, widening, with_calibration
+from resaleworth.operators.ranking import ranks_in_groups
 from resaleworth.operators.selection import Candidate, default_candidates
 from resaleworth.plans.model_choice import choose_and_train, choose_model
 from resaleworth.plans.scoring import in_request_order, score_requests
@@ -468,3 +469,17 @@ def test_a_constant_number_needs_no_forest(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double")
     model = ChainedForestImputer(numericalCols=["a", "b", "c"], categoricalCols=[], rounds=2, numTrees=2, maxDepth=2).fit(df)
     assert "b" not in dict(model.chains[0]) and {r["b"] for r in model.transform(df).collect()} == {7.0}
+
+
+def test_ranks_in_groups_are_counts(spark):
+    """Ties, values that no group holds and groups of very different size, against counting one by one."""
+    rng = random.Random(6)
+    held = [(g, float(rng.randrange(20)), i) for i, g in enumerate([0] * 300 + [1] * 3 + [2] * 40)]
+    asked = [(g, v / 2) for g in range(3) for v in range(-2, 44)]
+    sizes = spark.createDataFrame([(0, 300), (1, 3), (2, 40)], "g int, n bigint")
+    rows = spark.createDataFrame(held, "g int, v double, tie bigint").repartition(5)
+    found = ranks_in_groups(rows, spark.createDataFrame(asked, "g int, v double"), sizes, ["g"]).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        own = [v for g, v, _ in held if g == r["g"]]
+        assert (r["below"], r["upto"], r["n"]) == (sum(v < r["v"] for v in own), sum(v <= r["v"] for v in own), len(own))
