@@ -483,3 +483,16 @@ def test_ranks_in_groups_are_counts(spark):
     for r in found:
         own = [v for g, v, _ in held if g == r["g"]]
         assert (r["below"], r["upto"], r["n"]) == (sum(v < r["v"] for v in own), sum(v <= r["v"] for v in own), len(own))
+
+
+def test_lines_are_numbered_where_they_lie(spark):
+    """Lines of a block stay with their task even where sizes are unknown, as they are in a batch of a stream."""
+    rows = [(f"f{i % 2}", (i // 2 % 3) * 100, f"line {i}") for i in range(60)]
+    lines = spark.createDataFrame(rows, "file string, block bigint, value string").repartition(3, "block").sortWithinPartitions("file", "block").persist()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    numbered = scoring_stream.numbered_lines(lines)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(r["payload_id"] for r in numbered.collect()) == sorted(f"f{f}#{i}" for f in range(2) for i in range(30))
+    lines.unpersist()
