@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from resaleworth import config
+from resaleworth import config, session
 from resaleworth.operators.forest import QuantileForest, QuantileForestModel
 from resaleworth.operators.impute import ChainedForestImputer, ChainedForestImputerModel, ChainState
 from resaleworth.operators import selection
@@ -496,3 +496,13 @@ def test_lines_are_numbered_where_they_lie(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert sorted(r["payload_id"] for r in numbered.collect()) == sorted(f"f{f}#{i}" for f in range(2) for i in range(30))
     lines.unpersist()
+
+
+def test_training_rows_lie_in_even_parts(spark, monkeypatch, tmp_path):
+    """All steps of a run, and whoever reads its snapshot, get parts of even size, whatever the extract's files were."""
+    monkeypatch.setattr(session, "LEAST_ROWS", 50)
+    run = run_training(tables(spark, SF_DIR), inflation_factors(spark), AS_OF, str(tmp_path), "even", QuantileForest(keyCols=list(ROW_KEYS), numTrees=2, maxDepth=2), SMALL_IMPUTATION)
+    train = artefacts.read_snapshot(spark, run.snapshot, "train")
+    sizes = [r["count"] for r in train.groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert len(sizes) == min(spark.sparkContext.defaultParallelism, -(-artefacts.read_snapshot(spark, run.snapshot).count() // 50))
+    assert max(sizes) < 1.6 * sum(sizes) / len(sizes)

@@ -14,7 +14,7 @@ from resaleworth.operators.features import sentinels_to_null
 from resaleworth.operators.ranking import double_of, exact_percentiles, ordered_bits, with_row_number
 from resaleworth.operators.scale import ColumnScaler
 from resaleworth.plans.extract import paid_bookings, sold_bikes
-from resaleworth.session import materialise
+from resaleworth.session import materialise, spread
 from resaleworth.sources.inflation import inflation_factors
 from resaleworth.sources.tables import SCHEMAS, ListingTables, read_tables
 
@@ -266,3 +266,13 @@ def test_price_bounds_reach_the_scans(spark, tmp_path):
     pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
     assert any("GreaterThanOrEqual(msrp" in line and "LessThanOrEqual(msrp" in line for line in pushed)
     assert any("GreaterThan(bike_price_currency" in line and "LessThan(bike_price_currency" in line for line in pushed)
+
+
+def test_spread_rows_are_even_and_in_order(spark):
+    """One long file and many short ones become parts of even size, the same at each call; few rows stay together."""
+    uneven = spark.range(40_000).selectExpr("id", "id % 3 AS copy_no").repartitionByRange(2, (F.col("id") > 38_000).cast("int"))
+    cores = spark.sparkContext.defaultParallelism
+    parts = [spread(uneven, ["id", "copy_no"]).rdd.glom().collect() for _ in range(2)]
+    assert parts[0] == parts[1] and sum(len(part) for part in parts[0]) == 40_000
+    assert len(parts[0]) == min(cores, 20) and max(len(part) for part in parts[0]) < 1.2 * 40_000 / len(parts[0])
+    assert spread(uneven.limit(50), ["id", "copy_no"]).rdd.getNumPartitions() == 1
