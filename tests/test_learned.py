@@ -8,6 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -506,3 +507,14 @@ def test_training_rows_lie_in_even_parts(spark, monkeypatch, tmp_path):
     sizes = [r["count"] for r in train.groupBy(F.input_file_name().alias("file")).count().collect()]
     assert len(sizes) == min(spark.sparkContext.defaultParallelism, -(-artefacts.read_snapshot(spark, run.snapshot).count() // 50))
     assert max(sizes) < 1.6 * sum(sizes) / len(sizes)
+
+
+def test_snapshot_rows_of_like_price_lie_together(spark, tmp_path):
+    """Each file of the snapshot is in the order of the list price, so that neighbouring rows meet the same tree nodes."""
+    run = run_training(tables(spark, SF_DIR), inflation_factors(spark), AS_OF, str(tmp_path), "near", QuantileForest(keyCols=list(ROW_KEYS), numTrees=2, maxDepth=2), SMALL_IMPUTATION)
+    place = run.settings.numerical.index("msrp") - len(run.settings.numerical)
+    prices = artefacts.read_snapshot(spark, run.snapshot, "train").select(F.input_file_name().alias("file"), F.element_at(vector_to_array("features"), place).alias("price"))
+    by_file = {}
+    for row in prices.collect():
+        by_file.setdefault(row["file"], []).append(row["price"])
+    assert by_file and all(len(set(own)) > 1 and own == sorted(own) for own in by_file.values())
