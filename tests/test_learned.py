@@ -465,6 +465,14 @@ def test_a_chain_moves_no_rows(spark, gaps):
     assert {r["_row"]: r for r in state.present().collect()} == after
 
 
+def test_a_row_pays_for_its_gaps_only(spark, gaps, imputer):
+    """The vector of the other columns is made where the gap is asked for, not in a step of its own for all rows; a NaN is an error."""
+    assert "_inputs" not in imputer.transform(gaps)._jdf.queryExecution().optimizedPlan().toString()
+    row = spark.createDataFrame([(1, math.nan, 2.0, None, "x", 1)], gaps.schema)
+    with pytest.raises(Exception, match="NaN in a"):
+        imputer.transform(row).collect()
+
+
 def test_a_constant_number_needs_no_forest(spark):
     rows = [(float(i % 10), None if i % 3 else 7.0, None if i % 4 == 0 else float(i % 5)) for i in range(100)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
