@@ -19,6 +19,7 @@ from resaleworth.operators import selection
 from resaleworth.operators.calibrate import widened, widening, with_calibration
 from resaleworth.operators.ranking import ranks_in_groups
 from resaleworth.operators.selection import Candidate, default_candidates
+from resaleworth.plans import scoring as scoring_plan
 from resaleworth.plans.model_choice import choose_and_train, choose_model
 from resaleworth.plans.scoring import in_request_order, score_requests
 from resaleworth.plans.training import ROW_KEYS, ImputationSettings, TrainingSettings, load_run, run_digest, run_training
@@ -507,6 +508,20 @@ def test_lines_are_numbered_where_they_lie(spark):
     lines.unpersist()
 
 
+def test_payloads_are_parsed_in_even_parts(spark, monkeypatch):
+    """Payloads that lie in one part are parsed by all cores, and every one is answered once."""
+    parts, plain = [], scoring_plan.materialise
+    sizes = lambda df: parts.extend(df.groupBy(F.spark_partition_id()).count().collect())
+    monkeypatch.setattr(scoring_plan, "materialise", lambda df, label: sizes(df) or plain(df, label))
+    none = lambda rows, *_, **__: rows.withColumns({name: F.lit(None) for name in scoring_plan.SCORED})
+    monkeypatch.setattr(scoring_plan, "score_requests", none)
+    texts = ['{"bike_id": 1}', "x", "{}", '{"bike_id": 1}'] * 100
+    run = scoring_plan.run_scoring(payloads(spark, *texts).coalesce(1), None, None, None, AS_OF)
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in parts) <= 200
+    assert run.scored.count() == 200 and run.scored.select("payload_id").distinct().count() == 200
+    assert sorted(r["payload_id"] for r in run.rejected.collect()) == [i for i in range(400) if i % 4 in (1, 2)]
+
+
 def test_training_rows_lie_in_even_parts(spark, monkeypatch, tmp_path):
     """All steps of a run, and whoever reads its snapshot, get parts of even size, whatever the extract's files were."""
     monkeypatch.setattr(session, "LEAST_ROWS", 50)
