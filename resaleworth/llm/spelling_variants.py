@@ -10,6 +10,9 @@ word ends is a neighbour.
 Two words one edit apart share the first half of the one, or all that follows it. So the walk forth only edits behind
 the first half, the walk on reversed words behind the rest; near the root, where all words meet, nothing branches.
 The edge table is dealt by parent once and stays so. Each step is stored in the shared folder.
+
+Both sides of every join grow with the words. Spark takes a table for as large as its compressed file, also after rows were made out of
+its arrays or letters, and would send tables of a gigabyte through the driver; so the joins are told to sort and merge.
 """
 
 from __future__ import annotations
@@ -72,6 +75,11 @@ def count_words(
     return counted.where(F.col("n") >= min_count)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """For a join: both sides are dealt by the key, however small Spark takes them for."""
+    return df.hint("merge")
+
+
 def _letters(rows: DataFrame) -> DataFrame:
     """(key, way, depth, node, next) for every prefix of every word, the empty and the whole one included; next is -1 at the end."""
 
@@ -102,9 +110,9 @@ def _paths(words: DataFrame) -> DataFrame:
     # Where words part or one ends.
     kept = letters.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high")).where("low < high OR low = -1 OR high = -1")
     # Every word starts at its root: no need to look that up.
-    stops = letters.where("depth > 0").join(kept.select("node"), "node").unionByName(letters.where("depth = 0"))
+    stops = letters.where("depth > 0").join(_dealt(kept.select("node")), "node").unionByName(letters.where("depth = 0"))
     paths = stops.groupBy("key", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
-    return ways.join(paths, ["key", "way"]).select("word", "n", "way", "text", "path")
+    return ways.join(_dealt(paths), ["key", "way"]).select("word", "n", "way", "text", "path")
 
 
 def _edges(paths: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def _edges(paths: DataFrame) -> DataFrame:
     edges = materialise(each.groupBy("parent", "child", "label").agg(F.max("ending").alias("ending")), "edges")
     # No more than the letters of the alphabet.
     heads = edges.groupBy(F.col("parent").alias("child")).agg(F.array_join(F.collect_set(F.left("label", F.lit(1))), "").alias("heads"))
-    return edges.join(heads, "child", "left")
+    return edges.join(_dealt(heads), "child", "left")
 
 
 def _text() -> Column:
@@ -146,7 +154,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     useful = F.expr(f"filter(path, (p, i) -> p.depth >= exact OR {behind})")
     starts = paths.withColumn("exact", exact).select("word", "way", "text", "exact", F.explode(useful).alias("p"))
     starts = starts.select("word", "way", "text", "exact", F.col("p.depth").alias("pos"), F.col("p.node").alias("from"))
-    met = starts.join(edges, F.col("from") == F.col("parent"))
+    met = starts.join(_dealt(edges), F.col("from") == F.col("parent"))
     met = met.where("pos >= exact OR substring(text, pos + 1, exact - pos) = left(label, exact - pos)")
     # The label against one letter less, as many, one more.
     reached = F.explode(F.array(*[F.col("pos") + F.length("label") + d for d in (-1, 0, 1)]))
@@ -157,7 +165,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     while not level.where("at < length(word)").isEmpty():
         open_states = level.where("at < length(word)").select("word", "way", _text().alias("text"), F.col("at").alias("pos"), F.col("node").alias("from"))
         # The label is compared as a whole, so that the join stays on the node, as the edges are dealt.
-        met = open_states.join(edges, (F.col("from") == F.col("parent")) & (F.expr("substring(text, pos + 1, length(label))") == F.col("label")))
+        met = open_states.join(_dealt(edges), (F.col("from") == F.col("parent")) & (F.expr("substring(text, pos + 1, length(label))") == F.col("label")))
         walked = met.withColumn("at", F.col("pos") + F.length("label")).where(_goes_on(F.col("at")))
         level = materialise(walked.select(*columns[:3], F.col("child").alias("node"), "ending"), "states")
         levels.append(level)
@@ -180,7 +188,7 @@ def group_variants(words: DataFrame, times: int = 5) -> DataFrame:
     """
     words = materialise(tagged(words, {"word": "word", "n": "n"}).where("word is not null"), "words")
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    chosen = words.join(near, "word", "left")
+    chosen = words.join(_dealt(near), "word", "left")
     strong = -F.col("best.minus") >= F.lit(times) * F.col("n")
     forms = chosen.select(
         "word",
@@ -194,10 +202,10 @@ def group_variants(words: DataFrame, times: int = 5) -> DataFrame:
     links = materialise(forms.where("form is not null").select("word", F.col("form").alias("root")), "links")
     while True:
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = links.join(further, "root", "left")
+        joined = links.join(_dealt(further), "root", "left")
         links = materialise(joined.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "links")
         if links.where("moved").isEmpty():
             break
         links = links.drop("moved")
-    final = forms.join(links.select("word", "root"), "word", "left")
+    final = forms.join(_dealt(links.select("word", "root")), "word", "left")
     return final.select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")

@@ -96,3 +96,18 @@ def test_empty_and_null(spark):
     # Equally frequent neighbours: the least in code-point order.
     tied = spark.createDataFrame([("wordz", 50), ("worda", 50), ("word", 10)], schema)
     assert {r.word: r.form for r in spelling_variants.group_variants(tied).collect()}["word"] == "worda"
+
+
+def test_no_table_of_words_goes_through_the_driver(spark, monkeypatch):
+    plans, store = [], spelling_variants.materialise
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, label)
+
+    monkeypatch.setattr(spelling_variants, "materialise", watched)
+    table = spark.createDataFrame([(w, n) for w, n in vocabulary(7).items()], "word string, n long")
+    final = spelling_variants.group_variants(table)
+    plans.append(("final", final._jdf.queryExecution().executedPlan().toString()))
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 6
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
