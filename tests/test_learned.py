@@ -541,3 +541,42 @@ def test_snapshot_rows_of_like_price_lie_together(spark, tmp_path):
     for row in prices.collect():
         by_file.setdefault(row["file"], []).append(row["price"])
     assert by_file and all(len(set(own)) > 1 and own == sorted(own) for own in by_file.values())
+
+
+def test_code_of_the_imputer_is_compiled(spark):
+    """Java interprets a generated method of more than 8,000 bytes."""
+    numbers, texts = [f"n{i}" for i in range(12)], [f"t{i}" for i in range(6)]
+    rows = [[float((i * (k + 3)) % 11) if (i + k) % 5 else None for k in range(12)] + [f"v{(i * (k + 2)) % 4}" if (i + k) % 7 else None for k in range(6)] for i in range(60)]
+    table = spark.createDataFrame(rows, ", ".join([f"{name} double" for name in numbers] + [f"{name} string" for name in texts]))
+    model = ChainedForestImputer(numericalCols=numbers, categoricalCols=texts, rounds=1, numTrees=2, maxDepth=2).fit(table)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        filled = model.transform(table)
+        pieces = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(filled._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [pieces.apply(i)._3().maxMethodCodeSize() for i in range(pieces.size())]
+    assert sizes and max(sizes) < 8_000
+    cells = [cell for row in filled.collect() for cell in row]
+    assert len(cells) == 60 * 18 and None not in cells
+    assert filled.rdd.getNumPartitions() == table.rdd.getNumPartitions()
+
+
+def test_records_are_priced_in_a_set_number_of_parts(spark, monkeypatch):
+    """Not in as many as their bytes fill, which are about as many as cores."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def watched(rows, *_):
+        seen.append(rows)
+        raise Stop
+
+    monkeypatch.setattr(scoring_plan, "engineer_features", watched)
+    records = accepted(parse_requests(payloads(spark, *['{"bike_id": 1}'] * 4000).coalesce(1)))
+    with pytest.raises(Stop):
+        scoring_plan.price_model_rows(records, None, None, None, AS_OF, ("payload_id", "request_pos"))
+    parts = seen[0].groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == scoring_plan.PRICING_WAVES * spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in parts) <= 250 and sum(r["count"] for r in parts) == 4000
