@@ -580,3 +580,14 @@ def test_records_are_priced_in_a_set_number_of_parts(spark, monkeypatch):
     parts = seen[0].groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == scoring_plan.PRICING_WAVES * spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in parts) <= 250 and sum(r["count"] for r in parts) == 4000
+
+
+def test_rows_keep_their_nodes_between_levels(points, forest):
+    """The trees are those of a forest that walks from the root at each level."""
+    grown = forest.forest
+    assert grown.getCacheNodeIds()
+    names = ("numTrees", "maxDepth", "minWeightFractionPerNode", "minInfoGain", "maxBins", "featureSubsetStrategy", "seed")
+    settings = {name: grown.getOrDefault(name) for name in names}
+    walked = RandomForestRegressor(featuresCol=grown.getFeaturesCol(), labelCol=grown.getLabelCol(), **settings).fit(points)
+    trees = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert trees(walked) == trees(grown)
